@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import chat, mixing, quality, secrets
+from lodestone.llm import binary_ids, chat, licenses, mixing, packing, quality, secrets, telephony, warc
+from lodestone.llm.common import shared_folder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,17 +45,58 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License labels of every document."""
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as response records, derived to metadata and conversion records, read back."""
+    return warc.summary(warc.derive(warc.responses(_table(spark, sf_dir, "pages"))))
+
+
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into windows of 2048 ids."""
+    packed = packing.pack(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), end_id=1)
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+def op7_binary_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' ids, written as binary records and read back from the files."""
+    folder, index = shared_folder(spark, "ids"), shared_folder(spark, "ids-index")
+    binary_ids.write(_table(spark, sf_dir, "documents"), folder, _vocabulary("byte_bpe_50k.json"), end_id=2)
+    return binary_ids.build_index(spark, folder, index).select("doc_id", "start", "n_tokens", "ids_crc32", "file", "offset", "length")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line-first quality rules over every document."""
     return quality.judge(_table(spark, sf_dir, "documents"))
 
 
+def op10_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as mu-law files, written, read back, expanded and resampled."""
+    folder = shared_folder(spark, "media")
+    telephony.as_wave(_table(spark, sf_dir, "documents")).write.option("compression", "zstd").parquet(folder)
+    return telephony.features(spark.read.parquet(folder))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
         "op2_secrets": op2_secrets,
         "op3_chat": op3_chat,
+        "op4_licenses": op4_licenses,
+        "op5_warc": op5_warc,
+        "op6_packing": op6_packing,
+        "op7_binary_ids": op7_binary_ids,
         "op8_quality": op8_quality,
+        "op10_telephony": op10_telephony,
     }
 
 
