@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import binary_ids, chat, licenses, mixing, packing, quality, secrets, telephony, warc
+from lodestone.llm import binary_ids, chat, jaccard, licenses, mixing, packing, quality, secrets, telephony, warc
 from lodestone.llm.common import shared_folder
 
 
@@ -79,6 +79,11 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents"))
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of all documents that 5-word shingles link at 0.8."""
+    return jaccard.link_groups(_table(spark, sf_dir, "documents"))
+
+
 def op10_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as mu-law files, written, read back, expanded and resampled."""
     folder = shared_folder(spark, "media")
@@ -96,6 +101,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_packing": op6_packing,
         "op7_binary_ids": op7_binary_ids,
         "op8_quality": op8_quality,
+        "op9_ngram_jaccard": op9_ngram_jaccard,
         "op10_telephony": op10_telephony,
     }
 
