@@ -137,10 +137,10 @@ def _cut(path: str, end_id: int, window: int):
         end = np.asarray([end_id], enc.dtype).tobytes()
         width = len(end)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
+            for at in range(0, batch.num_rows, 2_000):
                 rows = []
-                for doc_id, text in zip(batch.column(0).slice(at, 500).to_pylist(), batch.column(1).slice(at, 500).to_pylist()):
-                    ids = enc.encode(text or "") + end
+                for doc_id, ids in zip(batch.column(0).slice(at, 2_000).to_pylist(), enc.encode_all(batch.column(1).slice(at, 2_000))):
+                    ids += end
                     n = len(ids) // width
                     for begin in range(0, n, window):
                         size = min(window, n - begin)
