@@ -49,11 +49,18 @@ def _own_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df``, written once to the shared checkpoint folder and read from there."""
+    """``df``, written once to the shared checkpoint folder and read from there.
+
+    The result starts a new plan. A checkpoint's own plan keeps the constraints of the plan
+    before it, and over a chain of joins these grow with every step until planning takes longer
+    than running; it also keeps size estimates, on which large tables could be broadcast.
+    """
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None):
         _own_checkpoint_dir(spark)
-    return df.checkpoint(eager=True)
+    written = df.checkpoint(eager=True)._jdf
+    fresh = spark._jsparkSession.internalCreateDataFrame(written.queryExecution().toRdd(), written.schema(), False)
+    return DataFrame(fresh, spark)
 
 
 def column(df: DataFrame, name: str) -> Column:

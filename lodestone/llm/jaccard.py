@@ -11,15 +11,20 @@ many partitions gives one signature, a hash of the elements in it. A set joins i
 instance and the one below. ``slack`` more groups mean that linked sets share slack + 1
 signatures at least.
 
-Frequent signatures. A signature of few or common shingles is shared by many unrelated sets. A
-set with at most ``slack`` signatures in runs of over ``RUN`` sets leaves those runs: linked to
-it, a set still shares a signature with it in a small run. Sets in more (large groups of near
-copies) keep theirs; they meet as candidate groups.
-
-Candidates are verified on the sets themselves: pairs of small runs one by one; candidate
-groups first against one center each, the set with most signatures in large runs. Members
-linked to the center are one component and are not compared with each other. The others are
-compared in blocks with those whose distance to the center differs by 0.2 at most (Jaccard
+Frequent signatures. A signature of no, few or common shingles is shared by many unrelated
+sets. Those without elements are not signed by a set that has no more of them than the slack;
+they are taken off its slack. A set in no more runs of over ``RUN`` sets than the rest of its
+slack leaves those runs. So linked sets lose no more shared signatures than the slack of the set
+that leaves, and one in a small run remains. Sets in more large runs (large groups of near copies)
+may leave as many as their rest, the largest, and meet in the others as candidate groups. Where a
+pair's small runs, and either set's large runs and signatures without elements, are too few for
+a link, it goes.
+
+Candidates are verified on the sets themselves: pairs of small runs one by one, and each large
+run's sets with one of them. Large runs within one component are then done with, and sets that
+have no more of the others than the slack leave. What is left are candidate groups. Each is
+compared with one center; members linked to it are one component and are not compared with
+each other. The others are compared in blocks with those whose distance to the center differs by 0.2 at most (Jaccard
 distance is a metric), by a matrix product per pair of blocks.
 
 One pass over the texts makes sets and signatures. Copies of a set within a task sign once, and
@@ -51,7 +56,7 @@ WORDS, PERCENT = 5, 80
 #: Sets in a run of equal signatures that are paired off; larger runs go by candidate groups.
 RUN = 8
 #: Elements of a block of sets that is compared as a matrix.
-BLOCK = 1 << 16
+BLOCK = 1 << 17
 _BATCH = 1_000
 _KEEP_WORDS = 400_000
 
@@ -105,7 +110,7 @@ class Bands:
             k = high * (100 - PERCENT) // PERCENT  # (s + t) / 9 at s = high, t = 1.25 s
             deep = k <= 12  # two differences a group; else one
             groups = k // (3 if deep else 2) + 1
-            slack = groups // 4
+            slack = groups // 4 + 2 * (groups >= 6)
             self.low.append(low)
             self.n1.append(groups + slack if k else 0)  # no difference: equal sets only
             self.deep.append(deep)
@@ -122,15 +127,19 @@ BANDS = Bands()
 SCHEMES = {True: (5, 2), False: (3, 1)}
 
 
-def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, number of its set): the instance's number is the signature's low byte."""
+def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signatures, number of each one's set, and rows of set, instance, signatures without elements).
+
+    The instance's number is a signature's low byte. Those without elements are left out, unless
+    a set has more of them than its slack.
+    """
     sizes = np.array([len(s) for s in sets])
     h = np.concatenate(sets) if sets else np.empty(0, _U)
     owner = np.repeat(np.arange(len(sets)), sizes)
     halves = [(h & _U(0xFFFFFFFF)).astype(float), (h >> _U(32)).astype(float)]
     spread = mix(h ^ _U(0x51ED2701A9C4F7B3))
     group_of, part_of = spread >> _U(32), spread & _U(0xFFFFFFFF)
-    sig, of = [], []
+    sig, of, without = [], [], [np.empty((3, 0), np.int64)]
     for down in (0, 1):
         instance = BANDS.of(sizes) - down
         n1 = np.where(instance >= 0, BANDS.n1[np.maximum(instance, 0)], 0)
@@ -149,24 +158,36 @@ def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
             total = int(n1[jobs].sum())
             low, high = (np.bincount(cell, x[some], total * n2).astype(_U) for x in halves)
             sums = (low + (high << _U(32))).reshape(total, n2)
-            whole = sums.sum(1, dtype=_U)
+            full = np.bincount(cell, minlength=total * n2).reshape(total, n2)
+            whole, size = sums.sum(1, dtype=_U), full.sum(1)
             job = np.repeat(jobs, n1[jobs])
             place = (np.arange(total) - base[job]).astype(_U) * _U(16)
-            for number, left_out in enumerate(subsets(range(n2), out)):
+            cuts = list(subsets(range(n2), out))
+            empty = np.stack([size == sum(full[:, p] for p in left_out) for left_out in cuts], 1)
+            number_empty = np.bincount(job, empty.sum(1), len(sets)).astype(np.int64)
+            dropped = np.zeros(len(sets), bool)
+            dropped[jobs] = number_empty[jobs] <= BANDS.slack[instance[jobs]]
+            some_empty = jobs[(number_empty[jobs] > 0) & dropped[jobs]]
+            without.append(np.stack([some_empty, instance[some_empty], number_empty[some_empty]]))
+            for number, left_out in enumerate(cuts):
                 kept = whole - sum(sums[:, p] for p in left_out)
                 tag = mix((place + _U(number)) * _U(256) + instance[job].astype(_U))
-                sig.append((mix(kept ^ tag) & ~_U(255)) | instance[job].astype(_U))
-                of.append(job)
+                stays = ~(empty[:, number] & dropped[job])
+                sig.append(((mix(kept ^ tag) & ~_U(255)) | instance[job].astype(_U))[stays])
+                of.append(job[stays])
+    without = np.concatenate(without, 1)
     if not sig:
-        return np.empty(0, _U), np.empty(0, np.int64)
-    return np.concatenate(sig), np.concatenate(of)
+        return np.empty(0, _U), np.empty(0, np.int64), without
+    return np.concatenate(sig), np.concatenate(of), without
 
 
 _ROW = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("c", pa.int64()), ("d", pa.int64()), ("e", pa.int64()), ("x", pa.binary()), ("y", pa.binary())])
 _ROW_SQL = "kind int, bucket bigint, a bigint, b bigint, c bigint, d bigint, e bigint, x binary, y binary"
 #: Kinds: a document (a: row, b: doc_id, c and d: digest, e: text hash, bucket: -size - 1), a chunk (a: first
-#: row, x: signatures, y: rows from there), a pair (a, b: rows), a large run's member (a: row, b: signature).
-DOC, CHUNK, PAIR, MEMBER = range(4)
+#: row, x: signatures, y: rows from there), a pair (a, b: rows, c: instance, d: signatures that they
+#: share in small runs), a large run's member (a: row, b: signature),
+#: signatures without elements (a: row, b: instance, c: how many).
+DOC, CHUNK, PAIR, MEMBER, EMPTY = range(5)
 
 
 def _rows(kind: int, n: int, **columns) -> pa.RecordBatch:
@@ -199,7 +220,9 @@ def _signed(buckets: int):
                     if f not in seen:
                         seen.add(f)
                         first.append(i)
-                sig, of = signatures([sets[i] for i in first])
+                sig, of, without = signatures([sets[i] for i in first])
+                if without.shape[1]:
+                    yield _rows(EMPTY, without.shape[1], bucket=-1 - without[0], a=row + np.array(first, np.int64)[without[0]], b=without[1], c=without[2])
                 # A run of this batch's signatures for each bucket.
                 bucket = ((sig >> _U(40)) % _U(buckets)).astype(np.int64)
                 order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
@@ -219,8 +242,8 @@ def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sigs, rows = [], []
     for batch in batches:
         kinds = batch.column(0).to_numpy()
-        if len(docs := np.flatnonzero(kinds == DOC)):
-            yield batch.take(pa.array(docs))
+        if len(passing := np.flatnonzero((kinds == DOC) | (kinds == EMPTY))):
+            yield batch.take(pa.array(passing))
         for i in np.flatnonzero(kinds == CHUNK):
             sigs.append(np.frombuffer(batch.column(7)[i].as_buffer(), "<u8").copy())
             rows.append(np.frombuffer(batch.column(8)[i].as_buffer(), "<u2").astype(np.int64) + batch.column(2)[i].as_py())
@@ -232,15 +255,20 @@ def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sig, row = sig[order], row[order]
     begin = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
     size = np.diff(np.r_[begin, len(sig)])
-    pairs = [np.empty((0, 2), np.int64)]
+    triples = [np.empty((3, 0), np.int64)]
     for n in range(2, RUN + 1):
         at = begin[size == n]
+        instance = (sig[at] & _U(255)).astype(np.int64)
         for i, j in subsets(range(n), 2):
-            pairs.append(np.sort(np.stack([row[at + i], row[at + j]], 1), 1))
-    both = np.unique(np.concatenate(pairs), axis=0)
-    for at in range(0, len(both), 50_000):
-        part = both[at : at + 50_000]
-        yield _rows(PAIR, len(part), a=part[:, 0], b=part[:, 1])
+            x, y = row[at + i], row[at + j]
+            triples.append(np.stack([np.minimum(x, y), np.maximum(x, y), instance]))
+    met = np.concatenate(triples, 1)
+    met = met[:, np.lexsort(met)]
+    new = np.flatnonzero(np.r_[True, (met[:, 1:] != met[:, :-1]).any(0)]) if met.shape[1] else np.empty(0, np.int64)
+    times = np.diff(np.r_[new, met.shape[1]])
+    for at in range(0, len(new), 50_000):
+        part = met[:, new[at : at + 50_000]]
+        yield _rows(PAIR, part.shape[1], a=part[0], b=part[1], c=part[2], d=times[at : at + 50_000])
     large = np.repeat(size > RUN, size)
     sig, row = sig[large], row[large]
     for at in range(0, len(sig), 50_000):
@@ -317,7 +345,7 @@ def _to_reps(rows: DataFrame, rep_of: DataFrame, name: str) -> DataFrame:
 
 
 def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    side = lambda name: sets.select(F.col("rep").alias(name), F.col("elements").alias(f"{name}_set"))
+    side = lambda name: sets.select(F.col("rep").alias(name), F.col("elements").alias(f"{name}_set")).hint("merge")
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_set", "b_set")
 
 
@@ -344,7 +372,7 @@ def classes(docs: DataFrame) -> DataFrame:
     # A class of one row is its own representative; only the others need the join.
     many = checkpointed(reps.filter("copies > 1").select("c", "d", "rep"))
     rep_of = checkpointed(docs_.join(many, ["c", "d"], "left").select("row", "doc_id", "text_key", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("rep", "row")).alias("rep")))
-    roots = components(_links(rows, made, reps, rep_of.select("row", "rep"), reps.select("rep", "n")))
+    roots = components(_links(rows, made, reps, rep_of.select("row", "rep", F.col("n_shingles").alias("n")), reps.select("rep", "n")))
     return checkpointed(rep_of.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("row", "doc_id", "text_key", "n_shingles", F.coalesce("root", "rep").alias("root")))
 
 
@@ -353,20 +381,72 @@ def _free(spark) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def _sets(rows: DataFrame, needed: DataFrame) -> DataFrame:
+    """(rep, elements) of the needed sets, made anew from their texts."""
+    side = F.broadcast(needed) if small_enough(needed) else needed
+    texts = rows.join(side, F.col("doc_id").eqNullSafe(F.col("id"))).select("rep", "c", "d", "text")
+    return checkpointed(texts.mapInArrow(_with_set, "rep bigint, elements binary"))
+
+
+def _rarest(held: DataFrame) -> DataFrame:
+    """Large runs that each set stays in: sets that share more of them than ``spare`` still share
+    one if each leaves ``spare`` of its own, the largest first, in one order for all."""
+    sizes = checkpointed(held.groupBy("sig").agg(F.count("*").alias("size")))
+    own = Window.partitionBy("rep", "instance")
+    ranked = held.join(sizes, "sig")
+    ranked = ranked.withColumn("nth", F.row_number().over(own.orderBy("size", "sig"))).withColumn("all", F.count("*").over(own))
+    return ranked.filter(F.col("nth") <= F.col("all") - F.col("spare")).filter("size > 1").select("rep", "sig", "runs")
+
+
 def _links(rows: DataFrame, made: DataFrame, reps: DataFrame, rep_of: DataFrame, sized: DataFrame) -> DataFrame:
     """All links needed for the components, between representatives (a, b)."""
     spark = rows.sparkSession
-    pairs = made.filter(F.col("kind") == PAIR).select("a", "b").distinct()
-    pairs = _to_reps(_to_reps(pairs, rep_of, "a"), rep_of, "b").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    size = lambda name: sized.select(F.col("rep").alias(name), F.col("n").alias(f"{name}_n"))
-    pairs = pairs.join(size("a"), "a").join(size("b"), "b").filter(F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * PERCENT)
-    pairs = checkpointed(pairs.select("a", "b"))
-
-    # Sets with more large runs than their instance's slack, and the groups that they form.
     members = made.filter(F.col("kind") == MEMBER).select(F.col("a").alias("row"), F.col("b").alias("sig"), F.col("b").bitwiseAND(255).alias("instance"))
-    slack = spark.createDataFrame([(i, int(s)) for i, s in enumerate(BANDS.slack)], "instance bigint, slack bigint")
-    heavy = checkpointed(members.groupBy("row", "instance").agg(F.count("*").alias("runs")).join(F.broadcast(slack), "instance").filter("runs > slack").select("row", "instance", "runs"))
-    stays = checkpointed(_to_reps(members.join(heavy, ["row", "instance"]).select("row", "sig", "runs"), rep_of, "row").groupBy(F.col("row").alias("rep"), "sig").agg(F.max("runs").alias("runs")))
+    bands = spark.createDataFrame([(i, int(low), int(slack)) for i, (low, slack) in enumerate(zip(BANDS.low, BANDS.slack))], "instance bigint, low bigint, slack bigint")
+    without = made.filter(F.col("kind") == EMPTY).select(F.col("a").alias("row"), F.col("b").alias("instance"), F.lit(0).cast("long").alias("runs"), F.col("c").alias("empty"))
+    counted = members.groupBy("row", "instance").agg(F.count("*").alias("runs")).withColumn("empty", F.lit(0).cast("long")).unionByName(without)
+    runs = checkpointed(counted.groupBy("row", "instance").agg(F.sum("runs").alias("runs"), F.sum("empty").alias("empty")))
+
+    # Linked sets share more signatures of the smaller one's band than its slack. Not seen in
+    # small runs are shared large runs and those without elements, no more than either set has.
+    pairs = made.filter(F.col("kind") == PAIR).groupBy("a", "b", F.col("c").alias("instance")).agg(F.sum("d").alias("shared"))
+    of = lambda name: rep_of.select(F.col("row").alias(name), F.col("rep").alias(f"{name}_rep"), F.col("n").alias(f"{name}_n"))
+    had = lambda name: runs.select(F.col("row").alias(name), "instance", F.col("runs").alias(f"{name}_runs"), F.col("empty").alias(f"{name}_empty"))
+    pairs = pairs.join(of("a"), "a").join(of("b"), "b").filter("a_rep <> b_rep").filter(F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * PERCENT)
+    ends = F.lead("low").over(Window.orderBy("low"))
+    pairs = pairs.join(F.broadcast(bands.withColumn("end", F.coalesce(ends, F.lit(1 << 62)))), "instance").filter((F.least("a_n", "b_n") >= F.col("low")) & (F.least("a_n", "b_n") < F.col("end")))
+    both = lambda what: F.least(F.coalesce(f"a_{what}", F.lit(0)), F.coalesce(f"b_{what}", F.lit(0)))
+    pairs = pairs.join(had("a"), ["a", "instance"], "left").join(had("b"), ["b", "instance"], "left").filter(F.col("shared") + both("runs") + both("empty") > F.col("slack"))
+    pairs = checkpointed(pairs.select(F.least("a_rep", "b_rep").alias("a"), F.greatest("a_rep", "b_rep").alias("b")).distinct())
+
+    # Pairs that meet in no small run share more large runs than the slack has left. First each
+    # large run's sets meet one of them, that with most large runs: the likeliest original.
+    heavy = checkpointed(runs.join(F.broadcast(bands), "instance").withColumn("spare", F.col("slack") - F.col("empty")).filter("runs > spare").select("row", "instance", "runs", "spare"))
+    held = _to_reps(members.join(heavy, ["row", "instance"]).select("row", "instance", "sig", "runs", "spare"), rep_of, "row")
+    held = checkpointed(held.groupBy(F.col("row").alias("rep"), "instance", "sig").agg(F.max("runs").alias("runs"), F.max("spare").alias("spare")))
+    first = checkpointed(_rarest(held).groupBy("sig").agg(F.max_by("rep", F.struct("runs", -F.col("rep"))).alias("center")))
+    tried = _rarest(held).join(first, "sig").filter("rep <> center").select(F.least("rep", "center").alias("a"), F.greatest("rep", "center").alias("b"))
+    pairs = checkpointed(pairs.unionByName(tried.distinct()).distinct())
+    out = "a bigint, b bigint, distance double, linked boolean"
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("rep")).unionByName(held.select("rep")).distinct()
+    sets = _sets(rows, checkpointed(nodes.join(reps, "rep").select("rep", "c", "d", F.col("rep_doc").alias("id"))))
+    links = checkpointed(_with_sets(pairs, sets).mapInArrow(_verified, out).filter("linked").select("a", "b"))
+
+    # What is left: sets that share more large runs than the slack with sets of other components.
+    root = components(links)
+    left = checkpointed(held.join(root.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep")))
+    while True:
+        mixed = left.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("sig")
+        mixed = left.join(checkpointed(mixed), "sig")
+        enough = mixed.groupBy("rep", "instance").agg(F.count("*").alias("runs_left"), F.max("spare").alias("least")).filter("runs_left > least").select("rep", "instance", "runs_left")
+        fewer = checkpointed(mixed.drop("runs").join(checkpointed(enough), ["rep", "instance"]).withColumnRenamed("runs_left", "runs"))
+        done = fewer.count() > 0.9 * left.count()
+        left = fewer
+        if done or not left.head(1):
+            break
+    if not left.head(1):
+        return links
+    stays = checkpointed(_rarest(left).select("rep", "sig", "runs"))
     least = checkpointed(stays.groupBy("sig").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).filter("least < most").select("sig", "least"))
     met = stays.join(least, "sig").filter("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
     groups = components(met)
@@ -374,19 +454,10 @@ def _links(rows: DataFrame, made: DataFrame, reps: DataFrame, rep_of: DataFrame,
     grouped = checkpointed(groups.join(weight, "node").select(F.col("node").alias("rep"), F.col("root").alias("group"), "runs"))
     center = checkpointed(grouped.groupBy("group").agg(F.min_by("rep", F.struct(-F.col("runs"), F.col("rep"))).alias("center")))
     stars = checkpointed(grouped.join(center, "group").filter("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b"), "group"))
-
-    # The sets of those that take part, made anew from their texts.
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("rep")).unionByName(grouped.select("rep")).distinct()
-    needed = checkpointed(nodes.join(reps, "rep").select("rep", "c", "d", F.col("rep_doc").alias("id")))
-    side = F.broadcast(needed) if small_enough(needed) else needed
-    texts = rows.join(side, F.col("doc_id").eqNullSafe(F.col("id"))).select("rep", "c", "d", "text")
-    sets = checkpointed(texts.mapInArrow(_with_set, "rep bigint, elements binary"))
-
-    out = "a bigint, b bigint, distance double, linked boolean"
-    one = checkpointed(_with_sets(pairs.unionByName(stars.select("a", "b")), sets).mapInArrow(_verified, out))
-    links = one.filter("linked").select("a", "b")
     if not stars.head(1):
-        return checkpointed(links)
+        return links
+    one = checkpointed(_with_sets(stars.select("a", "b"), sets).mapInArrow(_verified, out))
+    links = links.unionByName(one.filter("linked").select("a", "b"))
 
     # Distances to the center, in bins of 0.05; a bin is cut into blocks by hash.
     far = one.join(stars, ["a", "b"]).groupBy("group", F.col("b").alias("rep")).agg(F.min("distance").alias("distance"))
@@ -394,14 +465,14 @@ def _links(rows: DataFrame, made: DataFrame, reps: DataFrame, rep_of: DataFrame,
     placed = checkpointed(placed)
     cuts = checkpointed(placed.groupBy("group", "bin", "outer").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("cuts")))
     blocked = placed.join(cuts, ["group", "bin", "outer"]).withColumn("cut", F.pmod(F.xxhash64("rep"), F.col("cuts")).cast("int"))
-    packed = checkpointed(blocked.join(sets, "rep").groupBy("group", "bin", "outer", "cut").agg(F.collect_list(F.struct("rep", "elements")).alias("sets")))
+    packed = checkpointed(blocked.join(sets.hint("merge"), "rep").groupBy("group", "bin", "outer", "cut").agg(F.collect_list(F.struct("rep", "elements")).alias("sets")))
     keys = packed.select("group", "bin", "outer", "cut")
     left = keys.filter("outer").select("group", F.col("bin").alias("bin1"), F.col("cut").alias("cut1"))
     near = left.join(keys, "group").filter(F.abs(F.col("bin") - F.col("bin1")) <= 5)
     # Two outer blocks meet once.
     near = checkpointed(near.filter(~F.col("outer") | (F.struct("bin1", "cut1") <= F.struct("bin", "cut"))))
     first = packed.filter("outer").select("group", F.col("bin").alias("bin1"), F.col("cut").alias("cut1"), F.col("sets").alias("left"))
-    met = near.join(first, ["group", "bin1", "cut1"]).join(packed, ["group", "bin", "outer", "cut"]).select("left", F.col("sets").alias("right"))
+    met = near.join(first.hint("merge"), ["group", "bin1", "cut1"]).join(packed.hint("merge"), ["group", "bin", "outer", "cut"]).select("left", F.col("sets").alias("right"))
     return checkpointed(links.unionByName(met.mapInArrow(_blocks_linked, "a bigint, b bigint").filter("a <> b")))
 
 
