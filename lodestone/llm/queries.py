@@ -106,5 +106,44 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_OP3 = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  (3 + sum(length(role) + 5 + length(text) + len(regexp_extract_all(text, '[<\[]\\*(\||/?s>|/?INST\])')) + 5))::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id"""
+
+_OP8 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, string_split(t, chr(10)) AS l FROM d),
+g AS (SELECT r, i, w[i : i + 2] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+g2 AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM g) WHERE n > 1),
+rep AS (SELECT r, count(DISTINCT i + k) AS n FROM g2, (SELECT unnest([0, 1, 2]) AS k) GROUP BY r),
+e AS (SELECT r, unnest(l) AS x, generate_subscripts(l, 1) = len(l) AS is_last FROM w),
+f AS (SELECT *, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS words, regexp_matches(x, '[.!?:;。！？…]["''”’»)\]]*\s*$') AS ends,
+  len(regexp_extract_all(x, '[#*$%&|<>]')) AS symbols, len(regexp_extract_all(x, '[|»›•·]|\s>\s')) AS seps, len(regexp_extract_all(x, '!!')) AS shouts FROM e),
+lost AS (SELECT r, sum(CASE WHEN words > 0 AND ((NOT (ends OR is_last OR (words >= {quality.LONG_LINE} AND regexp_matches(x, '[.!?]\s'))) OR symbols * 20 > greatest(length(x), 1) OR shouts * 2 > words)
+   OR (words < {quality.NAVIGATION_WORDS} AND NOT ends AND NOT is_last) OR (seps >= {quality.SEPARATORS} AND seps * 4 > words)
+   OR (regexp_matches(lower(x), '{"|".join(quality.BOILERPLATE)}') AND words < 30)) THEN length(x) ELSE 0 END)::BIGINT AS lost,
+   count(*) FILTER (words > 0) - count(DISTINCT x) FILTER (words > 0) AS dups FROM f GROUP BY r),
+o AS (SELECT doc_id, t, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, dups AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, lost AS lost_chars
+  FROM w LEFT JOIN rep USING (r) LEFT JOIN lost USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * lost_chars <= {quality.MAX_LOST_PERCENT} * length(t) AS kept, lost_chars FROM o"""
+
+_OP9 = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n u ON u.doc_id = x JOIN n v ON v.doc_id = y WHERE 100 * k >= 80 * (u.n + v.n - k)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+c AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT e.y, c.root FROM c JOIN e ON e.x = c.doc_id)
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(c.root) AS component_id FROM documents d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY d.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Oracles of those that SQL can express; the others are tested against brute force."""
+    return {"op3_chat": _OP3, "op8_quality": _OP8, "op9_ngram_jaccard": _OP9}
