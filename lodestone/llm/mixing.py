@@ -62,8 +62,9 @@ def source_plan(sizes: DataFrame, weights=WEIGHTS, max_rate: float = MAX_RATE) -
 
 
 def draw(id_column: str = "doc_id", seed: int = SEED):
-    """A number in [0, 1) that depends on the id and the seed alone."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_column)), 11).cast("double") * F.lit(2.0**-53)
+    """A number in [0, 1) that depends on the id and the seed alone: 52 bits of an MD5."""
+    name = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_column).cast("string"), F.lit("null")))
+    return F.conv(F.substring(F.md5(name.cast("binary")), 1, 13), 16, 10).cast("double") * F.lit(2.0**-52)
 
 
 def with_copies(sized: DataFrame, plan: DataFrame, id_column: str = "doc_id", seed: int = SEED) -> DataFrame:

@@ -106,6 +106,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_OP1 = rf"""
+WITH s AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+p AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source IS NULL, source) AS rank FROM s GROUP BY source),
+w AS (SELECT *, ([1.0, 2.0, 3.0]::DOUBLE[])[(rank - 1) % 3 + 1] AS weight, 3.0::DOUBLE * source_size AS cap FROM p),
+f AS (SELECT *, sum(source_size) OVER () AS total, sum(weight) OVER () AS all_weight, sum(cap) OVER o AS capped, sum(weight) OVER o AS capped_weight FROM w WINDOW o AS (ORDER BY cap / weight, rank ROWS UNBOUNDED PRECEDING)),
+a AS (SELECT *, CASE WHEN all_weight > capped_weight THEN (total - capped) / (all_weight - capped_weight) END AS after FROM f),
+v AS (SELECT coalesce(arg_max(after, capped_weight) FILTER (after >= cap / weight), any_value(total / all_weight)) AS level FROM a),
+t AS (SELECT source, source_size, least(cap, level * weight) AS target, CASE WHEN source_size > 0 THEN least(least(cap, level * weight) / source_size, 3.0::DOUBLE) ELSE 0.0 END AS rate FROM a, v),
+u AS (SELECT s.doc_id, s.size, t.*, ('0x' || md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, 'null'))[1:13])::BIGINT::DOUBLE / 4503599627370496 AS draw FROM s JOIN t ON t.source IS NOT DISTINCT FROM s.source),
+c AS (SELECT *, floor(rate)::BIGINT + (draw < rate - floor(rate))::BIGINT AS copies FROM u)
+SELECT doc_id, size, source_size, target, size * copies AS taken, copies, rate FROM c"""
+
 _OP3 = r"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')))
@@ -146,4 +158,4 @@ SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(c.root) AS compo
 
 def oracle_sql() -> dict[str, str]:
     """Oracles of those that SQL can express; the others are tested against brute force."""
-    return {"op3_chat": _OP3, "op8_quality": _OP8, "op9_ngram_jaccard": _OP9}
+    return {"op1_mixing": _OP1, "op3_chat": _OP3, "op8_quality": _OP8, "op9_ngram_jaccard": _OP9}
