@@ -57,8 +57,10 @@ WORDS, PERCENT = 5, 80
 RUN = 8
 #: Elements of a block of sets that is compared as a matrix.
 BLOCK = 1 << 17
+#: Tasks that sort signatures, for each shuffle partition: they hold all of theirs in memory.
+SPREAD = 4
 _BATCH = 1_000
-_KEEP_WORDS = 400_000
+_KEEP_WORDS = 200_000
 
 _U = np.uint64
 
@@ -181,9 +183,9 @@ def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return np.concatenate(sig), np.concatenate(of), without
 
 
-_ROW = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("c", pa.int64()), ("d", pa.int64()), ("e", pa.int64()), ("x", pa.binary()), ("y", pa.binary())])
-_ROW_SQL = "kind int, bucket bigint, a bigint, b bigint, c bigint, d bigint, e bigint, x binary, y binary"
-#: Kinds: a document (a: row, b: doc_id, c and d: digest, e: text hash, bucket: -size - 1), a chunk (a: first
+_ROW = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("c", pa.int64()), ("d", pa.int64()), ("e", pa.int64()), ("f", pa.int64()), ("x", pa.binary()), ("y", pa.binary())])
+_ROW_SQL = "kind int, bucket bigint, a bigint, b bigint, c bigint, d bigint, e bigint, f bigint, x binary, y binary"
+#: Kinds: a document (a: row, b: doc_id, c and d: digest, e: text hash, f: size), a chunk (a: first
 #: row, x: signatures, y: rows from there), a pair (a, b: rows, c: instance, d: signatures that they
 #: share in small runs), a large run's member (a: row, b: signature),
 #: signatures without elements (a: row, b: instance, c: how many).
@@ -214,7 +216,7 @@ def _signed(buckets: int):
                 sets = [shingles(t.as_py(), words) for t in texts]
                 found = [digest(s) for s in sets]
                 sizes = np.array([len(s) for s in sets])
-                yield _rows(DOC, len(sets), bucket=-sizes - 1, a=np.arange(row, row + len(sets)), b=ids, c=[f[0] for f in found], d=[f[1] for f in found], e=batch.column(2).slice(at, _BATCH))
+                yield _rows(DOC, len(sets), bucket=-1 - np.arange(len(sets)), f=sizes, a=np.arange(row, row + len(sets)), b=ids, c=[f[0] for f in found], d=[f[1] for f in found], e=batch.column(2).slice(at, _BATCH))
                 first = []
                 for i, f in enumerate(found):
                     if f not in seen:
@@ -245,14 +247,15 @@ def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(passing := np.flatnonzero((kinds == DOC) | (kinds == EMPTY))):
             yield batch.take(pa.array(passing))
         for i in np.flatnonzero(kinds == CHUNK):
-            sigs.append(np.frombuffer(batch.column(7)[i].as_buffer(), "<u8").copy())
-            rows.append(np.frombuffer(batch.column(8)[i].as_buffer(), "<u2").astype(np.int64) + batch.column(2)[i].as_py())
+            sigs.append(np.frombuffer(batch.column("x")[i].as_buffer(), "<u8"))
+            rows.append(np.frombuffer(batch.column("y")[i].as_buffer(), "<u2").astype(np.int64) + batch.column("a")[i].as_py())
     if not sigs:
         return
     sig, row = np.concatenate(sigs), np.concatenate(rows)
-    del sigs, rows
-    order = np.argsort(sig, kind="stable")
+    del sigs, rows, batch
+    order = np.argsort(sig, kind="stable").astype(np.int32 if len(sig) < 1 << 31 else np.int64)
     sig, row = sig[order], row[order]
+    del order
     begin = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
     size = np.diff(np.r_[begin, len(sig)])
     triples = [np.empty((3, 0), np.int64)]
@@ -361,13 +364,13 @@ def classes(docs: DataFrame) -> DataFrame:
     root is a row number of the component, null for a set without elements.
     """
     spark = prepare(docs.sparkSession)
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = SPREAD * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(*_key(docs))
     signed = rows.select("doc_id", "text", "text_key").mapInArrow(_signed(buckets), _ROW_SQL)
     made = checkpointed(signed.repartition(buckets, "bucket").mapInArrow(_paired, _ROW_SQL))
     del signed
     _free(spark)  # the signatures' shuffle files are done with
-    docs_ = made.filter(F.col("kind") == DOC).select(F.col("a").alias("row"), F.col("b").alias("doc_id"), F.col("e").alias("text_key"), (-F.col("bucket") - 1).alias("n_shingles"), "c", "d")
+    docs_ = made.filter(F.col("kind") == DOC).select(F.col("a").alias("row"), F.col("b").alias("doc_id"), F.col("e").alias("text_key"), F.col("f").alias("n_shingles"), "c", "d")
     reps = checkpointed(docs_.filter("n_shingles > 0").groupBy("c", "d").agg(F.min("row").alias("rep"), F.min_by("doc_id", "row").alias("rep_doc"), F.min("n_shingles").alias("n"), F.count("*").alias("copies")))
     # A class of one row is its own representative; only the others need the join.
     many = checkpointed(reps.filter("copies > 1").select("c", "d", "rep"))
