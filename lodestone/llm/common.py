@@ -63,6 +63,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return DataFrame(fresh, spark)
 
 
+def compacted(df: DataFrame, rows: int = 50_000) -> DataFrame:
+    """``df``, checkpointed, in partitions of about ``rows`` counted rows, for tables of short rows.
+
+    A table in many nearly empty partitions makes each shuffle after it write as many files.
+    """
+    written = checkpointed(df)
+    parts = written._jdf.queryExecution().toRdd().getNumPartitions()
+    wanted = max(2, -(-written.count() // rows))  # a lone partition would draw joins into one task
+    return written.coalesce(wanted) if wanted < parts else written
+
+
 def column(df: DataFrame, name: str) -> Column:
     """The column called exactly ``name``, whatever characters it holds."""
     return df["`" + name.replace("`", "``") + "`"]

@@ -10,34 +10,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import checkpointed
+from lodestone.llm.common import compacted
 
 
 def _jumped(parents: DataFrame) -> DataFrame:
     """Parents shortened until each node's parent is a root."""
     while True:
         up = parents.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
-        parents = checkpointed(parents.join(up, "parent", "left").select("node", F.coalesce("grand", "parent").alias("parent"), (F.coalesce("grand", "parent") != F.col("parent")).alias("moved")))
+        parents = compacted(parents.join(up, "parent", "left").select("node", F.coalesce("grand", "parent").alias("parent"), (F.coalesce("grand", "parent") != F.col("parent")).alias("moved")))
         if not parents.filter("moved").head(1):
             return parents.select("node", "parent")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b); the root is the component's smallest node."""
-    edges = checkpointed(edges.select("a", "b").filter("a <> b").distinct())
+    edges = compacted(edges.select("a", "b").filter("a <> b").distinct())
     roots: DataFrame | None = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         near = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least"))
         # A node below all its neighbours is a root of this round.
-        parents = _jumped(checkpointed(near.select("node", F.least("node", "least").alias("parent"))))
+        parents = _jumped(compacted(near.select("node", F.least("node", "least").alias("parent"))))
         if roots is None:
             roots = parents.select("node", F.col("parent").alias("root"))
         else:
             up = parents.select(F.col("node").alias("root"), F.col("parent").alias("higher"))
-            roots = checkpointed(roots.join(up, "root", "left").select("node", F.coalesce("higher", "root").alias("root")))
+            roots = compacted(roots.join(up, "root", "left").select("node", F.coalesce("higher", "root").alias("root")))
         side = lambda name: parents.select(F.col("node").alias(name), F.col("parent").alias(f"{name}_root"))  # noqa: E731, B023
         lifted = edges.join(side("a"), "a").join(side("b"), "b")
-        edges = checkpointed(lifted.filter("a_root <> b_root").select(F.least("a_root", "b_root").alias("a"), F.greatest("a_root", "b_root").alias("b")).distinct())
+        edges = compacted(lifted.filter("a_root <> b_root").select(F.least("a_root", "b_root").alias("a"), F.greatest("a_root", "b_root").alias("b")).distinct())
         if not edges.head(1):
             return roots

@@ -49,7 +49,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import carried, checkpointed, column, prepare, restored, small_enough
+from lodestone.llm.common import carried, checkpointed, column, compacted, prepare, restored, small_enough
 from lodestone.llm.components import components
 
 WORDS, PERCENT = 5, 80
@@ -367,16 +367,16 @@ def classes(docs: DataFrame) -> DataFrame:
     buckets = SPREAD * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(*_key(docs))
     signed = rows.select("doc_id", "text", "text_key").mapInArrow(_signed(buckets), _ROW_SQL)
-    made = checkpointed(signed.repartition(buckets, "bucket").mapInArrow(_paired, _ROW_SQL))
+    made = checkpointed(signed.repartition(buckets, "bucket").mapInArrow(_paired, _ROW_SQL).coalesce(buckets // SPREAD))
     del signed
     _free(spark)  # the signatures' shuffle files are done with
     docs_ = made.filter(F.col("kind") == DOC).select(F.col("a").alias("row"), F.col("b").alias("doc_id"), F.col("e").alias("text_key"), F.col("f").alias("n_shingles"), "c", "d")
-    reps = checkpointed(docs_.filter("n_shingles > 0").groupBy("c", "d").agg(F.min("row").alias("rep"), F.min_by("doc_id", "row").alias("rep_doc"), F.min("n_shingles").alias("n"), F.count("*").alias("copies")))
+    reps = compacted(docs_.filter("n_shingles > 0").groupBy("c", "d").agg(F.min("row").alias("rep"), F.min_by("doc_id", "row").alias("rep_doc"), F.min("n_shingles").alias("n"), F.count("*").alias("copies")))
     # A class of one row is its own representative; only the others need the join.
-    many = checkpointed(reps.filter("copies > 1").select("c", "d", "rep"))
-    rep_of = checkpointed(docs_.join(many, ["c", "d"], "left").select("row", "doc_id", "text_key", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("rep", "row")).alias("rep")))
+    many = compacted(reps.filter("copies > 1").select("c", "d", "rep"))
+    rep_of = compacted(docs_.join(many, ["c", "d"], "left").select("row", "doc_id", "text_key", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("rep", "row")).alias("rep")))
     roots = components(_links(rows, made, reps, rep_of.select("row", "rep", F.col("n_shingles").alias("n")), reps.select("rep", "n")))
-    return checkpointed(rep_of.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("row", "doc_id", "text_key", "n_shingles", F.coalesce("root", "rep").alias("root")))
+    return compacted(rep_of.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("row", "doc_id", "text_key", "n_shingles", F.coalesce("root", "rep").alias("root")))
 
 
 def _free(spark) -> None:
@@ -394,7 +394,7 @@ def _sets(rows: DataFrame, needed: DataFrame) -> DataFrame:
 def _rarest(held: DataFrame) -> DataFrame:
     """Large runs that each set stays in: sets that share more of them than ``spare`` still share
     one if each leaves ``spare`` of its own, the largest first, in one order for all."""
-    sizes = checkpointed(held.groupBy("sig").agg(F.count("*").alias("size")))
+    sizes = compacted(held.groupBy("sig").agg(F.count("*").alias("size")))
     own = Window.partitionBy("rep", "instance")
     ranked = held.join(sizes, "sig")
     ranked = ranked.withColumn("nth", F.row_number().over(own.orderBy("size", "sig"))).withColumn("all", F.count("*").over(own))
@@ -408,7 +408,7 @@ def _links(rows: DataFrame, made: DataFrame, reps: DataFrame, rep_of: DataFrame,
     bands = spark.createDataFrame([(i, int(low), int(slack)) for i, (low, slack) in enumerate(zip(BANDS.low, BANDS.slack))], "instance bigint, low bigint, slack bigint")
     without = made.filter(F.col("kind") == EMPTY).select(F.col("a").alias("row"), F.col("b").alias("instance"), F.lit(0).cast("long").alias("runs"), F.col("c").alias("empty"))
     counted = members.groupBy("row", "instance").agg(F.count("*").alias("runs")).withColumn("empty", F.lit(0).cast("long")).unionByName(without)
-    runs = checkpointed(counted.groupBy("row", "instance").agg(F.sum("runs").alias("runs"), F.sum("empty").alias("empty")))
+    runs = compacted(counted.groupBy("row", "instance").agg(F.sum("runs").alias("runs"), F.sum("empty").alias("empty")))
 
     # Linked sets share more signatures of the smaller one's band than its slack. Not seen in
     # small runs are shared large runs and those without elements, no more than either set has.
@@ -420,70 +420,70 @@ def _links(rows: DataFrame, made: DataFrame, reps: DataFrame, rep_of: DataFrame,
     pairs = pairs.join(F.broadcast(bands.withColumn("end", F.coalesce(ends, F.lit(1 << 62)))), "instance").filter((F.least("a_n", "b_n") >= F.col("low")) & (F.least("a_n", "b_n") < F.col("end")))
     both = lambda what: F.least(F.coalesce(f"a_{what}", F.lit(0)), F.coalesce(f"b_{what}", F.lit(0)))
     pairs = pairs.join(had("a"), ["a", "instance"], "left").join(had("b"), ["b", "instance"], "left").filter(F.col("shared") + both("runs") + both("empty") > F.col("slack"))
-    pairs = checkpointed(pairs.select(F.least("a_rep", "b_rep").alias("a"), F.greatest("a_rep", "b_rep").alias("b")).distinct())
+    pairs = compacted(pairs.select(F.least("a_rep", "b_rep").alias("a"), F.greatest("a_rep", "b_rep").alias("b")).distinct())
 
     # Pairs that meet in no small run share more large runs than the slack has left. First each
     # large run's sets meet one of them, that with most large runs: the likeliest original.
-    heavy = checkpointed(runs.join(F.broadcast(bands), "instance").withColumn("spare", F.col("slack") - F.col("empty")).filter("runs > spare").select("row", "instance", "runs", "spare"))
+    heavy = compacted(runs.join(F.broadcast(bands), "instance").withColumn("spare", F.col("slack") - F.col("empty")).filter("runs > spare").select("row", "instance", "runs", "spare"))
     held = _to_reps(members.join(heavy, ["row", "instance"]).select("row", "instance", "sig", "runs", "spare"), rep_of, "row")
-    held = checkpointed(held.groupBy(F.col("row").alias("rep"), "instance", "sig").agg(F.max("runs").alias("runs"), F.max("spare").alias("spare")))
-    first = checkpointed(_rarest(held).groupBy("sig").agg(F.max_by("rep", F.struct("runs", -F.col("rep"))).alias("center")))
+    held = compacted(held.groupBy(F.col("row").alias("rep"), "instance", "sig").agg(F.max("runs").alias("runs"), F.max("spare").alias("spare")))
+    first = compacted(_rarest(held).groupBy("sig").agg(F.max_by("rep", F.struct("runs", -F.col("rep"))).alias("center")))
     tried = _rarest(held).join(first, "sig").filter("rep <> center").select(F.least("rep", "center").alias("a"), F.greatest("rep", "center").alias("b"))
-    pairs = checkpointed(pairs.unionByName(tried.distinct()).distinct())
+    pairs = compacted(pairs.unionByName(tried.distinct()).distinct())
     out = "a bigint, b bigint, distance double, linked boolean"
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("rep")).unionByName(held.select("rep")).distinct()
-    sets = _sets(rows, checkpointed(nodes.join(reps, "rep").select("rep", "c", "d", F.col("rep_doc").alias("id"))))
-    links = checkpointed(_with_sets(pairs, sets).mapInArrow(_verified, out).filter("linked").select("a", "b"))
+    sets = _sets(rows, compacted(nodes.join(reps, "rep").select("rep", "c", "d", F.col("rep_doc").alias("id"))))
+    links = compacted(_with_sets(pairs, sets).mapInArrow(_verified, out).filter("linked").select("a", "b"))
 
     # What is left: sets that share more large runs than the slack with sets of other components.
     root = components(links)
-    left = checkpointed(held.join(root.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep")))
+    left = compacted(held.join(root.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep")))
     while True:
         mixed = left.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("sig")
-        mixed = left.join(checkpointed(mixed), "sig")
+        mixed = left.join(compacted(mixed), "sig")
         enough = mixed.groupBy("rep", "instance").agg(F.count("*").alias("runs_left"), F.max("spare").alias("least")).filter("runs_left > least").select("rep", "instance", "runs_left")
-        fewer = checkpointed(mixed.drop("runs").join(checkpointed(enough), ["rep", "instance"]).withColumnRenamed("runs_left", "runs"))
+        fewer = compacted(mixed.drop("runs").join(compacted(enough), ["rep", "instance"]).withColumnRenamed("runs_left", "runs"))
         done = fewer.count() > 0.9 * left.count()
         left = fewer
         if done or not left.head(1):
             break
     if not left.head(1):
         return links
-    stays = checkpointed(_rarest(left).select("rep", "sig", "runs"))
-    least = checkpointed(stays.groupBy("sig").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).filter("least < most").select("sig", "least"))
+    stays = compacted(_rarest(left).select("rep", "sig", "runs"))
+    least = compacted(stays.groupBy("sig").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).filter("least < most").select("sig", "least"))
     met = stays.join(least, "sig").filter("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
     groups = components(met)
     weight = stays.groupBy(F.col("rep").alias("node")).agg(F.max("runs").alias("runs"))
-    grouped = checkpointed(groups.join(weight, "node").select(F.col("node").alias("rep"), F.col("root").alias("group"), "runs"))
-    center = checkpointed(grouped.groupBy("group").agg(F.min_by("rep", F.struct(-F.col("runs"), F.col("rep"))).alias("center")))
-    stars = checkpointed(grouped.join(center, "group").filter("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b"), "group"))
+    grouped = compacted(groups.join(weight, "node").select(F.col("node").alias("rep"), F.col("root").alias("group"), "runs"))
+    center = compacted(grouped.groupBy("group").agg(F.min_by("rep", F.struct(-F.col("runs"), F.col("rep"))).alias("center")))
+    stars = compacted(grouped.join(center, "group").filter("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b"), "group"))
     if not stars.head(1):
         return links
-    one = checkpointed(_with_sets(stars.select("a", "b"), sets).mapInArrow(_verified, out))
+    one = compacted(_with_sets(stars.select("a", "b"), sets).mapInArrow(_verified, out))
     links = links.unionByName(one.filter("linked").select("a", "b"))
 
     # Distances to the center, in bins of 0.05; a bin is cut into blocks by hash.
     far = one.join(stars, ["a", "b"]).groupBy("group", F.col("b").alias("rep")).agg(F.min("distance").alias("distance"))
     placed = far.join(sized, "rep").withColumn("bin", F.floor(F.col("distance") * 20).cast("int")).withColumn("outer", 100 * (1 - F.col("distance")) < PERCENT - 1e-9)
-    placed = checkpointed(placed)
-    cuts = checkpointed(placed.groupBy("group", "bin", "outer").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("cuts")))
+    placed = compacted(placed)
+    cuts = compacted(placed.groupBy("group", "bin", "outer").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("cuts")))
     blocked = placed.join(cuts, ["group", "bin", "outer"]).withColumn("cut", F.pmod(F.xxhash64("rep"), F.col("cuts")).cast("int"))
     packed = checkpointed(blocked.join(sets.hint("merge"), "rep").groupBy("group", "bin", "outer", "cut").agg(F.collect_list(F.struct("rep", "elements")).alias("sets")))
     keys = packed.select("group", "bin", "outer", "cut")
     left = keys.filter("outer").select("group", F.col("bin").alias("bin1"), F.col("cut").alias("cut1"))
     near = left.join(keys, "group").filter(F.abs(F.col("bin") - F.col("bin1")) <= 5)
     # Two outer blocks meet once.
-    near = checkpointed(near.filter(~F.col("outer") | (F.struct("bin1", "cut1") <= F.struct("bin", "cut"))))
+    near = compacted(near.filter(~F.col("outer") | (F.struct("bin1", "cut1") <= F.struct("bin", "cut"))))
     first = packed.filter("outer").select("group", F.col("bin").alias("bin1"), F.col("cut").alias("cut1"), F.col("sets").alias("left"))
     met = near.join(first.hint("merge"), ["group", "bin1", "cut1"]).join(packed.hint("merge"), ["group", "bin", "outer", "cut"]).select("left", F.col("sets").alias("right"))
-    return checkpointed(links.unionByName(met.mapInArrow(_blocks_linked, "a bigint, b bigint").filter("a <> b")))
+    return compacted(links.unionByName(met.mapInArrow(_blocks_linked, "a bigint, b bigint").filter("a <> b")))
 
 
 def link_groups(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id (the smallest id that links reach)."""
     rows = classes(docs)
     # Only rows that share a class or a component need another's id.
-    least = checkpointed(rows.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")).filter("rows > 1").select("root", "least"))
+    least = compacted(rows.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")).filter("rows > 1").select("root", "least"))
     found = rows.join(least, "root", "left")
     return found.select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
 
@@ -497,9 +497,9 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """
     rows = classes(docs).filter("root is not null")
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))
-    best = checkpointed(rows.groupBy("root").agg(F.min(order).alias("best"), F.count("*").alias("size")).filter("size > 1").select("root", F.col("best.row").alias("stays")))
+    best = compacted(rows.groupBy("root").agg(F.min(order).alias("best"), F.count("*").alias("size")).filter("size > 1").select("root", F.col("best.row").alias("stays")))
     shared = rows.join(best, "root").groupBy(F.col("doc_id").alias("id"), F.col("text_key").alias("key")).agg(F.max((F.col("row") == F.col("stays")).cast("int")).alias("stays"))
-    side = checkpointed(shared)
+    side = compacted(shared)
     if small_enough(side):
         side = F.broadcast(side)
     names = docs.columns
