@@ -57,6 +57,8 @@ WORDS, PERCENT = 5, 80
 RUN = 8
 #: Elements of a block of sets that is compared as a matrix.
 BLOCK = 1 << 17
+#: Turns in which pairs are verified (disk, not results).
+TURNS = 2
 #: Tasks that sort signatures, for each shuffle partition: they hold all of theirs in memory.
 SPREAD = 4
 _BATCH = 1_000
@@ -433,7 +435,13 @@ def _links(rows: DataFrame, made: DataFrame, reps: DataFrame, rep_of: DataFrame,
     out = "a bigint, b bigint, distance double, linked boolean"
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("rep")).unionByName(held.select("rep")).distinct()
     sets = _sets(rows, compacted(nodes.join(reps, "rep").select("rep", "c", "d", F.col("rep_doc").alias("id"))))
-    links = compacted(_with_sets(pairs, sets).mapInArrow(_verified, out).filter("linked").select("a", "b"))
+    # A pair travels with a set, so pairs go in turns, each turn's shuffle files freed before the next.
+    links = None
+    for turn in range(TURNS):
+        some = pairs.filter(F.pmod(F.xxhash64("a", "b"), F.lit(TURNS)) == turn)
+        part = compacted(_with_sets(some, sets).mapInArrow(_verified, out).filter("linked").select("a", "b"))
+        links = part if links is None else links.unionByName(part)
+        _free(spark)
 
     # What is left: sets that share more large runs than the slack with sets of other components.
     root = components(links)
