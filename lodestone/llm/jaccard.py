@@ -61,8 +61,8 @@ BLOCK = 1 << 17
 TURNS = 2
 #: Tasks that sort signatures, for each shuffle partition: they hold all of theirs in memory.
 SPREAD = 4
-_BATCH = 1_000
-_KEEP_WORDS = 200_000
+_BATCH = 500
+_KEEP_WORDS = 60_000
 
 _U = np.uint64
 
