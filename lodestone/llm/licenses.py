@@ -3,9 +3,11 @@
 ``postings`` reads each whole text once: it counts words, finds the base phrases, and lists
 where words of the license templates stand (function words left out). Document frequencies of
 those words, over all documents, give their IDF. ``labelled`` then works on these lists alone:
-for each file, its rarest license words are looked up in the templates' postings; template and
+for each file, all its license words are looked up in the templates' postings; template and
 file positions that agree on one offset are intersected; the best offset's share of the
-template's IDF is the score; a label also needs the template's mandatory key phrases.
+template's IDF is the score; a label also needs the template's mandatory key phrases. A template
+is passed over only if all its words in the file, wherever they stand, can neither reach the
+least score nor beat the best one.
 
 Defined results: null text is empty; no license words give score 0 and no labels; ties of a
 score go to the first template by label; repeated rows are judged alike and each counts as a
@@ -15,10 +17,10 @@ document; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
+from bisect import bisect_left
+from collections import defaultdict
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,7 +47,6 @@ TEMPLATES = (
 )
 #: Function words: they are no rare tokens, and are matched only inside key phrases' neighbourhoods.
 COMMON = frozenset("a all an and any are as at be by can for form from in is it may not of on or out that the this to use with without you".split())
-RARE_WORDS = 8
 #: The share of a template's IDF that must stand at one offset, and the shift allowed there.
 LEAST_SCORE, SLACK = 0.6, 2
 
@@ -114,46 +115,52 @@ class Index:
     """Template postings with IDF."""
 
     def __init__(self, documents: int, df: dict[int, int]):
-        self.idf = np.array([math.log((1 + documents) / (1 + df.get(i, 0))) + 1 for i in range(len(VOCABULARY))])
-        self.places: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        self.total, self.keys = [], []
+        self.idf = [math.log((1 + documents) / (1 + df.get(i, 0))) + 1 for i in range(len(VOCABULARY))]
+        self.total, self.keys, self.words = [], [], []
         number = {w: i for i, w in enumerate(VOCABULARY)}
-        for t, (_, text, keys) in enumerate(TEMPLATES):
-            words = text.split()
-            for q, w in enumerate(words):
-                if w in number:
-                    self.places[number[w]].append((t, q))
-            self.total.append(sum(self.idf[number[w]] for w in words if w in number))
+        for _, text, keys in TEMPLATES:
+            self.words.append([(number[w], q) for q, w in enumerate(text.split()) if w in number])
+            self.total.append(sum(self.idf[w] for w, _ in self.words[-1]))
             self.keys.append([[(number[w], k) for k, w in enumerate(key.split()) if w in number] for key in keys])
 
     def judge(self, hits: list[int]) -> tuple[list[str], float]:
         """(labels, best score) of a file's template words."""
-        at: dict[int, list[int]] = defaultdict(list)
+        at: dict[int, set[int]] = defaultdict(set)
         for w, p in zip(hits[::2], hits[1::2]):
-            at[w].append(p)
-        rare = sorted(at, key=lambda w: (-self.idf[w], w))[:RARE_WORDS]
-        offsets = {(t, p - q) for w in rare for t, q in self.places.get(w, ()) for p in at[w]}
-        placed = {w: set(v) for w, v in at.items()}
-        score: Counter = Counter()
-        labels: dict[str, float] = {}
-        template: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for w, places in self.places.items():
-            for t, q in places:
-                template[t].append((w, q))
-        for t, offset in offsets:
-            got = sum(self.idf[w] for w, q in template[t] if w in placed and any(offset + q + s in placed[w] for s in range(-SLACK, SLACK + 1)))
-            share = min(1.0, got / self.total[t])
-            score[t] = max(score[t], share)
-            if share >= LEAST_SCORE and all(self._has(key, placed, offset, t) for key in self.keys[t]):
-                label = TEMPLATES[t][0]
-                labels[label] = max(labels.get(label, 0.0), share)
-        return sorted(labels), round(float(max(score.values(), default=0.0)), 6)
-
-    def _has(self, key: list[tuple[int, int]], placed: dict[int, set[int]], offset: int, t: int) -> bool:
-        """Whether a key phrase's words stand in a row within the template's reach."""
+            at[w].add(p)
+        best, labels = 0.0, set()
+        most = [min(1.0, sum(self.idf[w] for w, _ in words if w in at) / total) for words, total in zip(self.words, self.total)]
+        for t in sorted(range(len(most)), key=lambda t: -most[t]):
+            if most[t] < LEAST_SCORE and most[t] <= best:
+                break
+            got = self._shares(t, at)
+            best = max(best, max(got.values(), default=0.0))
+            enough = [o for o, share in got.items() if share >= LEAST_SCORE]
+            if enough and TEMPLATES[t][0] not in labels:
+                starts = [sorted(self._starts(key, at)) for key in self.keys[t]]
+                if any(all(self._near(s, o, t) for s in starts) for o in enough):
+                    labels.add(TEMPLATES[t][0])
+        return sorted(labels), round(float(best), 6)
+
+    def _shares(self, t: int, at: dict[int, set[int]]) -> dict[int, float]:
+        """Share of the template's IDF at each offset where one of its words stands exactly."""
+        got = dict.fromkeys((p - q for w, q in self.words[t] for p in at.get(w, ())), 0.0)
+        for w, q in self.words[t]:
+            for o in {p - q + s for p in at.get(w, ()) for s in range(-SLACK, SLACK + 1)} & got.keys():
+                got[o] += self.idf[w]
+        return {o: min(1.0, x / self.total[t]) for o, x in got.items()}
+
+    @staticmethod
+    def _starts(key: list[tuple[int, int]], at: dict[int, set[int]]) -> list[int]:
+        """Where a key phrase's words stand in a row."""
         lead, shift = key[0]
-        reach = range(offset - SLACK, offset + len(TEMPLATES[t][1].split()) + SLACK + 1)
-        return any(p - shift in reach and all(p - shift + k in placed.get(w, ()) for w, k in key) for p in placed.get(lead, ()))
+        return [p - shift for p in at.get(lead, ()) if all(p - shift + k in at.get(w, ()) for w, k in key)]
+
+    @staticmethod
+    def _near(starts: list[int], offset: int, t: int) -> bool:
+        """Whether one of the (sorted) starts is within the template's reach."""
+        i = bisect_left(starts, offset - SLACK)
+        return i < len(starts) and starts[i] <= offset + len(TEMPLATES[t][1].split()) + SLACK
 
 
 def labelled(posted: DataFrame, index: Index) -> DataFrame:

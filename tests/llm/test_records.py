@@ -167,6 +167,48 @@ def test_license_labels(spark):
     assert all(got[i]["labels"] == "" for i in (2, 3, 4, 5, 7)) and got[4]["score"] == 0
 
 
+def license_brute(words, idf):
+    """(labels, score) over every offset at which any template word stands."""
+    labels, best = set(), 0.0
+    for label, text, keys in licenses.TEMPLATES:
+        rare = [(q, w) for q, w in enumerate(text.split()) if w not in licenses.COMMON]
+        near = lambda p, w: w in words[max(p - licenses.SLACK, 0) : max(p + licenses.SLACK + 1, 0)]
+        stands = lambda p, key: p >= 0 and all(k in licenses.COMMON or words[p + i : p + i + 1] == [k] for i, k in enumerate(key.split()))
+        for o in {p - q for q, w in rare for p in range(len(words)) if words[p] == w}:
+            share = min(1.0, sum(idf[w] for q, w in rare if near(o + q, w)) / sum(idf[w] for _, w in rare))
+            best = max(best, share)
+            reach = range(o - licenses.SLACK, o + len(text.split()) + licenses.SLACK + 1)
+            if share >= licenses.LEAST_SCORE and all(any(stands(p, key) for p in reach) for key in keys):
+                labels.add(label)
+    return sorted(labels), best
+
+
+def test_license_judge_against_brute_force():
+    rng = random.Random(5)
+    index = licenses.Index(100, {i: rng.randrange(90) for i in range(len(licenses.VOCABULARY))})
+    idf = dict(zip(licenses.VOCABULARY, index.idf))
+    for _ in range(120):
+        words = []
+        for _ in range(rng.randrange(1, 5)):
+            notice = rng.choice(licenses.TEMPLATES)[1].split()
+            words += [rng.choice(["lorem", rng.choice(licenses.VOCABULARY)]) for _ in range(rng.randrange(8))]
+            words += [w for w in notice if rng.random() > 0.1] if rng.random() < 0.6 else notice
+        hits = [x for i, w in enumerate(words) if w in idf for x in (licenses.VOCABULARY.index(w), i)]
+        labels, score = index.judge(hits)
+        want, best = license_brute(words, idf)
+        assert labels == want and score == pytest.approx(best, abs=1e-6)
+
+
+def test_license_many_notices(spark):
+    """A file keeps the licenses of all its notices, however many template words it holds."""
+    every = (" lorem ipsum" * 3000 + " ").join(text for _, text, _ in licenses.TEMPLATES)
+    bsd = "copyright acme all rights reserved " + next(text for label, text, _ in licenses.TEMPLATES if label == "bsd")
+    docs = spark.createDataFrame([(0, every), (1, bsd), (2, "plain text")], "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in licenses.scan(docs).collect()}
+    assert got[0]["labels"] == ",".join(sorted({label for label, _, _ in licenses.TEMPLATES})) and got[0]["score"] == 1.0
+    assert got[1]["labels"] == "all-rights-reserved,bsd" and got[2]["labels"] == ""
+
+
 def test_warc(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     odd = spark.createDataFrame([(None, None, None), (-1, "u\r\nX: y", "<title>a &amp; b</title><p>x<script>no</script>y<br>z</p><!-- no --><a href='/q'>w</a>"), (-2, "", "")], "page_id bigint, url string, html string")
