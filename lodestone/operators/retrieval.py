@@ -14,11 +14,11 @@ from lodestone.functions import text as T
 BLOCK = 2_000
 
 
-def dense_topk(queries: DataFrame, chunks: DataFrame, k: int = 30, keep: Column | None = None) -> DataFrame:
-    """(query_id, id, score, rank): the k most similar rows of ``chunks`` (id, vec) for each query.
+def dense_scores(queries: DataFrame, chunks: DataFrame, keep: Column | None = None) -> DataFrame:
+    """(query_id, id, score): the cosine of each query with every row of ``chunks`` (id, vec).
 
-    Exact. Queries go in blocks of counted size, each broadcast, so chunks are never shuffled;
-    only a task's k best per query are. ``keep`` filters before the ranking.
+    Queries go in blocks of counted size, each broadcast, so chunks are never shuffled.
+    ``keep`` filters chunks before.
     """
     rows = chunks if keep is None else chunks.filter(keep)
     normed = lambda df, v: df.withColumn("norm", F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))))
@@ -32,7 +32,15 @@ def dense_topk(queries: DataFrame, chunks: DataFrame, k: int = 30, keep: Column
     for part in parts:
         scored = rows.join(F.broadcast(part)).select("query_id", "id", F.round(score, 6).alias("score"))
         found = scored if found is None else found.unionByName(scored)
-    return top(found, k)
+    return found
+
+
+def dense_topk(queries: DataFrame, chunks: DataFrame, k: int = 30, keep: Column | None = None) -> DataFrame:
+    """(query_id, id, score, rank): the k most similar rows of ``chunks`` (id, vec) for each query.
+
+    Exact; only a task's k best per query are shuffled.
+    """
+    return top(dense_scores(queries, chunks, keep), k)
 
 
 def top(scored: DataFrame, k: int) -> DataFrame:

@@ -1,6 +1,7 @@
 """Operators on fixtures: chunking, fusion, answers, filters, status, sources, store, streams."""
 
 import json
+import math
 import os
 import random
 
@@ -11,6 +12,7 @@ from lodestone import config, errors
 from lodestone.functions import text as T
 from lodestone.operators import answers, chunking, embedding, evaluation, filters, metadata, retrieval, sync
 from lodestone.operators.store import Collection
+from lodestone.plans import catalogue
 from lodestone.sources import convert, datasets, files
 from lodestone.streaming import jobs
 
@@ -124,6 +126,16 @@ def test_dense_blocks(spark, monkeypatch):
     assert sorted(map(tuple, retrieval.dense_topk(q, v, 5).collect())) == whole
 
 
+def test_cosine_matrix_rows(spark, sf, monkeypatch):
+    """Each vector of the stated query set meets every row of the table, in blocks too."""
+    vec = {r["vec_id"]: [float(x) for x in r["embedding"]] for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
+    norm = {i: math.sqrt(sum(x * x for x in v)) for i, v in vec.items()}
+    monkeypatch.setattr(retrieval, "BLOCK", 2)
+    got = {(r["query_id"], r["id"]): r["similarity"] for r in catalogue.cosine_matrix_rows(spark, sf).collect()}
+    assert set(got) == {(q, i) for q in vec if q % 100 == 0 for i in vec}
+    assert all(s == pytest.approx(sum(map(float.__mul__, vec[q], vec[i])) / (norm[q] * norm[i]), abs=2e-6) for (q, i), s in got.items())
+
+
 def test_providers(spark):
     rows = spark.createDataFrame([(1, "a b"), (2, "a b"), (3, "c"), (4, None)], "id bigint, t string")
     got = {r["id"]: r["v"] for r in embedding.embed(rows, "t", "v", embedding.embedder("hash", dim=16), 16).collect()}
