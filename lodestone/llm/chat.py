@@ -75,14 +75,13 @@ def visit_parts(parts: Column) -> Column:
 def format_conversations(turns: DataFrame) -> DataFrame:
     """One row per conversation: formatted, loss_spans, attachments, expanded_tokens.
 
-    ``turns`` has conv_id, turn, role and either ``parts`` (array of ``PART``) or ``text``.
+    ``turns`` has conv_id, turn, role and either ``parts`` (array of ``PART``) or ``text``, which
+    is visited as one text part.
     ``loss_spans`` are (start, length) in code points of the formatted string, one for each
     assistant content; offsets are running sums over a conversation's turns.
     """
-    plain = "parts" not in turns.columns
     role = F.coalesce(F.col("role").cast("string"), F.lit(""))
-    # A turn that is one text needs no visitor: its content is the escaped text.
-    body = F.struct(escape(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("content"), F.expr("cast(array() as array<struct<number:int,type:string,ref:string,tokens:bigint>>)").alias("attachments"), F.lit(0).cast("long").alias("expanded_tokens")) if plain else visit_parts(F.col("parts"))
+    body = visit_parts(F.col("parts") if "parts" in turns.columns else text_parts(F.col("text")))
     visited = turns.select("conv_id", "turn", role.alias("role"), body.alias("body"))
     header = F.concat(F.lit("<|"), F.url_encode("role"), F.lit("|>\n"))
     segment = F.struct("turn", "role", F.col("body.content").alias("content"), header.alias("header"), F.col("body.attachments").alias("attachments"), F.col("body.expanded_tokens").alias("tokens"))

@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.llm import chat, mixing, quality, secrets
 from lodestone.llm import queries as Q
@@ -130,6 +131,15 @@ def test_chat_parts(spark):
     assert row["expanded_tokens"] == 288 + 50 + 768
 
 
+def test_chat_query_visits_parts(spark, sf, monkeypatch):
+    """The query's texts go through the visitor, as parts."""
+    whole, visited, visit = Q.op3_chat(spark, sf).collect(), [], chat.visit_parts
+    monkeypatch.setattr(chat, "visit_parts", lambda parts: visited.append(parts) or visit(parts))
+    assert Counter(Q.op3_chat(spark, sf).collect()) == Counter(whole) and len(visited) == 1
+    monkeypatch.setattr(chat, "visit_parts", lambda parts: visit(F.slice(parts, 1, 0)))
+    assert all(g["loss_chars"] == 0 for g in Q.op3_chat(spark, sf).collect())
+
+
 def test_chat_query(spark, sf):
     rows = defaultdict(list)
     for r in spark.read.parquet(f"{sf}/conversations.parquet").collect() + [dict(zip(("conv_id", "turn", "role", "text"), p)) for p in Q.PROBE]:
