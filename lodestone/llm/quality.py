@@ -91,14 +91,23 @@ def judge(docs: DataFrame) -> DataFrame:
     return with_rules(docs.select("doc_id", text_or_empty("text").alias("_x")), F.col("_x")).select("doc_id", *OUT)
 
 
+def _without_failing() -> Column:
+    """The lines of ``_l`` that pass, as one text."""
+    passed = F.filter(F.transform("_l", lambda x, k: F.when(~line_fails(x, k == F.size("_l") - 1), x)), lambda x: x.isNotNull())
+    return F.array_join(passed, "\n")
+
+
 def clean_text(docs: DataFrame) -> DataFrame:
     """doc_id and the text without its failing lines."""
-    lines = docs.select("doc_id", F.split(text_or_empty("text"), "\n").alias("_l"))
-    kept = F.filter(F.transform("_l", lambda x, k: F.when(~line_fails(x, k == F.size("_l") - 1), x)), lambda x: x.isNotNull())
-    return lines.select("doc_id", F.array_join(kept, "\n").alias("text"))
+    return docs.select("doc_id", F.split(text_or_empty("text"), "\n").alias("_l")).select("doc_id", _without_failing().alias("text"))
 
 
-def filter_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, all columns as they were."""
+def filter_documents(docs: DataFrame, clean: bool = False) -> DataFrame:
+    """The rows of ``docs`` that are kept, all columns as they were; ``clean`` removes the texts' failing lines."""
     rows = docs.select(carried(docs), F.coalesce(column(docs, "text").cast("string"), F.lit("")).alias("_x"))
-    return with_rules(rows, F.col("_x")).filter("kept").select(*restored(docs.columns))
+    kept = with_rules(rows, F.col("_x")).filter("kept")
+    if clean:
+        # A failing line is not blank, so a text that lost no characters has none.
+        text = F.when(F.col("lost_chars") > 0, _without_failing()).otherwise(F.col("_t"))
+        kept = kept.withColumn("_l", F.split("_t", "\n")).withColumn("_row", F.col("_row").withField("text", text))
+    return kept.select(*restored(docs.columns))

@@ -79,6 +79,12 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents"))
 
 
+def op8_quality_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that are kept, without their failing lines."""
+    cleaned = quality.filter_documents(_table(spark, sf_dir, "documents"), clean=True)
+    return cleaned.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of all documents that 5-word shingles link at 0.8."""
     return jaccard.link_groups(_table(spark, sf_dir, "documents"))
@@ -101,6 +107,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_packing": op6_packing,
         "op7_binary_ids": op7_binary_ids,
         "op8_quality": op8_quality,
+        "op8_quality_text": op8_quality_text,
         "op9_ngram_jaccard": op9_ngram_jaccard,
         "op10_telephony": op10_telephony,
     }

@@ -179,6 +179,22 @@ def test_quality_lines(spark):
     assert "Home |" not in got[0]["text"] and "rights" not in got[0]["text"] and got[0]["text"].endswith("in the mid") and got[1]["text"] == ""
 
 
+def test_quality_removes_failing_lines(spark, sf, docs):
+    kept = {r["doc_id"]: r for r in quality.judge(docs).collect() if r["kept"]}
+    rows, left = {r["doc_id"]: r for r in rows_of(docs)}, quality.filter_documents(docs, clean=True)
+    assert left.columns == docs.columns
+    for r in left.collect():
+        want, lines = rows[r["doc_id"]], iter(rows[r["doc_id"]]["text"].split("\n"))
+        removed = sum(map(len, want["text"].split("\n"))) - sum(map(len, r["text"].split("\n")))
+        assert removed == kept[r["doc_id"]]["lost_chars"] and all(x in lines for x in r["text"].split("\n"))
+        assert all(r[c] == want[c] for c in docs.columns if c != "text")
+    text = {r["doc_id"]: r["text"] for r in quality.clean_text(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
+    got = Q.op8_quality_text(spark, sf).collect()
+    assert any(k["lost_chars"] for k in kept.values()) or len(rows) < 200
+    assert {g["doc_id"] for g in got} == {r["doc_id"] for r in Q.op8_quality(spark, sf).collect() if r["kept"]}
+    assert all(g["text_sha256"] == hashlib.sha256(text[g["doc_id"]].encode()).hexdigest() for g in got)
+
+
 def test_clashing_and_empty(clashing_docs, no_docs, hard_docs):
     n = hard_docs.count()
     assert mixing.takes(clashing_docs).count() == secrets.scan(clashing_docs).count() == quality.judge(clashing_docs).count() == n
