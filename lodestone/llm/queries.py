@@ -91,9 +91,9 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents as mu-law files, written, read back, expanded and resampled."""
+    """All documents as mu-law files, expanded and resampled; files and samples written, then read back."""
     folder = shared_folder(spark, "media")
-    telephony.as_wave(_table(spark, sf_dir, "documents")).write.option("compression", "zstd").parquet(folder)
+    telephony.with_pcm(telephony.as_wave(_table(spark, sf_dir, "documents"))).write.option("compression", "zstd").parquet(folder)
     return telephony.features(spark.read.parquet(folder))
 
 

@@ -156,10 +156,24 @@ def decode(media: DataFrame, target: int = TARGET_RATE) -> DataFrame:
     return media.select("doc_id", "media").mapInArrow(run, "doc_id bigint, pcm binary")
 
 
-def digest(data: bytes) -> tuple:
-    """What ``features`` says of one stored file."""
+def with_pcm(media: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, media and ``pcm``, the resampled samples that each file decodes to."""
+    prepare(media.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 100):
+                part = batch.slice(at, 100)
+                made = [to_pcm(m.as_py()).tobytes() for m in part.column(2)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(made, pa.binary())], ["doc_id", "n_bytes", "media", "pcm"])
+
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id bigint, n_bytes bigint, media binary, pcm binary")
+
+
+def digest(data: bytes, stored: bytes | None = None) -> tuple:
+    """What ``features`` says of one stored file, of its stored samples if it has them."""
     tag, rate, _, payload = parse_wave(data)
-    pcm = to_pcm(data)
+    pcm = to_pcm(data) if stored is None else np.frombuffer(stored, "<i2")
     wide = pcm.astype(np.float32)
     crossings = int(np.count_nonzero((pcm[1:] ^ pcm[:-1]) < 0))
     said = f"tag={tag};rate={rate};samples={len(pcm)};peak={int(np.abs(wide).max())};rms={float(np.sqrt(np.mean(np.square(wide), dtype=np.float64))):.2f};crossings={crossings};pcm_crc32={zlib.crc32(pcm)}"
@@ -167,16 +181,17 @@ def digest(data: bytes) -> tuple:
 
 
 def features(media: DataFrame) -> DataFrame:
-    """Digests of the stored bytes, and features of the resampled PCM they decode to."""
+    """Digests of the stored bytes, and features of the resampled PCM: column ``pcm``, or else what they decode to."""
+    columns = ["doc_id", "n_bytes", "media", *[c for c in ("pcm",) if c in media.columns]]
     prepare(media.sparkSession)
     names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [digest(m.as_py()) for m in batch.column(2)]
+            rows = [digest(*(x.as_py() for x in files)) for files in zip(*batch.columns[2:])]
             if rows:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, t) for c, t in zip(zip(*rows), types)]], ["doc_id", "n_bytes", *names])
 
     schema = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
+    return media.select(*columns).mapInArrow(run, schema)

@@ -13,6 +13,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lodestone.llm import binary_ids, licenses, packing, telephony, warc
@@ -239,6 +240,17 @@ def test_telephony_query(docs, spark, tmp_path):
     assert all(g["media_bytes"] == g["payload_bytes"] + 58 for g in got)
 
 
+def test_telephony_query_stores_pcm(spark, sf, tmp_path, monkeypatch):
+    """The query's samples are stored, and its features are those of the stored samples."""
+    monkeypatch.setattr(Q, "shared_folder", lambda spark, name: str(tmp_path / name))
+    got = {r["doc_id"]: r["feature"] for r in Q.op10_telephony(spark, sf).collect()}
+    stored = spark.read.parquet(str(tmp_path / "media"))
+    for r in stored.collect():
+        assert bytes(r["pcm"]) == telephony.to_pcm(bytes(r["media"])).tobytes() and f"pcm_crc32={zlib.crc32(r['pcm'])}" in got[r["doc_id"]]
+    other = telephony.features(stored.withColumn("pcm", F.substring("pcm", 1, 8))).collect()
+    assert len(other) == len(got) and all("samples=4;" in r["feature"] for r in other)
+
+
 def test_companding_tables():
     # Known values of G.711 and the property that codes differ.
     assert telephony.ulaw_table()[[0x00, 0x80, 0xFF, 0x7F]].tolist() == [-32124, 32124, 0, 0]
