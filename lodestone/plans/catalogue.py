@@ -518,12 +518,28 @@ WITH k AS (SELECT item_id, text AS t0, list_distinct(list_filter(regexp_split_to
 SELECT b.item_id, k.item_id AS other, CASE WHEN len(kw) = 0 THEN 1.0 ELSE round(len(list_filter(kw, lambda w: contains(lower(b.text), w))) / len(kw), 6) END AS coverage
 FROM benchmark b JOIN k ON k.item_id // 10 = b.item_id // 10""")
 def keyword_coverage(spark, d):
-    """Each item's text against the terms of the items of its ten."""
+    """Each item's text against the terms of the items of its ten; retrieved content is in ``keyword_coverage_retrieved``."""
     items = table(spark, d, "benchmark").withColumn("ten", F.floor(F.col("item_id") / 10))
     other = items.select("ten", F.col("item_id").alias("other"), F.array_distinct(T.terms(F.col("text"))).alias("kw"))
     return items.join(other, "ten").select("item_id", "other", F.round(evaluation.keyword_coverage(F.col("text"), F.col("kw")), 6).alias("coverage"))
 
 
+@query(f"""
+WITH {_BM25}, c AS (SELECT query_id, string_agg(d.text, chr(10)) AS content, count(*) AS n_hits FROM btop JOIN documents d ON d.doc_id = btop.id GROUP BY query_id),
+k AS (SELECT item_id, list_distinct({_TERMS}) AS kw FROM benchmark)
+SELECT item_id, coalesce(n_hits, 0) AS n_hits, CASE WHEN len(kw) = 0 THEN 1.0 ELSE round(len(list_filter(kw, lambda w: contains(lower(coalesce(content, '')), w))) / len(kw), 6) END AS coverage FROM k LEFT JOIN c ON query_id = item_id""")
+def keyword_coverage_retrieved(spark, d):
+    """Each item's terms against the contents of all its BM25 hits."""
+    hits = bm25_topk(spark, d).select("query_id", "id")
+    # With few items, their hits go to the documents, which are then not shuffled.
+    hits = F.broadcast(hits) if _items(spark, d).count() <= retrieval.BLOCK else hits
+    found = _texts(spark, d).select("id", "text").join(hits, "id")
+    content = found.groupBy("query_id").agg(F.array_join(F.collect_list("text"), "\n").alias("content"), F.count("*").alias("n_hits"))
+    items = _items(spark, d).select("query_id", F.array_distinct(T.terms(F.col("text"))).alias("kw")).join(content, "query_id", "left")
+    coverage = evaluation.keyword_coverage(F.coalesce("content", F.lit("")), F.col("kw"))
+    return items.select(F.col("query_id").alias("item_id"), F.coalesce("n_hits", F.lit(0)).alias("n_hits"), F.round(coverage, 6).alias("coverage"))
+
+
 @query("""
 WITH r AS (SELECT event_type, value AS v, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)
 SELECT event_type, count(*) AS n, round(avg(v), 2) AS avg_ms, round(max(v) FILTER (i = least(n * 50 // 100, n - 1)), 2) AS p50_ms, round(max(v) FILTER (i = least(n * 95 // 100, n - 1)), 2) AS p95_ms,

@@ -4,6 +4,7 @@ import json
 import math
 import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -136,6 +137,19 @@ def test_cosine_matrix_rows(spark, sf, monkeypatch):
     assert all(s == pytest.approx(sum(map(float.__mul__, vec[q], vec[i])) / (norm[q] * norm[i]), abs=2e-6) for (q, i), s in got.items())
 
 
+def test_keyword_coverage_retrieved(spark, sf):
+    """Every item's terms are sought in the contents of its hits."""
+    text = {r["doc_id"]: r["text"].lower() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    hits = {}
+    for r in catalogue.bm25_topk(spark, sf).collect():
+        hits.setdefault(r["query_id"], []).append(text[r["id"]])
+    want = {}
+    for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect():
+        words = set(re.findall(r"\w+", r["text"].lower()))
+        want[r["item_id"]] = (len(hits.get(r["item_id"], [])), round(sum(any(w in t for t in hits.get(r["item_id"], [])) for w in words) / len(words), 6))
+    assert {r["item_id"]: (r["n_hits"], r["coverage"]) for r in catalogue.keyword_coverage_retrieved(spark, sf).collect()} == want
+
+
 def test_providers(spark):
     rows = spark.createDataFrame([(1, "a b"), (2, "a b"), (3, "c"), (4, None)], "id bigint, t string")
     got = {r["id"]: r["v"] for r in embedding.embed(rows, "t", "v", embedding.embedder("hash", dim=16), 16).collect()}
