@@ -22,10 +22,26 @@ def _jumped(parents: DataFrame) -> DataFrame:
             return parents.select("node", "parent")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of ``edges`` (a, b); the root is the component's smallest node."""
-    edges = compacted(edges.select("a", "b").filter("a <> b").distinct())
-    roots: DataFrame | None = None
+def _lifted(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """Edges between the roots of their ends; a node without a root is its own. Those within a root go."""
+    side = lambda name: roots.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root"))
+    both = edges.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
+    return compacted(both.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+
+def components(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(node, root) for every node of ``edges`` (a, b); the root is the component's smallest node.
+
+    ``known`` holds the (node, root) of edges seen before; the result covers both, and only the
+    edges that join two of its components take part.
+    """
+    if known is None:
+        edges = compacted(edges.select("a", "b").filter("a <> b").distinct())
+    else:
+        edges = _lifted(edges.select("a", "b"), known)
+        if not edges.head(1):
+            return known
+    roots = known
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         near = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least"))
@@ -35,9 +51,10 @@ def components(edges: DataFrame) -> DataFrame:
             roots = parents.select("node", F.col("parent").alias("root"))
         else:
             up = parents.select(F.col("node").alias("root"), F.col("parent").alias("higher"))
-            roots = compacted(roots.join(up, "root", "left").select("node", F.coalesce("higher", "root").alias("root")))
-        side = lambda name: parents.select(F.col("node").alias(name), F.col("parent").alias(f"{name}_root"))  # noqa: E731, B023
-        lifted = edges.join(side("a"), "a").join(side("b"), "b")
-        edges = compacted(lifted.filter("a_root <> b_root").select(F.least("a_root", "b_root").alias("a"), F.greatest("a_root", "b_root").alias("b")).distinct())
+            raised = roots.join(up, "root", "left").select("node", F.coalesce("higher", "root").alias("root"))
+            if roots is known:  # nodes that no edge held before
+                raised = raised.unionByName(parents.join(known.select("node"), "node", "left_anti").select("node", F.col("parent").alias("root")))
+            roots = compacted(raised)
+        edges = _lifted(edges, parents.withColumnRenamed("parent", "root"))
         if not edges.head(1):
             return roots

@@ -20,12 +20,14 @@ may leave as many as their rest, the largest, and meet in the others as candidat
 pair's small runs, and either set's large runs and signatures without elements, are too few for
 a link, it goes.
 
-Candidates are verified on the sets themselves: pairs of small runs one by one, and each large
-run's sets with one of them. Large runs within one component are then done with, and sets that
+Candidates are verified on the sets themselves. First each large run's sets meet one of them;
+what this links is one component, and pairs of small runs within a component go before they
+are verified. Large runs within one component are then done with, and sets that
 have no more of the others than the slack leave. What is left are candidate groups. Each is
-compared with one center; members linked to it are one component and are not compared with
-each other. The others are compared in blocks with those whose distance to the center differs by 0.2 at most (Jaccard
-distance is a metric), by a matrix product per pair of blocks.
+compared with one center, and groups that this makes one component go. In the others, members not
+linked to the center are compared in blocks with those whose distance to the center differs by 0.2 at most (Jaccard
+distance is a metric), by a matrix product per pair of blocks. A pair of blocks gives a
+spanning forest of the components that it joins, not all its links.
 
 One pass over the texts makes sets and signatures. Copies of a set within a task sign once, and
 signatures travel in packed chunks: a row per batch and hash bucket. Equal sets are one class
@@ -337,12 +339,35 @@ def linked_between(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarra
     return np.argwhere(100 * both >= PERCENT * (sizes[0][:, None] + sizes[1][None, :] - both))
 
 
+def forest(left: list[int], right: list[int], hits: np.ndarray) -> list[tuple[int, int]]:
+    """Of the hits (places in left and right), as few as join the same roots: no more than there are roots."""
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := above.get(x, x)) != x:
+            above[x] = above.get(up, up)
+            x = up
+        return x
+
+    out = []
+    for i, j in {(left[p], right[q]): None for p, q in hits.tolist() if left[p] != right[q]}:
+        a, b = top(i), top(j)
+        if a != b:
+            above[a] = b
+            out.append((i, j))
+    return out
+
+
 def _blocks_linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of blocks of (root, elements) to (a, b): roots that their links join."""
     for batch in batches:
         for i in range(batch.num_rows):
-            left, right = (batch.column(k)[i].as_py() for k in (0, 1))
-            hits = linked_between(*[[np.frombuffer(s["elements"], _U) for s in side] for side in (left, right)])
-            yield pa.RecordBatch.from_arrays([pa.array([left[p]["rep"] for p, _ in hits], pa.int64()), pa.array([right[q]["rep"] for _, q in hits], pa.int64())], ["a", "b"])
+            roots = [batch.column(k)[i].values.field("root").to_pylist() for k in (0, 1)]
+            if len({*roots[0], *roots[1]}) == 1:
+                continue
+            sets = [[np.frombuffer(e.as_buffer(), _U) for e in batch.column(k)[i].values.field("elements")] for k in (0, 1)]
+            found = forest(*roots, linked_between(*sets))
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
 
 
 def _to_reps(rows: DataFrame, rep_of: DataFrame, name: str) -> DataFrame:
@@ -377,7 +402,7 @@ def classes(docs: DataFrame) -> DataFrame:
     # A class of one row is its own representative; only the others need the join.
     many = compacted(reps.filter("copies > 1").select("c", "d", "rep"))
     rep_of = compacted(docs_.join(many, ["c", "d"], "left").select("row", "doc_id", "text_key", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("rep", "row")).alias("rep")))
-    roots = components(_links(rows, made, reps, rep_of.select("row", "rep", F.col("n_shingles").alias("n")), reps.select("rep", "n")))
+    roots = _roots(rows, made, reps, rep_of.select("row", "rep", F.col("n_shingles").alias("n")), reps.select("rep", "n"))
     return compacted(rep_of.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("row", "doc_id", "text_key", "n_shingles", F.coalesce("root", "rep").alias("root")))
 
 
@@ -403,8 +428,8 @@ def _rarest(held: DataFrame) -> DataFrame:
     return ranked.filter(F.col("nth") <= F.col("all") - F.col("spare")).filter("size > 1").select("rep", "sig", "runs")
 
 
-def _links(rows: DataFrame, made: DataFrame, reps: DataFrame, rep_of: DataFrame, sized: DataFrame) -> DataFrame:
-    """All links needed for the components, between representatives (a, b)."""
+def _roots(rows: DataFrame, made: DataFrame, reps: DataFrame, rep_of: DataFrame, sized: DataFrame) -> DataFrame:
+    """(node, root) of all representatives that have a link."""
     spark = rows.sparkSession
     members = made.filter(F.col("kind") == MEMBER).select(F.col("a").alias("row"), F.col("b").alias("sig"), F.col("b").bitwiseAND(255).alias("instance"))
     bands = spark.createDataFrame([(i, int(low), int(slack)) for i, (low, slack) in enumerate(zip(BANDS.low, BANDS.slack))], "instance bigint, low bigint, slack bigint")
@@ -431,10 +456,16 @@ def _links(rows: DataFrame, made: DataFrame, reps: DataFrame, rep_of: DataFrame,
     held = compacted(held.groupBy(F.col("row").alias("rep"), "instance", "sig").agg(F.max("runs").alias("runs"), F.max("spare").alias("spare")))
     first = compacted(_rarest(held).groupBy("sig").agg(F.max_by("rep", F.struct("runs", -F.col("rep"))).alias("center")))
     tried = _rarest(held).join(first, "sig").filter("rep <> center").select(F.least("rep", "center").alias("a"), F.greatest("rep", "center").alias("b"))
-    pairs = compacted(pairs.unionByName(tried.distinct()).distinct())
+    tried = compacted(tried.distinct())
     out = "a bigint, b bigint, distance double, linked boolean"
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("rep")).unionByName(held.select("rep")).distinct()
+    nodes = pairs.unionByName(tried).select(F.explode(F.array("a", "b")).alias("rep")).unionByName(held.select("rep")).distinct()
     sets = _sets(rows, compacted(nodes.join(reps, "rep").select("rep", "c", "d", F.col("rep_doc").alias("id"))))
+    root = components(compacted(_with_sets(tried, sets).mapInArrow(_verified, out).filter("linked").select("a", "b")))
+    _free(spark)
+    # Then the pairs of small runs, but for those within a component.
+    side = lambda name: root.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root"))
+    across = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").filter(F.coalesce("a_root", "a") != F.coalesce("b_root", "b"))
+    pairs = compacted(across.select("a", "b"))
     # A pair travels with a set, so pairs go in turns, each turn's shuffle files freed before the next.
     links = None
     for turn in range(TURNS):
@@ -442,9 +473,9 @@ def _links(rows: DataFrame, made: DataFrame, reps: DataFrame, rep_of: DataFrame,
         part = compacted(_with_sets(some, sets).mapInArrow(_verified, out).filter("linked").select("a", "b"))
         links = part if links is None else links.unionByName(part)
         _free(spark)
+    root = components(links, root)
 
     # What is left: sets that share more large runs than the slack with sets of other components.
-    root = components(links)
     left = compacted(held.join(root.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep")))
     while True:
         mixed = left.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("sig")
@@ -456,7 +487,7 @@ def _links(rows: DataFrame, made: DataFrame, reps: DataFrame, rep_of: DataFrame,
         if done or not left.head(1):
             break
     if not left.head(1):
-        return links
+        return root
     stays = compacted(_rarest(left).select("rep", "sig", "runs"))
     least = compacted(stays.groupBy("sig").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).filter("least < most").select("sig", "least"))
     met = stays.join(least, "sig").filter("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
@@ -466,17 +497,20 @@ def _links(rows: DataFrame, made: DataFrame, reps: DataFrame, rep_of: DataFrame,
     center = compacted(grouped.groupBy("group").agg(F.min_by("rep", F.struct(-F.col("runs"), F.col("rep"))).alias("center")))
     stars = compacted(grouped.join(center, "group").filter("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b"), "group"))
     if not stars.head(1):
-        return links
+        return root
     one = compacted(_with_sets(stars.select("a", "b"), sets).mapInArrow(_verified, out))
-    links = links.unionByName(one.filter("linked").select("a", "b"))
+    root = components(one.filter("linked"), root)
 
     # Distances to the center, in bins of 0.05; a bin is cut into blocks by hash.
-    far = one.join(stars, ["a", "b"]).groupBy("group", F.col("b").alias("rep")).agg(F.min("distance").alias("distance"))
-    placed = far.join(sized, "rep").withColumn("bin", F.floor(F.col("distance") * 20).cast("int")).withColumn("outer", 100 * (1 - F.col("distance")) < PERCENT - 1e-9)
-    placed = compacted(placed)
+    far = one.join(stars, ["a", "b"]).groupBy("group", F.col("b").alias("rep")).agg(F.min("distance").alias("distance"), F.min("a").alias("center"))
+    far = far.join(root.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    far = compacted(far.join(root.select(F.col("node").alias("center"), F.col("root").alias("of_center")), "center", "left"))
+    mixed = far.groupBy("group").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.first(F.coalesce("of_center", "center")).alias("own")).filter("low < high or low <> own").select("group")
+    placed = far.join(mixed, "group").join(sized, "rep").withColumn("bin", F.floor(F.col("distance") * 20).cast("int")).withColumn("outer", 100 * (1 - F.col("distance")) < PERCENT - 1e-9)
+    placed = compacted(placed.select("rep", "group", "root", "n", "bin", "outer"))
     cuts = compacted(placed.groupBy("group", "bin", "outer").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("cuts")))
     blocked = placed.join(cuts, ["group", "bin", "outer"]).withColumn("cut", F.pmod(F.xxhash64("rep"), F.col("cuts")).cast("int"))
-    packed = checkpointed(blocked.join(sets.hint("merge"), "rep").groupBy("group", "bin", "outer", "cut").agg(F.collect_list(F.struct("rep", "elements")).alias("sets")))
+    packed = checkpointed(blocked.join(sets.hint("merge"), "rep").groupBy("group", "bin", "outer", "cut").agg(F.collect_list(F.struct("root", "elements")).alias("sets")))
     keys = packed.select("group", "bin", "outer", "cut")
     left = keys.filter("outer").select("group", F.col("bin").alias("bin1"), F.col("cut").alias("cut1"))
     near = left.join(keys, "group").filter(F.abs(F.col("bin") - F.col("bin1")) <= 5)
@@ -484,7 +518,7 @@ def _links(rows: DataFrame, made: DataFrame, reps: DataFrame, rep_of: DataFrame,
     near = compacted(near.filter(~F.col("outer") | (F.struct("bin1", "cut1") <= F.struct("bin", "cut"))))
     first = packed.filter("outer").select("group", F.col("bin").alias("bin1"), F.col("cut").alias("cut1"), F.col("sets").alias("left"))
     met = near.join(first.hint("merge"), ["group", "bin1", "cut1"]).join(packed.hint("merge"), ["group", "bin", "outer", "cut"]).select("left", F.col("sets").alias("right"))
-    return compacted(links.unionByName(met.mapInArrow(_blocks_linked, "a bigint, b bigint").filter("a <> b")))
+    return components(compacted(met.mapInArrow(_blocks_linked, "a bigint, b bigint")), root)
 
 
 def link_groups(docs: DataFrame) -> DataFrame:
