@@ -1,18 +1,23 @@
 """Shared helpers of the training-data operators.
 
 Lineage is cut with ``checkpoint()`` in the folder that the cluster names in
-``spark.checkpoint.dir``; only where that setting is missing (tests, local runs) is a
-temporary folder used.
+``spark.checkpoint.dir``; where that setting is missing, a local master (tests) gets a temporary
+folder and any other raises.
 """
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
+from functools import wraps
 from pathlib import Path
 
+import pyarrow as pa
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,10 +28,16 @@ BROADCAST_ROWS = 200_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 _ROOT = str(Path(__file__).resolve().parents[2])
+#: Bytes of an Arrow batch, where the session has Spark's own default: such a batch is held by the
+#: executor and by its Python worker at once, for each core (memory, not results).
+ARROW_BYTES, _ARROW = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+_SPARK_ARROW_BYTES = 64 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Make this package importable in Python workers started from now on."""
+    """Make this package importable in Python workers started from now on, and their batches small."""
+    if spark.conf.get(_ARROW).rstrip("bB") == str(_SPARK_ARROW_BYTES):
+        spark.conf.set(_ARROW, str(ARROW_BYTES))
     env = spark.sparkContext.environment
     parts = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if _ROOT not in parts:
@@ -34,6 +45,30 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def tidy(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """``run`` for ``mapInArrow``, which hands freed memory back to the system when its task ends.
+
+    Workers live on between tasks and stages; what their allocators keep would be held until then.
+    """
+
+    @wraps(run)
+    def tidied(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # not glibc
+                pass
+
+    return tidied
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path in the folder that the driver and all executors share."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -45,6 +80,8 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 def _own_checkpoint_dir(spark: SparkSession) -> None:
     if spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="lodestone-"))
 
 

@@ -51,7 +51,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import carried, checkpointed, column, compacted, prepare, restored, small_enough
+from lodestone.llm.common import carried, checkpointed, column, compacted, prepare, restored, small_enough, tidy
 from lodestone.llm.components import components
 
 WORDS, PERCENT = 5, 80
@@ -210,6 +210,7 @@ def _rows(kind: int, n: int, **columns) -> pa.RecordBatch:
 
 
 def _signed(buckets: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -243,6 +244,7 @@ def _signed(buckets: int):
     return run
 
 
+@tidy
 def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Chunks of a partition to runs of equal signatures: pairs of small ones, members of large ones."""
     sigs, rows = [], []
@@ -282,6 +284,7 @@ def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _rows(MEMBER, len(sig[at : at + 50_000]), a=row[at : at + 50_000], b=sig[at : at + 50_000].view(np.int64))
 
 
+@tidy
 def _with_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = Words()
     for batch in batches:
@@ -305,6 +308,7 @@ def _similar(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return both, len(a) + len(b) - both
 
 
+@tidy
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b, set of a, set of b) to (a, b, distance, linked)."""
     for batch in batches:
@@ -358,6 +362,7 @@ def forest(left: list[int], right: list[int], hits: np.ndarray) -> list[tuple[in
     return out
 
 
+@tidy
 def _blocks_linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of blocks of (root, elements) to (a, b): roots that their links join."""
     for batch in batches:

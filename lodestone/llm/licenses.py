@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import checkpointed, prepare
+from lodestone.llm.common import checkpointed, prepare, tidy
 
 #: Phrases of the base rule and their labels.
 BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
@@ -78,6 +78,7 @@ def base_places(words: list[bytes]) -> dict[str, list[int]]:
     return found
 
 
+@tidy
 def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     vocabulary = frozenset(_NUMBER)
     for batch in batches:
@@ -168,6 +169,7 @@ def labelled(posted: DataFrame, index: Index) -> DataFrame:
     spark = prepare(posted.sparkSession)
     shared = spark.sparkContext.broadcast(index)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             base, labels, scores = [], [], []

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import checkpointed, prepare, shared_folder, small_enough
+from lodestone.llm.common import checkpointed, prepare, shared_folder, small_enough, tidy
 from lodestone.llm.tokens import encoder
 
 WINDOW = 2048
@@ -130,6 +130,7 @@ def plan(hist: np.ndarray, window: int = WINDOW) -> Plan:
 
 
 def _cut(path: str, end_id: int, window: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -166,6 +167,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, window: int = WIND
 
 
 def _placed(plan_value, dtype: str):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p: Plan = plan_value.value
         for batch in batches:

@@ -121,10 +121,42 @@ f AS (SELECT *, sum(source_size) OVER () AS total, sum(weight) OVER () AS all_we
 a AS (SELECT *, CASE WHEN all_weight > capped_weight THEN (total - capped) / (all_weight - capped_weight) END AS after FROM f),
 v AS (SELECT coalesce(arg_max(after, capped_weight) FILTER (after >= cap / weight), any_value(total / all_weight)) AS level FROM a),
 t AS (SELECT source, source_size, least(cap, level * weight) AS target, CASE WHEN source_size > 0 THEN least(least(cap, level * weight) / source_size, 3.0::DOUBLE) ELSE 0.0 END AS rate FROM a, v),
-u AS (SELECT s.doc_id, s.size, t.*, ('0x' || md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, 'null'))[1:13])::BIGINT::DOUBLE / 4503599627370496 AS draw FROM s JOIN t ON t.source IS NOT DISTINCT FROM s.source),
-c AS (SELECT *, floor(rate)::BIGINT + (draw < rate - floor(rate))::BIGINT AS copies FROM u)
+f2 AS (SELECT *, rate - floor(rate) AS fraction FROM t),
+u AS (SELECT s.doc_id, s.size, f2.*, r AS number, ('0x' || md5('{mixing.SEED}:' || r || ':' || coalesce(doc_id::VARCHAR, 'null'))[1:13])::BIGINT::DOUBLE / 4503599627370496 AS u
+  FROM s JOIN f2 ON f2.source IS NOT DISTINCT FROM s.source, range({mixing.SEEDS}) q(r)),
+x AS (SELECT *, floor(u * {mixing.TURNS})::INT AS enters, floor((u - fraction + CASE WHEN u < fraction THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) * {mixing.TURNS})::INT AS leaves FROM u),
+e AS (SELECT source, number, enters AS cell, size AS net, CASE WHEN u < fraction THEN size ELSE 0 END AS first FROM x WHERE fraction > 0 AND size > 0 UNION ALL SELECT source, number, leaves, -size, 0 FROM x WHERE fraction > 0 AND size > 0),
+k AS (SELECT source, number, cell, sum(net) AS net, sum(first) AS first FROM e GROUP BY ALL),
+n AS (SELECT source, number, cell, sum(net) OVER (PARTITION BY source, number ORDER BY cell DESC) + sum(first) OVER (PARTITION BY source, number) AS words FROM k),
+b AS (SELECT source, number, turn FROM (SELECT n.source, number, cell AS turn, row_number() OVER (PARTITION BY n.source ORDER BY abs(words::DOUBLE - fraction * source_size), number, cell) AS nth FROM n JOIN f2 ON f2.source IS NOT DISTINCT FROM n.source) WHERE nth = 1),
+c AS (SELECT x.*, floor(rate)::BIGINT + (enters >= coalesce(turn, 0))::BIGINT - (leaves >= coalesce(turn, 0))::BIGINT + (u < fraction)::BIGINT AS copies
+  FROM x LEFT JOIN b ON b.source IS NOT DISTINCT FROM x.source WHERE x.number = coalesce(b.number, 0))
 SELECT doc_id, size, source_size, target, size * copies AS taken, copies, rate FROM c"""
 
+
+
+def _op2() -> str:
+    """Matches of each kind by splitting and running sums of lengths; then verdicts by distinct owners and repositories."""
+    found = []
+    for no, (kind, _, pattern, group, least) in enumerate((*secrets.BASE_KINDS, secrets.ADDED)):
+        quoted = pattern.replace("'", "''")
+        found.append(f"""SELECT r, {no} AS no, '{kind}' AS kind, unnest(string_split_regex(t, '{quoted}')) AS piece, unnest(regexp_extract_all(t, '{quoted}')) AS whole,
+    unnest(regexp_extract_all(t, '{quoted}', {group})) AS part, generate_subscripts(string_split_regex(t, '{quoted}'), 1) AS i, {least} AS least FROM d""")
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
+m AS ({" UNION ALL ".join(found)}),
+p AS (SELECT *, sum(length(piece) + coalesce(length(whole), 0)) OVER (PARTITION BY r, no ORDER BY i)::BIGINT AS e FROM m),
+s AS (SELECT r, no, kind, part, e - length(whole) AS b, e FROM p WHERE whole IS NOT NULL AND length(part) >= least
+  AND (no < {len(secrets.BASE_KINDS)} OR (regexp_matches(part, '[0-9]') AND regexp_matches(part, '[a-z]') AND regexp_matches(part, '[A-Z]')))),
+o AS (SELECT part, count(DISTINCT coalesce(doc_id::VARCHAR, 'null')) AS n_repos, count(DISTINCT coalesce('=' || source, 'null')) AS n_owners FROM s JOIN d USING (r) GROUP BY part),
+v AS (SELECT r, no, b, kind || ':' || b || ':' || e AS said, NOT (n_owners >= {secrets.EXAMPLE_OWNERS} AND n_repos >= {secrets.EXAMPLE_REPOS}) AS live FROM s JOIN o USING (part))
+SELECT any_value(doc_id) AS doc_id, count(*) FILTER (no = 0) AS n_assign, count(*) FILTER (no = 1) AS n_access, count(*) FILTER (no = 2) AS n_hex,
+  sha256(coalesce(string_agg(said, ',' ORDER BY b, no) FILTER (no < {len(secrets.BASE_KINDS)}), '')) AS base_sha256,
+  coalesce(string_agg(said, ',' ORDER BY b, no) FILTER (no < {len(secrets.BASE_KINDS)} OR live), '') AS spans,
+  count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_example
+FROM d LEFT JOIN v USING (r) GROUP BY r"""
+
+
 _OP3 = r"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')))
@@ -165,4 +197,4 @@ SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(c.root) AS compo
 
 def oracle_sql() -> dict[str, str]:
     """Oracles of those that SQL can express; the others are tested against brute force."""
-    return {"op1_mixing": _OP1, "op3_chat": _OP3, "op8_quality": _OP8, "op9_ngram_jaccard": _OP9}
+    return {"op1_mixing": _OP1, "op2_secrets": _op2(), "op3_chat": _OP3, "op8_quality": _OP8, "op9_ngram_jaccard": _OP9}

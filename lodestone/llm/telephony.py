@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import prepare
+from lodestone.llm.common import prepare, tidy
 
 PAD = 64
 RATE, TARGET_RATE = 8_000, 16_000
@@ -130,6 +130,7 @@ def as_wave(docs: DataFrame, tag: int = ULAW) -> DataFrame:
     """doc_id and ``media``: each text's UTF-8 bytes, padded, as the samples of a RIFF file."""
     prepare(docs.sparkSession)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
@@ -147,6 +148,7 @@ def decode(media: DataFrame, target: int = TARGET_RATE) -> DataFrame:
     """doc_id and ``pcm``, 16-bit little-endian samples at the target rate; null media is empty."""
     prepare(media.sparkSession)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 100):
@@ -160,6 +162,7 @@ def with_pcm(media: DataFrame) -> DataFrame:
     """doc_id, n_bytes, media and ``pcm``, the resampled samples that each file decodes to."""
     prepare(media.sparkSession)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 100):
@@ -187,6 +190,7 @@ def features(media: DataFrame) -> DataFrame:
     names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [digest(*(x.as_py() for x in files)) for files in zip(*batch.columns[2:])]

@@ -3,13 +3,16 @@
 Neither vocabulary merges across the places where a text is cut into pieces here, so the ids
 of a text are those of its pieces in turn. Arrow cuts a batch of texts and numbers the distinct
 pieces; new ones go to the library, some hundreds to a string; numpy lays out the ids. Up to
-``KEEP`` pieces are kept in the worker, the most frequent of the first slices. A text that can't be cut safely is
-encoded whole.
+``KEEP`` pieces are kept in the worker, the most frequent of the first slices. A text that can't be cut safely, or
+that may hold a special token's string, is encoded whole. The ids are those of the library's plain call,
+``encode(text, add_special_tokens=False)``: a special token's string in a text gives that token;
+``special_text=True`` reads such strings as ordinary text.
 """
 
 from __future__ import annotations
 
 import os
+import unicodedata
 from functools import lru_cache
 
 import numpy as np
@@ -24,6 +27,13 @@ SLICE = 8 << 20
 MARKS = ".,;:!?"
 
 
+def closed(char: str) -> bool:
+    """Whether a mark after ``char`` begins a piece of its own: it must still be one letter or digit
+    when it is lowered and normalised (a combining mark would join the mark behind it)."""
+    low = unicodedata.normalize("NFC", char.lower())
+    return char.isalnum() and len(low) == 1 and low.isalnum()
+
+
 class Encoder:
     """``encode_all(texts)`` gives each text's little-endian ids of ``dtype``.
 
@@ -34,12 +44,14 @@ class Encoder:
     leading line end means a line's first word, "\\0" a text's first.
     """
 
-    def __init__(self, path: str, spaced: bool):
+    def __init__(self, path: str, spaced: bool, special_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = special_text
+        special = [] if special_text else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = sorted({t[:2] for t in special})
         self.spaced = spaced
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.width = np.dtype(self.dtype).itemsize
@@ -79,7 +91,7 @@ class Encoder:
         word = key[1:] if self.spaced and key[:1] in "\n\0" else key
         if self.spaced and (not word or word[0].isspace() or word[-1].isspace() or "\n" in word):
             return "", ""
-        mark = word[-1] if word[-1] in MARKS and word[-2:-1].isalnum() else ""
+        mark = word[-1] if word[-1] in MARKS and len(word) > 1 and closed(word[-2]) else ""
         stem = key[:-1] if mark else key
         # Small letters are this vocabulary's own; only ASCII is lowered here.
         return (stem if self.spaced or not stem.isascii() else stem.lower()), mark
@@ -125,6 +137,8 @@ class Encoder:
         else:
             whole = np.zeros(len(texts), bool)
             cut = pc.replace_substring(texts, "\n", " ")
+        for opening in self.special:
+            whole |= pc.match_substring(texts, opening, ignore_case=True).to_numpy(zero_copy_only=False)
         lists = pc.split_pattern(cut, " ")
         coded = lists.flatten().dictionary_encode()
         which = coded.indices.to_numpy()

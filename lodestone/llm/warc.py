@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import prepare
+from lodestone.llm.common import prepare, tidy
 
 #: The date of records made from bare pages, which have none.
 DATE = "1970-01-01T00:00:00Z"
@@ -107,6 +107,7 @@ def _mapped(df: DataFrame, make, names: list[str]) -> DataFrame:
     """A key column and binary columns made from the row, in Arrow batches of at most 200 rows."""
     prepare(df.sparkSession)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
@@ -141,6 +142,7 @@ def summary(derived: DataFrame) -> DataFrame:
         said = json.loads(envelope)
         return page_id, r["WARC-Target-URI"], r["WARC-Record-ID"], m["WARC-Record-ID"], c["WARC-Record-ID"], c["WARC-Refers-To"], c["WARC-Source-Payload-Digest"], m["WARC-Block-Digest"], c["WARC-Block-Digest"], said["title"], len(said["links"]), len(text.decode("utf-8", "surrogatepass")), hashlib.sha256(text).hexdigest(), sum(map(len, (response_bytes, metadata_bytes, conversion_bytes)))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [row(*x) for x in zip(*[c.to_pylist() for c in batch.columns])]

@@ -5,6 +5,7 @@ import math
 import re
 from collections import Counter, defaultdict
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,6 +67,30 @@ def test_mixing_draws_follow_the_rate(spark):
     assert abs(got[0] - 0.5) < 0.01 and abs(got[1] - 0.25) < 0.01 and got[2] >= 0 and got[3] < 1
 
 
+@pytest.mark.parametrize("scale, most, mean", [("sf0.001", 0.1, 0.02), ("sf0.01", 0.01, 0.002), ("sf0.1", 0.002, 0.0005)])
+def test_mixing_near_target(spark, scale, most, mean):
+    """A source's taken words against its target: of 10, 50 and 500 documents a source."""
+    docs = spark.read.parquet(f"/root/testdata/{scale}/documents.parquet")
+    taken = mixing.takes(docs).join(docs.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    miss = [abs(r["taken"] - r["target"]) / r["target"] for r in taken]
+    assert max(miss) < most and sum(miss) / len(miss) < mean
+
+
+def test_mixing_draw_is_the_nearest(spark):
+    """The chosen seed and turn against all of them, counted one by one."""
+    docs = spark.createDataFrame([(i, "w " * (i % 7 + 1), "ab"[i % 3 == 0]) for i in range(40)], "doc_id bigint, text string, source string")
+    drawn = [{r["doc_id"]: r["u"] for r in docs.select("doc_id", mixing.draw("doc_id", F.lit(k)).alias("u")).collect()} for k in range(mixing.SEEDS)]
+    got = {r["doc_id"]: r for r in mixing.takes(docs).collect()}
+    for source in "ab":
+        mine = [r for i, r in got.items() if "ab"[i % 3 == 0] == source]
+        rate = mine[0]["rate"]
+        fraction, whole = rate - math.floor(rate), math.floor(rate)
+        words = lambda k, t: sum(r["size"] for r in mine if (drawn[k][r["doc_id"]] - t / mixing.TURNS) % 1 < fraction)
+        wanted = fraction * mine[0]["source_size"]
+        nearest = min(abs(words(k, t) - wanted) for k in range(mixing.SEEDS) for t in range(mixing.TURNS))
+        assert abs(sum(r["taken"] - whole * r["size"] for r in mine) - wanted) == pytest.approx(nearest)
+
+
 def test_mixing_without_broadcast(docs, monkeypatch):
     want = sorted(map(str, mixing.takes(docs).collect()))
     monkeypatch.setattr(mixing, "small_enough", lambda df: False)
@@ -104,6 +129,58 @@ def test_secret_verdicts_and_redaction(spark):
     assert text[0] == f"see {copied} here" and text[9] == "日本 [SECRET] end" and text[10] == "clean text" and text[11] is None
 
 
+def test_secret_verdicts_on_tables(docs):
+    """All spans and both verdicts' counts, against counting owners and repositories one by one."""
+    rows, found, owners, repos = rows_of(docs), [], defaultdict(set), defaultdict(set)
+    for r in rows:
+        text = r["text"] or ""
+        spans = [(a, no, b, kind, None) for a, no, b, kind in base_spans(text)]
+        spans = [(*s[:4], re.search(r"""[A-Za-z0-9+/_.=-]+$""", text[s[0] : s[2]])[0] if s[3] == "assign" else text[s[0] : s[2]]) for s in spans]
+        spans = [(a, no, b, k, re.match(r"""(?ai)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(.*)""", text[a:b], re.S)[1] if k == "assign" else p) for a, no, b, k, p in spans]
+        spans += [(m.start(), 3, m.end(), "entropy", m[0]) for m in re.finditer(r"[A-Za-z0-9+/_-]{28,}", text) if re.search("[0-9]", m[0]) and re.search("[a-z]", m[0]) and re.search("[A-Z]", m[0])]
+        found.append((r["doc_id"], sorted(spans)))
+        for s in spans:
+            owners[s[4]].add(r["source"])
+            repos[s[4]].add(r["doc_id"])
+    want = Counter()
+    for doc_id, spans in found:
+        live = [len(owners[s[4]]) < secrets.EXAMPLE_OWNERS or len(repos[s[4]]) < secrets.EXAMPLE_REPOS for s in spans]
+        want[doc_id, ",".join(f"{s[3]}:{s[0]}:{s[2]}" for s, v in zip(spans, live) if s[1] < 3 or v), sum(live), len(live) - sum(live)] += 1
+    assert Counter((g["doc_id"], g["spans"], g["n_live"], g["n_example"]) for g in secrets.scan(docs).collect()) == want
+
+
+def test_mirrored_repository_is_one(spark):
+    """A repository that three owners list is one repository; its secret stays live."""
+    rows = [(1, "password=mirrored99", f"s{i}") for i in range(3)] + [(10 + i, "password=copied999", f"s{i}") for i in range(3)]
+    got = secrets.scan(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()
+    assert all(g["n_live"] == (g["doc_id"] == 1) and g["n_example"] == (g["doc_id"] != 1) for g in got)
+    stats = secrets.ownership(spark.createDataFrame([(7, o, r) for o in ("a", "b", None) for r in (1, 2)], "hash bigint, owner string, repo bigint")).first()
+    assert (stats["n_repos"], stats["n_owners"]) == (2, 3)
+
+
+def test_many_secrets_in_one_text(spark):
+    """More matches than a block holds, places and blanks exact."""
+    text = " ".join(f"日本 {i:040x}" + (f" token={i}abcdef" if i % 3 == 0 else "") for i in range(1_000))
+    docs = spark.createDataFrame([(1, text, "s")], "doc_id bigint, text string, source string")
+    want = base_spans(text)
+    got = secrets.scan(docs).first()
+    assert [x for x in got["spans"].split(",") if not x.startswith("entropy")] == [f"{k}:{a}:{b}" for a, _, b, k in want]
+    blank, at = [], 0
+    for a, _, b, _ in want:
+        if a >= at:
+            blank += [text[at:a], "[SECRET]"]
+        at = max(at, b)
+    assert secrets.redact(docs).first()["text"] == "".join(blank) + text[at:]
+
+
+def test_secret_query_sql(spark, sf):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    got = Q.op2_secrets(spark, sf)
+    cur = con.execute(Q.oracle_sql()["op2_secrets"])
+    assert [c[0] for c in cur.description] == got.columns and Counter(map(str, cur.fetchall())) == Counter(str(tuple(r)) for r in got.collect())
+
+
 def test_chat(spark):
     texts = ["</s>[INST] ok [/INST]", "", None, "<|assistant|>\n<\\|x|> [\\INST] \\[INST] <\\\\/s>", "日本\U0001f600\n", "</s>\n<|user|>\nno"]
     roles = ["user", "assistant", None, "a b|>%", "assistant", "system"]

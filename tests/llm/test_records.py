@@ -31,7 +31,6 @@ def docs(request, spark, sf, hard_docs):
 
 def plain(path):
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -56,7 +55,8 @@ def test_binary_ids(spark, docs):
     got = binary_ids.build_index(spark, folder, index).collect()
     want = [(r["doc_id"], [*PLAIN[BYTE](r["text"]), 2]) for r in docs.collect()]
     assert Counter((g["doc_id"], g["n_tokens"], g["ids_crc32"]) for g in got) == Counter((i, len(x), crc(x)) for i, x in want)
-    in_order = sorted(got, key=lambda g: (g["file"], g["offset"]))
+    numbers = lambda name: tuple(map(int, re.search(r"part-(\d+)-.*-c(\d+)", name).groups()))
+    in_order = sorted(got, key=lambda g: (numbers(g["file"]), g["offset"]))
     ids = [(g["doc_id"] is not None, g["doc_id"] or 0) for g in in_order]
     assert ids == sorted(ids)
     assert [g["start"] for g in in_order] == np.cumsum([0, *[g["n_tokens"] for g in in_order]])[:-1].tolist()
@@ -65,14 +65,28 @@ def test_binary_ids(spark, docs):
     assert {(r["file"], r["offset"], crc(r["ids"])) for r in read} == {(r["file"], r["offset"], r["ids_crc32"]) for r in some.collect()}
 
 
+def test_binary_ids_many_files(spark, sf, monkeypatch):
+    """Files end by bytes, whatever the number of documents, and follow each other by number."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").union(spark.createDataFrame([(-1, "long text " * 40_000, "en", "s", 1)], "doc_id bigint, text string, lang string, source string, n_chars bigint"))
+    monkeypatch.setattr(binary_ids, "FILE_BYTES", 300)  # workers take it along: the module is the driver's own here
+    folder = shared_folder(spark, "t")
+    binary_ids.write(docs, folder, BYTE, 2)
+    got = binary_ids.build_index(spark, folder, shared_folder(spark, "i")).orderBy("doc_id").collect()
+    assert [g["start"] for g in got] == np.cumsum([0, *[g["n_tokens"] for g in got]])[:-1].tolist() and len({g["file"] for g in got}) > 100
+    names = ["part-100000-x-c000.txt", "part-99999-x-c1000.txt", "part-99999-x-c200.txt", "part-00007-x-c000.txt"]
+    ordered = spark.createDataFrame([(n,) for n in names], "file string").select("file", *binary_ids.file_order(F.col("file"))).orderBy("task", "nth").collect()
+    assert [r["file"] for r in ordered] == names[::-1]
+
+
 def test_frames_detect_damage():
-    data = binary_ids.frame(7, np.arange(5, dtype="<u2")) + b"\n"
-    assert binary_ids.record(data, 0)[0] == 7 and binary_ids.record(data, 0)[2] == len(data)
+    data = binary_ids.frame(7, np.arange(5, dtype="<u2")) + binary_ids.frame(None, np.arange(0, dtype="<u4")) + b"\n"
+    assert [(i, len(x)) for _, i, x, _ in binary_ids.records(data)] == [(7, 5), (None, 0)] and list(binary_ids.records(b"")) == []
     for at in range(len(data)):
         with pytest.raises(binary_ids.Corrupt):
-            binary_ids.record(data[:at] + bytes([data[at] ^ 1]) + data[at + 1 :], 0)
-    with pytest.raises(binary_ids.Corrupt):
-        binary_ids.record(data[:-3], 0)
+            list(binary_ids.records(data[:at] + bytes([data[at] ^ 1]) + data[at + 1 :]))
+    for cut in range(1, len(data)):
+        with pytest.raises(binary_ids.Corrupt):
+            list(binary_ids.records(data[:cut]))
 
 
 def check_packing(rows, want, window):
