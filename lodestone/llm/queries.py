@@ -91,9 +91,10 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents as mu-law files, expanded and resampled; files and samples written, then read back."""
+    """All documents as mu-law, A-law and ADPCM files, decoded and resampled; files and samples written, then read back."""
     folder = shared_folder(spark, "media")
-    telephony.with_pcm(telephony.as_wave(_table(spark, sf_dir, "documents"))).write.option("compression", "zstd").parquet(folder)
+    stored = telephony.with_pcm(telephony.as_wave(_table(spark, sf_dir, "documents")))
+    stored.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "9").parquet(folder)
     return telephony.features(spark.read.parquet(folder))
 
 

@@ -1,8 +1,10 @@
 """Telephony audio in media columns: mu-law, A-law and IMA ADPCM to resampled PCM.
 
-``as_wave`` stores bytes as 8-bit mu-law or A-law samples of a RIFF file, losslessly.
-``decode`` expands the companded codes by 256-entry lookup tables, decodes ADPCM with numpy
-across blocks (a step of the loop decodes one nibble of all blocks), and resamples.
+``as_wave`` stores bytes as 8-bit mu-law or A-law samples, or as IMA ADPCM blocks, of a RIFF file,
+losslessly; with no format given, the payload's CRC-32 chooses one by ``SHARES``, so equal texts
+have equal files. ``decode`` expands the companded codes by 256-entry lookup tables, decodes ADPCM
+with numpy across blocks (a step of the loop decodes one nibble of all blocks of all files of a slice), and
+resamples. ``with_pcm`` stores the resampled PCM beside the files, in the lossless form of ``pack_pcm``.
 
 Defined results: null text and null media are empty; equal bytes give equal values; a payload
 is padded with zero bytes to a positive multiple of 64; repeated rows are rows of their own; an
@@ -27,6 +29,10 @@ PAD = 64
 RATE, TARGET_RATE = 8_000, 16_000
 #: RIFF format tags.
 PCM, ALAW, ULAW, IMA = 1, 6, 7, 17
+#: Format of a payload by the lowest three bits of its CRC-32: one in eight is ADPCM, whose PCM is the largest.
+SHARES = (ULAW, ULAW, ULAW, ULAW, ALAW, ALAW, ALAW, IMA)
+#: Files that are decoded at a time.
+SLICE = 100
 
 
 def ulaw_table() -> np.ndarray:
@@ -114,36 +120,81 @@ def parse_wave(data: bytes) -> tuple[int, int, int, bytes]:
     raise ValueError("no data chunk")
 
 
+def to_pcm_all(files: list[bytes], target: int = TARGET_RATE) -> list[np.ndarray]:
+    """Resampled 16-bit PCM of RIFF files in any of the four formats; ADPCM blocks of all files step together."""
+    parsed, out, blocks = [parse_wave(f) for f in files], [], {}
+    for tag, _, block, payload in parsed:
+        if tag == IMA:
+            blocks.setdefault(block, []).append(payload[: len(payload) // block * block])
+    decoded = {block: decode_ima(b"".join(held), block) for block, held in blocks.items()}
+    begun = dict.fromkeys(blocks, 0)
+    for tag, rate, block, payload in parsed:
+        if tag == IMA:
+            n = len(payload) // block * (2 * (block - 4) + 1)
+            pcm = decoded[block][begun[block] : begun[block] + n]
+            begun[block] += n
+        elif tag == PCM:
+            pcm = np.frombuffer(payload, "<i2")
+        else:
+            pcm = (_ULAW if tag == ULAW else _ALAW)[np.frombuffer(payload, np.uint8)]
+        out.append(resample(pcm, rate, target))
+    return out
+
+
 def to_pcm(data: bytes, target: int = TARGET_RATE) -> np.ndarray:
-    """Resampled 16-bit PCM of a RIFF file in any of the four formats."""
-    tag, rate, block, payload = parse_wave(data)
-    if tag == IMA:
-        pcm = decode_ima(payload, block)
-    elif tag == PCM:
-        pcm = np.frombuffer(payload, "<i2")
-    else:
-        pcm = (_ULAW if tag == ULAW else _ALAW)[np.frombuffer(payload, np.uint8)]
-    return resample(pcm, rate, target)
-
-
-def as_wave(docs: DataFrame, tag: int = ULAW) -> DataFrame:
-    """doc_id and ``media``: each text's UTF-8 bytes, padded, as the samples of a RIFF file."""
+    return to_pcm_all([data], target)[0]
+
+
+def _middles(even: np.ndarray, n: int) -> np.ndarray:
+    """What the n samples between (and after) the even ones are expected to be."""
+    wide = np.append(even, even[-1:]).astype(np.int32)
+    return ((wide[:-1] + wide[1:]) >> 1)[:n].astype("<i2")
+
+
+def pack_pcm(pcm: np.ndarray) -> bytes:
+    """PCM for storage, without loss: every other sample, then what the rest differ from the middle of
+    their neighbours (modulo 2**16), which is little or nothing in signals below half the rate."""
+    even = pcm[::2].astype("<i2")
+    return even.tobytes() + (pcm[1::2] - _middles(even, len(pcm) // 2)).astype("<i2").tobytes()
+
+
+def unpack_pcm(data: bytes) -> np.ndarray:
+    held = np.frombuffer(data, "<i2")
+    out, even = np.empty(len(held), "<i2"), held[: (len(held) + 1) // 2]
+    out[::2] = even
+    out[1::2] = held[len(even) :] + _middles(even, len(held) // 2)
+    return out
+
+
+def as_wave(docs: DataFrame, tag: int | None = None) -> DataFrame:
+    """doc_id, n_bytes and ``media``: each text's UTF-8 bytes, padded, as the samples of a RIFF file.
+
+    tag: the format of all files; without it, the payload's CRC-32 chooses by ``SHARES``.
+    """
     prepare(docs.sparkSession)
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
+                texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).slice(at, 500).to_pylist()]
                 made = []
-                for text in batch.column(1).slice(at, 500).to_pylist():
-                    data = (text or "").encode("utf-8", "surrogatepass")
-                    made.append(wave(data + b"\0" * (-len(data) % PAD or PAD * (not data)), tag))
-                n = [len((t or "").encode("utf-8", "surrogatepass")) for t in batch.column(1).slice(at, 500).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 500), pa.array(n, pa.int64()), pa.array(made, pa.binary())], ["doc_id", "n_bytes", "media"])
+                for data in texts:
+                    payload = data + b"\0" * (-len(data) % PAD or PAD * (not data))
+                    form = SHARES[zlib.crc32(payload) & 7] if tag is None else tag
+                    made.append(wave(payload, form, block=PAD if form == IMA else 1))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 500), pa.array([len(t) for t in texts], pa.int64()), pa.array(made, pa.binary())], ["doc_id", "n_bytes", "media"])
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, n_bytes bigint, media binary")
 
 
+def _decoded(part: pa.Array, target: int) -> list[np.ndarray]:
+    """PCM of each file; null and empty media have none."""
+    files = [m or b"" for m in part.to_pylist()]
+    found = iter(to_pcm_all([f for f in files if f], target))
+    return [next(found) if f else np.empty(0, "<i2") for f in files]
+
+
 def decode(media: DataFrame, target: int = TARGET_RATE) -> DataFrame:
     """doc_id and ``pcm``, 16-bit little-endian samples at the target rate; null media is empty."""
     prepare(media.sparkSession)
@@ -151,24 +202,23 @@ def decode(media: DataFrame, target: int = TARGET_RATE) -> DataFrame:
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 100):
-                made = [to_pcm(m, target).tobytes() if m else b"" for m in batch.column(1).slice(at, 100).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 100), pa.array(made, pa.binary())], ["doc_id", "pcm"])
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([p.tobytes() for p in _decoded(part.column(1), target)], pa.binary())], ["doc_id", "pcm"])
 
     return media.select("doc_id", "media").mapInArrow(run, "doc_id bigint, pcm binary")
 
 
 def with_pcm(media: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, media and ``pcm``, the resampled samples that each file decodes to."""
+    """doc_id, n_bytes, media and ``pcm``, the resampled samples that each file decodes to, as ``pack_pcm`` has them."""
     prepare(media.sparkSession)
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 100):
-                part = batch.slice(at, 100)
-                made = [to_pcm(m.as_py()).tobytes() for m in part.column(2)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(made, pa.binary())], ["doc_id", "n_bytes", "media", "pcm"])
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([pack_pcm(p) for p in _decoded(part.column(2), TARGET_RATE)], pa.binary())], ["doc_id", "n_bytes", "media", "pcm"])
 
     return media.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id bigint, n_bytes bigint, media binary, pcm binary")
 
@@ -176,7 +226,7 @@ def with_pcm(media: DataFrame) -> DataFrame:
 def digest(data: bytes, stored: bytes | None = None) -> tuple:
     """What ``features`` says of one stored file, of its stored samples if it has them."""
     tag, rate, _, payload = parse_wave(data)
-    pcm = to_pcm(data) if stored is None else np.frombuffer(stored, "<i2")
+    pcm = to_pcm(data) if stored is None else unpack_pcm(stored)
     wide = pcm.astype(np.float32)
     crossings = int(np.count_nonzero((pcm[1:] ^ pcm[:-1]) < 0))
     said = f"tag={tag};rate={rate};samples={len(pcm)};peak={int(np.abs(wide).max())};rms={float(np.sqrt(np.mean(np.square(wide), dtype=np.float64))):.2f};crossings={crossings};pcm_crc32={zlib.crc32(pcm)}"

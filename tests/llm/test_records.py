@@ -260,11 +260,66 @@ def test_telephony_query_stores_pcm(spark, sf, tmp_path, monkeypatch):
     got = {r["doc_id"]: r["feature"] for r in Q.op10_telephony(spark, sf).collect()}
     stored = spark.read.parquet(str(tmp_path / "media"))
     for r in stored.collect():
-        assert bytes(r["pcm"]) == telephony.to_pcm(bytes(r["media"])).tobytes() and f"pcm_crc32={zlib.crc32(r['pcm'])}" in got[r["doc_id"]]
+        pcm = telephony.unpack_pcm(bytes(r["pcm"]))
+        assert pcm.tobytes() == telephony.to_pcm(bytes(r["media"])).tobytes() and f"pcm_crc32={zlib.crc32(pcm)}" in got[r["doc_id"]]
     other = telephony.features(stored.withColumn("pcm", F.substring("pcm", 1, 8))).collect()
     assert len(other) == len(got) and all("samples=4;" in r["feature"] for r in other)
 
 
+def pcm_brute(tag, payload):
+    """Samples one by one: segments and steps of the companders, ADPCM, then midpoints."""
+    if tag == 17:
+        pcm = ima_brute(payload, 64)
+    elif tag == 7:
+        size = lambda c: (((c & 15) * 8 + 132) * 2 ** (c >> 4 & 7)) - 132
+        pcm = [-size(255 - b) if (255 - b) & 128 else size(255 - b) for b in payload]
+    else:
+        size = lambda c: (c & 15) * 16 + 8 if c >> 4 & 7 == 0 else ((c & 15) * 16 + 264) * 2 ** ((c >> 4 & 7) - 1)
+        pcm = [size(b ^ 85) if (b ^ 85) & 128 else -size(b ^ 85) for b in payload]
+    return [x for a, b in zip(pcm, [*pcm[1:], pcm[-1]]) for x in (a, (a + b) >> 1)]
+
+
+def test_telephony_features_brute(spark, sf):
+    """Every column of the whole small table, formats, stored files and features included."""
+    got = {r["doc_id"]: r for r in Q.op10_telephony(spark, sf).collect()}
+    seen, texts = Counter(), {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        g, data = got.pop(r["doc_id"]), (r["text"] or "").encode()
+        payload = data.ljust(max(64, -(-len(data) // 64) * 64), b"\0")
+        tag = [7, 7, 7, 7, 6, 6, 6, 17][zlib.crc32(payload) % 8]
+        form = struct.pack("<HHIIHHH", tag, 1, 8000, 8000, 64 if tag == 17 else 1, 4 if tag == 17 else 8, 0)
+        body = b"WAVEfmt " + struct.pack("<I", 18) + form + b"fact" + struct.pack("<II", 4, len(payload)) + b"data" + struct.pack("<I", len(payload)) + payload
+        media = b"RIFF" + struct.pack("<I", len(body)) + body
+        assert (g["payload_sha256"], g["media_bytes"], g["media_sha256"]) == (hashlib.sha256(payload).hexdigest(), len(media), hashlib.sha256(media).hexdigest())
+        pcm = pcm_brute(tag, payload)
+        crossings = sum((a < 0) != (b < 0) for a, b in zip(pcm, pcm[1:]))
+        rms = (sum(x * x for x in pcm) / len(pcm)) ** 0.5
+        said = dict(x.split("=") for x in g["feature"].split(";"))
+        assert (said["tag"], said["samples"], said["peak"], said["crossings"]) == (str(tag), str(len(pcm)), str(max(map(abs, pcm))), str(crossings))
+        assert float(said["rms"]) == pytest.approx(rms, abs=0.02) and said["pcm_crc32"] == str(zlib.crc32(struct.pack(f"<{len(pcm)}h", *pcm)))
+        assert texts.setdefault(data, tuple(g)[1:]) == tuple(g)[1:]
+        seen[tag] += 1
+    assert not got and set(seen) == {6, 7, 17}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(-32768, 32767), max_size=40))
+def test_stored_pcm_is_lossless(samples):
+    pcm = np.array(samples, "<i2")
+    assert telephony.unpack_pcm(telephony.pack_pcm(pcm)).tolist() == samples
+
+
+@pytest.mark.parametrize("rate, target", [(11_025, 16_000), (44_100, 16_000), (8_000, 11_025), (16_000, 8_000)])
+def test_resampling_between_any_rates(rate, target):
+    pcm = np.random.default_rng(3).integers(-32768, 32768, 500).astype("<i2")
+    got = telephony.resample(pcm, rate, target)
+    assert len(got) == 500 * target // rate
+    for i, x in enumerate(got.tolist()):
+        at = min(i * rate / target, 499)
+        low, high = int(pcm[int(at)]), int(pcm[min(int(at) + 1, 499)])
+        assert abs(x - (low + (high - low) * (at - int(at)))) <= 0.5 + 1e-6
+
+
 def test_companding_tables():
     # Known values of G.711 and the property that codes differ.
     assert telephony.ulaw_table()[[0x00, 0x80, 0xFF, 0x7F]].tolist() == [-32124, 32124, 0, 0]
@@ -288,6 +343,13 @@ def ima_brute(data, block):
     return out
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.binary(max_size=300), max_size=4))
+def test_files_decode_together_as_alone(payloads):
+    files = [telephony.wave(p, tag, block=b) for p in payloads for tag, b in ((telephony.IMA, 36), (telephony.ULAW, 1), (telephony.IMA, 64))]
+    assert [p.tolist() for p in telephony.to_pcm_all(files)] == [telephony.to_pcm(f).tolist() for f in files]
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.binary(max_size=400))
 def test_ima(data):
