@@ -76,9 +76,9 @@ class Settings:
 
 
 def resolve(value: str, rounds: int = 5) -> str:
-    """``${VAR}`` and ``${VAR:-default}`` from the environment, also inside what they give."""
+    """``${VAR}`` and ``${VAR:-default}`` from the environment, also inside what they give; one that is not set stays as it is."""
     for _ in range(rounds):
-        new = re.sub(r"\$\{(\w+)(?::-([^}]*))?\}", lambda m: os.environ.get(m[1], m[2] or ""), value)
+        new = re.sub(r"\$\{(\w+)(?::-([^}]*))?\}", lambda m: os.environ.get(m[1], m[0] if m[2] is None else m[2]), value)
         if new == value:
             break
         value = new

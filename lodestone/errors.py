@@ -54,5 +54,5 @@ class SyncError(EngineError):
 
 
 #: By name: whether a failure of this type is tried again.
-RETRYABLE = ("ServiceUnavailableError", "ConversionTimeoutError", "EmbeddingError", "StorageError")
-FINAL = ("CorruptedDocumentError", "ConfigError", "ChunkingError")
+RETRYABLE = ("ConversionTimeoutError", "ServiceUnavailableError", "RetrievalError", "EmbeddingError", "StorageError")
+FINAL = ("ConfigError", "ConversionError", "CorruptedDocumentError")

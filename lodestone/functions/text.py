@@ -9,8 +9,8 @@ _DNS = "6ba7b8109dad11d180b400c04fd430c8"
 SENTENCE_END = r"(?<=[.!?])\s+"
 #: Patterns of the data model.
 EMAIL = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
-URL = r"https?://[^\s<>\"')\]]+"
-PHONE = r"\+?[0-9][0-9 ().-]{7,}[0-9]"
+URL = r"https?://[^\s<>\"']+"
+PHONE = r"(?:\+?\d{1,3}[-.\s]?)?\(?\d{2,4}\)?[-.\s]?\d{3,4}[-.\s]?\d{3,4}"
 
 
 def content_hash(text: Column) -> Column:

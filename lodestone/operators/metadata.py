@@ -69,6 +69,7 @@ def topics(response: Column, most: int = 5) -> Column:
 
 
 def entities(response: Column, most: int = 10) -> Column:
-    """A model's JSON object of entity lists, each cut to ``most``."""
-    read = F.from_json(T.strip_fences(response), "map<string,array<string>>")
-    return F.coalesce(F.transform_values(read, lambda k, v: F.slice(v, 1, most)), F.expr("cast(map() as map<string,array<string>>)"))
+    """A model's JSON object of entity lists, each cut to ``most``; values that are no lists are left out."""
+    read = F.try_variant_get(F.try_parse_json(T.strip_fences(response)), "$", "map<string,variant>")
+    lists = F.map_filter(read, lambda k, v: F.schema_of_variant(v).startswith("ARRAY"))
+    return F.coalesce(F.transform_values(lists, lambda k, v: F.slice(F.try_variant_get(v, "$", "array<string>"), 1, most)), F.expr("cast(map() as map<string,array<string>>)"))

@@ -214,7 +214,7 @@ def _sql_list(items) -> str:
 
 
 @query(f"""
-WITH b AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '(?s)```.*?```', ' ', 'g'), 'https?://[^\\s<>"'')\\]]+', ' ', 'g'), '{T.EMAIL}', ' ', 'g') AS text FROM documents),
+WITH b AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '(?s)```.*?```', ' ', 'g'), 'https?://[^\\s<>"'']+', ' ', 'g'), '{T.EMAIL}', ' ', 'g') AS text FROM documents),
 t AS (SELECT doc_id, {_TERMS} AS t FROM b),
 w AS (SELECT doc_id, unnest(t) AS word, generate_subscripts(t, 1) AS place FROM t),
 n AS (SELECT doc_id, word, count(*) AS n, min(place) AS place FROM w WHERE regexp_full_match(word, '[a-z]{{4,}}') AND word NOT IN ({_sql_list(metadata.STOPWORDS)}) GROUP BY ALL),
@@ -227,7 +227,7 @@ def keywords_top10(spark, d):
 @query(rf"""
 SELECT doc_id, length(regexp_extract(text, '^(#{{1,6}})\s+', 1))::BIGINT AS heading_level, regexp_matches(text, '^\s*[-*\d]+[.)]\s') AS is_list, contains(text, '```') OR starts_with(text, '    ') AS is_code,
   length(text) - length(replace(text, '|', '')) >= 3 AS is_table, length(text) AS char_count, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS word_count,
-  len(regexp_extract_all(text, 'https?://[^\s<>"'')\]]+')) AS link_count, len(regexp_extract_all(text, '{T.EMAIL}')) AS email_count, len(regexp_extract_all(text, '{T.PHONE.replace("\\+", "[+]")}')) AS phone_count
+  len(regexp_extract_all(text, 'https?://[^\s<>"'']+')) AS link_count, len(regexp_extract_all(text, '{T.EMAIL}')) AS email_count, len(regexp_extract_all(text, '{T.PHONE}')) AS phone_count
 FROM documents""")
 def structural_meta(spark, d):
     return metadata.structural(table(spark, d, "documents"))
@@ -248,7 +248,7 @@ def language_confusion(spark, d):
     return language_guess(spark, d).groupBy("lang", "guess").agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT doc_id, len(regexp_extract_all(text, '{T.EMAIL}')) AS emails, len(regexp_extract_all(text, '{T.PHONE.replace('\\+', '[+]')}')) AS phones FROM documents WHERE regexp_matches(text, '{T.EMAIL}') OR regexp_matches(text, '{T.PHONE.replace('\\+', '[+]')}')")
+@query(f"SELECT doc_id, len(regexp_extract_all(text, '{T.EMAIL}')) AS emails, len(regexp_extract_all(text, '{T.PHONE}')) AS phones FROM documents WHERE regexp_matches(text, '{T.EMAIL}') OR regexp_matches(text, '{T.PHONE}')")
 def pii_counts(spark, d):
     m = metadata.structural(table(spark, d, "documents"))
     return m.filter("email_count + phone_count > 0").select("doc_id", F.col("email_count").alias("emails"), F.col("phone_count").alias("phones"))
