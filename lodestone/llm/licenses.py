@@ -1,11 +1,13 @@
 """License scans by a positional rare-token index.
 
-``postings`` reads each whole text once: it counts words, finds the base phrases, and lists
-where words of the license templates stand (function words left out). Document frequencies of
+``postings`` reads each whole text once: it counts words, finds the base phrases and the
+templates' mandatory key phrases (every word of them, in a row), and lists where words of the
+license templates stand (function words left out). Document frequencies of
 those words, over all documents, give their IDF. ``labelled`` then works on these lists alone:
 for each file, all its license words are looked up in the templates' postings; template and
 file positions that agree on one offset are intersected; the best offset's share of the
-template's IDF is the score; a label also needs the template's mandatory key phrases. A template
+template's IDF is the score; a label also needs the template's mandatory key phrases, whole and
+near that offset. A template
 is passed over only if all its words in the file, wherever they stand, can neither reach the
 least score nor beat the best one.
 
@@ -19,7 +21,7 @@ from __future__ import annotations
 import math
 from bisect import bisect_left
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,14 +40,17 @@ TEMPLATES = (
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", ("creative commons attribution",)),
     ("cc-by-nc", "licensed under cc by nc 4 0", ("cc by nc",)),
     ("cc-by-sa", "licensed under cc by sa 4 0", ("cc by sa",)),
+    ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at", ("eclipse public license",)),
     ("gpl", "this work is licensed under the gnu general public license version 3", ("gnu general public license",)),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("permission to use copy modify",)),
     ("lgpl", "licensed under the gnu lesser general public license version 2 1", ("gnu lesser general public license",)),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ("permission is hereby granted free of charge",)),
     ("mit", "released under the mit license", ("mit license",)),
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
+    ("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software released into the public domain",)),
+    *((label, f"spdx license identifier {name}", (f"spdx license identifier {name}",)) for label, name in (("agpl", "agpl 3 0"), ("apache", "apache 2 0"), ("bsd", "bsd 2 clause"), ("bsd", "bsd 3 clause"), ("cc-by", "cc by 4 0"), ("epl", "epl 2 0"), ("gpl", "gpl 2 0"), ("gpl", "gpl 3 0"), ("isc", "isc"), ("lgpl", "lgpl 2 1"), ("mit", "mit"), ("mpl", "mpl 2 0"), ("unlicense", "unlicense"))),
 )
-#: Function words: they are no rare tokens, and are matched only inside key phrases' neighbourhoods.
+#: Function words: they are no rare tokens; key phrases need them like any other word.
 COMMON = frozenset("a all an and any are as at be by can for form from in is it may not of on or out that the this to use with without you".split())
 #: The share of a template's IDF that must stand at one offset, and the shift allowed there.
 LEAST_SCORE, SLACK = 0.6, 2
@@ -54,8 +59,11 @@ _UPPER = bytes(range(65, 91))
 #: Bytes to small letters, and to blanks where no word character stands; bytes over 127 stay.
 _TABLE = bytes(b + 32 if b in _UPPER else b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
 
-VOCABULARY = sorted({w for _, text, keys in TEMPLATES for w in f"{text} {' '.join(keys)}".split() if w not in COMMON})
+VOCABULARY = sorted({w for _, text, _ in TEMPLATES for w in text.split() if w not in COMMON})
+KEYS = sorted({key for _, _, keys in TEMPLATES for key in keys})
 _NUMBER = {w.encode(): i for i, w in enumerate(VOCABULARY)}
+_KEY_NUMBER = {key: i for i, key in enumerate(KEYS)}
+_BASE_LABEL = dict(BASE)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -63,18 +71,18 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_TABLE).split()
 
 
-def base_places(words: list[bytes]) -> dict[str, list[int]]:
-    """Label to the places where its base phrase's words stand in a row."""
+def places(words: list[bytes], phrases: Iterable[str]) -> dict[str, list[int]]:
+    """Phrase to the places, ascending, where its words stand in a row; phrases that have none are left out."""
     line, found = b" " + b" ".join(words) + b" ", {}
-    for phrase, label in BASE:
-        needle, at, places = b" " + phrase.encode() + b" ", 0, []
+    for phrase in phrases:
+        needle, at, own = b" " + phrase.encode() + b" ", 0, []
         seen = upto = 0
         while (at := line.find(needle, at)) >= 0:
             seen, upto = seen + line.count(b" ", upto, at), at
-            places.append(seen)
+            own.append(seen)
             at += 1
-        if places:
-            found[label] = places
+        if own:
+            found[phrase] = own
     return found
 
 
@@ -85,23 +93,26 @@ def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
             words = words_of(text.as_py())
-            found = base_places(words)
-            places = [p for v in found.values() for p in v]
             hits: list[int] = []
-            if not vocabulary.isdisjoint(words):
+            keys: list[int] = []
+            base: dict[str, list[int]] = {}
+            if not vocabulary.isdisjoint(words):  # every base and key phrase holds a word of the vocabulary
                 hits = [x for i, w in enumerate(words) if w in vocabulary for x in (_NUMBER[w], i)]
-            rows.append((doc_id, len(words), len(places), min(places, default=None), max(places, default=None), sorted(found), hits))
+                keys = [x for key, own in places(words, KEYS).items() for p in own for x in (_KEY_NUMBER[key], p)]
+                base = places(words, _BASE_LABEL)
+            all_base = [p for own in base.values() for p in own]
+            rows.append((doc_id, len(words), len(all_base), min(all_base, default=None), max(all_base, default=None), sorted({_BASE_LABEL[b] for b in base}), hits, keys))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], _NAMES)
 
 
-_NAMES = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base", "hits"]
-_TYPES = [*[pa.int64()] * 5, pa.list_(pa.string()), pa.list_(pa.int64())]
-_SCHEMA = "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base array<string>, hits array<bigint>"
+_NAMES = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base", "hits", "keys"]
+_TYPES = [*[pa.int64()] * 5, pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+_SCHEMA = "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base array<string>, hits array<bigint>, keys array<bigint>"
 
 
 def postings(docs: DataFrame) -> DataFrame:
-    """Per document: base figures and ``hits``, (word number, place) in turn, for template words."""
+    """Per document: base figures, ``hits``, (word number, place) in turn, for template words, and ``keys`` likewise for key phrases."""
     prepare(docs.sparkSession)
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_posted, _SCHEMA)
 
@@ -122,10 +133,13 @@ class Index:
         for _, text, keys in TEMPLATES:
             self.words.append([(number[w], q) for q, w in enumerate(text.split()) if w in number])
             self.total.append(sum(self.idf[w] for w, _ in self.words[-1]))
-            self.keys.append([[(number[w], k) for k, w in enumerate(key.split()) if w in number] for key in keys])
+            self.keys.append([_KEY_NUMBER[key] for key in keys])
 
-    def judge(self, hits: list[int]) -> tuple[list[str], float]:
-        """(labels, best score) of a file's template words."""
+    def judge(self, hits: list[int], keys: list[int]) -> tuple[list[str], float]:
+        """(labels, best score) of a file's template words and key phrases."""
+        starts: dict[int, list[int]] = defaultdict(list)
+        for k, p in zip(keys[::2], keys[1::2]):
+            starts[k].append(p)
         at: dict[int, set[int]] = defaultdict(set)
         for w, p in zip(hits[::2], hits[1::2]):
             at[w].add(p)
@@ -138,8 +152,7 @@ class Index:
             best = max(best, max(got.values(), default=0.0))
             enough = [o for o, share in got.items() if share >= LEAST_SCORE]
             if enough and TEMPLATES[t][0] not in labels:
-                starts = [sorted(self._starts(key, at)) for key in self.keys[t]]
-                if any(all(self._near(s, o, t) for s in starts) for o in enough):
+                if any(all(self._near(starts[k], o, t) for k in self.keys[t]) for o in enough):
                     labels.add(TEMPLATES[t][0])
         return sorted(labels), round(float(best), 6)
 
@@ -151,12 +164,6 @@ class Index:
                 got[o] += self.idf[w]
         return {o: min(1.0, x / self.total[t]) for o, x in got.items()}
 
-    @staticmethod
-    def _starts(key: list[tuple[int, int]], at: dict[int, set[int]]) -> list[int]:
-        """Where a key phrase's words stand in a row."""
-        lead, shift = key[0]
-        return [p - shift for p in at.get(lead, ()) if all(p - shift + k in at.get(w, ()) for w, k in key)]
-
     @staticmethod
     def _near(starts: list[int], offset: int, t: int) -> bool:
         """Whether one of the (sorted) starts is within the template's reach."""
@@ -173,8 +180,8 @@ def labelled(posted: DataFrame, index: Index) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             base, labels, scores = [], [], []
-            for own, hits in zip(batch.column(5).to_pylist(), batch.column(6).to_pylist()):
-                more, best = shared.value.judge(hits) if hits else ([], 0.0)
+            for own, hits, keys in zip(*(batch.column(i).to_pylist() for i in (5, 6, 7))):
+                more, best = shared.value.judge(hits, keys) if hits else ([], 0.0)
                 base.append(",".join(own))
                 labels.append(",".join(sorted({*own, *more})))
                 scores.append(best)

@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import math
 import random
 import re
 import struct
@@ -188,7 +189,7 @@ def license_brute(words, idf):
     for label, text, keys in licenses.TEMPLATES:
         rare = [(q, w) for q, w in enumerate(text.split()) if w not in licenses.COMMON]
         near = lambda p, w: w in words[max(p - licenses.SLACK, 0) : max(p + licenses.SLACK + 1, 0)]
-        stands = lambda p, key: p >= 0 and all(k in licenses.COMMON or words[p + i : p + i + 1] == [k] for i, k in enumerate(key.split()))
+        stands = lambda p, key: p >= 0 and words[p : p + len(key.split())] == key.split()
         for o in {p - q for q, w in rare for p in range(len(words)) if words[p] == w}:
             share = min(1.0, sum(idf[w] for q, w in rare if near(o + q, w)) / sum(idf[w] for _, w in rare))
             best = max(best, share)
@@ -209,11 +210,35 @@ def test_license_judge_against_brute_force():
             words += [rng.choice(["lorem", rng.choice(licenses.VOCABULARY)]) for _ in range(rng.randrange(8))]
             words += [w for w in notice if rng.random() > 0.1] if rng.random() < 0.6 else notice
         hits = [x for i, w in enumerate(words) if w in idf for x in (licenses.VOCABULARY.index(w), i)]
-        labels, score = index.judge(hits)
+        found = licenses.places([w.encode() for w in words], licenses.KEYS)
+        labels, score = index.judge(hits, [x for key, own in found.items() for p in own for x in (licenses.KEYS.index(key), p)])
         want, best = license_brute(words, idf)
         assert labels == want and score == pytest.approx(best, abs=1e-6)
 
 
+def test_license_labels_of_whole_tables(spark, docs):
+    """Labels and scores of all rows against brute force over whole texts."""
+    lines = docs.collect()
+    words = [LICENSE_WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in r["text"] or "")) for r in lines]
+    df = Counter(w for x in words for w in set(x))
+    idf = {w: math.log((1 + len(lines)) / (1 + df[w])) + 1 for w in licenses.VOCABULARY}
+    want = Counter()
+    for r, x in zip(lines, words):
+        if len(x) > 200_000:
+            assert idf.keys().isdisjoint(x)  # brute force takes too long otherwise
+        labels, score = ([], 0.0) if idf.keys().isdisjoint(x) else license_brute(x, idf)
+        line = f" {' '.join(x)} "
+        base = {label for phrase, label in licenses.BASE if f" {phrase} " in line}
+        want[r["doc_id"], ",".join(sorted(base | set(labels))), round(score, 5)] += 1
+    assert Counter((g["doc_id"], g["labels"], round(g["score"], 5)) for g in licenses.scan(docs).collect()) == want
+
+
+def test_license_key_phrases_are_whole(spark):
+    texts = ["permission xx yy copy modify and or distribute this software for any purpose with or without fee is hereby granted", "// SPDX-License-Identifier: Apache-2.0", "This is free and unencumbered software released into the public domain.", "spdx identifier apache"]
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert got == {0: "", 1: "apache", 2: "unlicense", 3: ""}
+
+
 def test_license_many_notices(spark):
     """A file keeps the licenses of all its notices, however many template words it holds."""
     every = (" lorem ipsum" * 3000 + " ").join(text for _, text, _ in licenses.TEMPLATES)
