@@ -1,13 +1,16 @@
 """Operators 4, 5, 6, 7 and 10 against brute force and exact round trips."""
 
+import gzip
 import hashlib
 import json
 import math
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 import public_tokenizers
@@ -267,6 +270,100 @@ def test_warc(spark, sf):
     assert warc.summary(warc.derive(warc.responses(pages.limit(0)))).count() == 0
 
 
+def http_record(head, payload, **warc_headers):
+    block = ("\r\n".join(["HTTP/1.1 200 OK", *head]) + "\r\n\r\n").encode() + payload
+    names = {"WARC-Type": "response", "WARC-Record-ID": "<urn:uuid:1>", **{k.replace("_", "-"): v for k, v in warc_headers.items()}}
+    return "".join(["WARC/1.0\r\n", *[f"{k}: {v}\r\n" for k, v in names.items()], f"content-length: {len(block)}\r\n\r\n"]).encode() + block + b"\r\n\r\n"
+
+
+def read_derived(data):
+    metadata, conversion = warc.derivatives(data)
+    return warc.parse(metadata), warc.parse(conversion), json.loads(warc.parse(metadata)[1])
+
+
+def test_warc_of_real_records():
+    """Records without digests, with other charsets, repeated headers, and encoded bodies."""
+    page = "<title>é</title><p>größe"
+    (m, _), (c, text), said = read_derived(http_record(["content-type: text/html; charset=ISO-8859-1", "Set-Cookie: a", "Set-Cookie: b"], page.encode("latin-1")))
+    assert text.decode() == "é\ngröße" and said["title"] == "é" and [v for k, v in said["http_headers"] if k == "Set-Cookie"] == ["a", "b"]
+    assert m["WARC-Refers-To"] == c["WARC-Refers-To"] == "<urn:uuid:1>" and m["WARC-Source-Payload-Digest"] == warc.digest(page.encode("latin-1"))
+    packed = gzip.compress(page.encode())
+    chunked = b"".join(b"%x\r\n%s\r\n" % (len(packed[i : i + 7]), packed[i : i + 7]) for i in range(0, len(packed), 7)) + b"0\r\n\r\n"
+    for head, payload in ((["Content-Encoding: gzip"], packed), (["Transfer-Encoding: chunked", "Content-Encoding: gzip"], chunked), ([], b'<meta charset="utf-8">' + page.encode()), (["Content-Type: text/html; charset=no-such"], page.encode()), (["Content-Encoding: gzip"], page.encode())):
+        assert read_derived(http_record(head, payload))[1][1].decode() == "é\ngröße"
+    assert read_derived(http_record([], b""))[2]["title"] is None
+    with pytest.raises(ValueError):
+        warc.derivatives(http_record([], b"x", WARC_Block_Digest="sha1:AAAA"))
+    for wrong in (b"", b"no record", b"WARC/1.1\r\nContent-Length: 9\r\n\r\nx"):
+        with pytest.raises(ValueError):
+            warc.parse(wrong)
+
+
+class Brute(HTMLParser):
+    """Visible text, links and title by the standard library's parser, for well-formed pages."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.text, self.links, self.title, self.hidden, self.in_title = [], [], None, 0, False
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        self.hidden += tag in warc.HIDDEN
+        self.in_title = tag == "title" or self.in_title
+        self.text += ["\n"] if tag in warc.BLOCKS else [" "] if tag in warc.HIDDEN else []
+        target = next((v for k, v in attrs if k in ("href", "src")), None)
+        self.links += [{"tag": tag, "url": target}] if tag in warc.LINKS and target is not None else []
+
+    def handle_endtag(self, tag):
+        self.hidden -= tag in warc.HIDDEN
+        self.in_title = self.in_title and tag != "title"
+        self.text += ["\n"] if tag in warc.BLOCKS else []
+
+    def handle_comment(self, data):
+        self.text.append(" ")
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.text.append(data)
+            self.title = " ".join(f"{self.title or ''} {data}".split()) if self.in_title else self.title
+
+
+def test_warc_pages_against_a_parser(spark, sf):
+    """Every page of the table: title, links and text as the standard library's parser gives them."""
+    for r in spark.read.parquet(f"{sf}/pages.parquet").select("html").collect():
+        title, links, text = warc.read_page(r["html"] or "")
+        want = Brute(r["html"] or "")
+        lines = (" ".join(x.split()) for x in "".join(want.text).split("\n"))
+        assert (title, links, text) == (want.title, want.links, "\n".join(x for x in lines if x))
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<!--", "<script>", "<title>", "<", '<a href="', "<a ='", "</", "<p>", "&amp", "<style ", "<a href="])
+def test_warc_time_is_linear(unit):
+    started = time.monotonic()
+    warc.read_page(unit * 200_000)
+    assert time.monotonic() - started < 5
+
+
+def test_warc_quotes_and_open_ends():
+    assert warc.read_page('<a title="x>y" href="/a>b">t</a><p>1 < 2<br>z <!-- open')[1:] == ([{"tag": "a", "url": "/a>b"}], "t\n1 < 2\nz <!-- open")
+
+
+def test_warc_files(spark, sf, tmp_path):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    odd = spark.createDataFrame([(None, None, "a\n\n"), (None, None, "b\r\n"), (-1, "u", "é" * 100_000), (-2, "r", "same"), (-2, "r", "same")], "page_id bigint, url string, html string")
+    derived = warc.derive(warc.responses(pages.unionByName(odd, allowMissingColumns=True))).cache()
+    warc.write_files(derived, str(tmp_path / "w"), 50)
+    back = warc.read_files(spark, str(tmp_path / "w" / "part-*")).collect()
+    want = Counter(bytes(r[k]) for r in derived.collect() for k in ("response", "metadata", "conversion"))
+    assert Counter(bytes(r["record"]) for r in back) == want and max(want.values()) == 2
+    (tmp_path / "z").mkdir()
+    (tmp_path / "z" / "a.warc.gz").write_bytes(b"".join(gzip.compress(x) for x in want))
+    assert {bytes(r["record"]) for r in warc.read_files(spark, str(tmp_path / "z")).collect()} == set(want)
+    clash = pages.limit(3).withColumn("response", F.lit(1)).withColumn("metadata", F.lit("x"))
+    assert warc.summary(warc.derive(warc.responses(clash))).count() == 3
+
+
 def test_telephony_query(docs, spark, tmp_path):
     telephony.as_wave(docs).write.parquet(str(tmp_path / "m"))
     got = telephony.features(spark.read.parquet(str(tmp_path / "m"))).collect()
