@@ -220,7 +220,7 @@ def test_model_answers(spark):
     assert one(spark, metadata.topics(F.col("s")), s="no list") == []
     assert one(spark, metadata.entities(F.col("s")), s='{"people": ["x"]}') == {"people": ["x"]}
     assert one(spark, metadata.entities(F.col("s")), s='{"people": ["A", "B"], "note": "x", "dates": [], "n": 1}') == {"people": ["A", "B"], "dates": []}
-    assert [one(spark, metadata.entities(F.col("s")), s=s) for s in ("", "no json", "[1]", None)] == [{}] * 4
+    assert [one(spark, metadata.entities(F.col("s")), s=s) for s in ("", "no json", "[1]", "null")] == [{}] * 4
     assert one(spark, metadata.doc_type(F.col("s")), s="This is an Invoice.") == "invoice"
 
 
