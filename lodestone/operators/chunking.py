@@ -40,33 +40,49 @@ def block_kind(block: Column) -> Column:
     )
 
 
+def _bounds(size: int, overlap: int, late_header: bool):
+    """A UDF of blocks' lengths and whether they are headings: (start, end, head) of each chunk in one pass.
+
+    ``head`` is the place of the heading that holds for the chunk, -1 without one. No text goes to Python.
+    """
+
+    def bounds(lengths: pd.Series, headings: pd.Series) -> pd.Series:
+        out = []
+        for row, heads in zip(lengths, headings):
+            found, start, chars, head = [], 0, 0, -1
+            for i, n in enumerate(row):
+                now = i if heads[i] else head
+                if i > start and chars + n > size:
+                    found.append({"start": start, "end": i, "head": now if late_header else head})
+                    start, chars = i, min(int(row[i - 1]), overlap)
+                chars, head = chars + int(n), now
+            if len(row):
+                found.append({"start": start, "end": len(row), "head": head})
+            out.append(found)
+        return pd.Series(out, dtype=object)
+
+    return F.pandas_udf(bounds, "array<struct<start:int,end:int,head:int>>")
+
+
 def markdown_chunks(docs: DataFrame, size: int = 1024, overlap: int = 128, late_header: bool = False) -> DataFrame:
     """(doc_id, chunk_index, content, section_header): blocks packed up to ``size`` characters.
 
     A flush seeds the next chunk with the last ``overlap`` characters of the last block.
-    ``late_header`` gives a flushed chunk the header of the block that came after it.
+    ``late_header`` gives a flushed chunk the header of the block that came after it. Time is linear in
+    the number of blocks; null and blank texts give no chunk.
     """
-    state = "struct<out:array<struct<content:string,section_header:string>>,cur:array<string>,n:int,h:string>"
-    parts = F.filter(F.transform(F.split("text", "\n\n"), lambda b: F.regexp_replace(b, r"^\s+|\s+$", "")), lambda b: b != "")
-    empty = F.expr(f"cast(named_struct('out', array(), 'cur', array(), 'n', 0, 'h', '') as {state})")
-
-    def step(acc, b):
-        header = F.when(block_kind(b) == "heading", F.trim(F.regexp_replace(b, "^#+", ""))).otherwise(acc["h"])
-        flush = (F.size(acc["cur"]) > 0) & (acc["n"] + F.length(b) > size)
-        tail = F.right(F.element_at(acc["cur"], -1), F.lit(overlap))
-        chunk = F.struct(F.array_join(acc["cur"], "\n\n").alias("content"), (header if late_header else acc["h"]).alias("section_header"))
-        return F.struct(
-            F.when(flush, F.array_append(acc["out"], chunk)).otherwise(acc["out"]).alias("out"),
-            F.when(flush, F.array(tail, b)).otherwise(F.array_append(acc["cur"], b)).alias("cur"),
-            F.when(flush, F.length(tail) + F.length(b)).otherwise(acc["n"] + F.length(b)).alias("n"),
-            header.alias("h"),
-        )
-
-    def finish(acc):
-        last = F.struct(F.array_join(acc["cur"], "\n\n").alias("content"), acc["h"].alias("section_header"))
-        return F.when(F.size(acc["cur"]) > 0, F.array_append(acc["out"], last)).otherwise(acc["out"])
-
-    return docs.select("doc_id", F.posexplode(F.aggregate(parts, empty, step, finish)).alias("chunk_index", "c")).select("doc_id", "chunk_index", "c.content", "c.section_header")
+    parts = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n\n"), lambda b: F.regexp_replace(b, r"^\s+|\s+$", "")), lambda b: b != "")
+    rows = docs.select("doc_id", parts.alias("parts"))
+    lengths, heads = F.transform("parts", lambda b: F.length(b)), F.transform("parts", lambda b: block_kind(b) == "heading")
+    rows = rows.withColumn("bounds", _bounds(size, overlap, late_header)(lengths, heads))
+
+    def chunk(c):
+        body = F.slice("parts", c["start"] + 1, c["end"] - c["start"])
+        tail = F.transform(F.slice("parts", F.greatest(c["start"], F.lit(1)), F.when(c["start"] > 0, 1).otherwise(0)), lambda b: F.right(b, F.lit(overlap)))
+        header = F.when(c["head"] >= 0, F.trim(F.regexp_replace(F.get("parts", c["head"]), "^#+", ""))).otherwise("")
+        return F.struct(F.array_join(F.concat(tail, body), "\n\n").alias("content"), header.alias("section_header"))
+
+    return rows.select("doc_id", F.posexplode(F.transform("bounds", chunk)).alias("chunk_index", "c")).select("doc_id", "chunk_index", "c.content", "c.section_header")
 
 
 _HEADER = re.compile(r"^(#{1,6})\s+(.+)$", re.M)

@@ -12,6 +12,8 @@ from lodestone.functions import text as T
 
 #: Queries of one broadcast block: (queries x vector size) doubles, a few MB.
 BLOCK = 2_000
+#: (query, term) pairs that are broadcast, some 60 MB at most; more are joined by shuffle.
+TERMS = 1_000_000
 
 
 def dense_scores(queries: DataFrame, chunks: DataFrame, keep: Column | None = None) -> DataFrame:
@@ -49,10 +51,13 @@ def top(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """(id, term, tf, dl) of (id, text)."""
+def postings(docs: DataFrame, among: DataFrame | None = None) -> DataFrame:
+    """(id, term, tf, dl) of (id, text); only terms of ``among`` (term) where it is given, met before they are grouped."""
     rows = docs.select("id", T.terms(F.col("text")).alias("t"))
-    return rows.select("id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").cast("long").alias("dl"))
+    words = rows.select("id", F.size("t").alias("dl"), F.explode("t").alias("term"))
+    if among is not None:
+        words = words.join(among, "term", "left_semi")
+    return words.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").cast("long").alias("dl"))
 
 
 def document_frequency(posted: DataFrame) -> DataFrame:
@@ -62,16 +67,18 @@ def document_frequency(posted: DataFrame) -> DataFrame:
 def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 30, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query_id, id, score, rank) by BM25 over distinct query terms.
 
-    Query terms meet postings before frequencies are joined, so only their postings move.
+    Words that no query asks for leave in the scan's own stage: query terms are broadcast while their
+    counted number is within ``TERMS``, and joined by shuffle beyond.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(T.terms(F.col("text")))).alias("term"))
     lengths = docs.select(F.size(T.terms(F.col("text"))).alias("dl"))
     totals = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    hit = postings(docs).join(asked.select("term").distinct(), "term", "left_semi")
-    weighted = hit.join(document_frequency(hit), "term").join(F.broadcast(totals))
+    sized = F.broadcast if asked.count() <= TERMS else lambda df: df
+    hit = postings(docs, sized(asked.select("term").distinct()))
+    weighted = hit.join(sized(document_frequency(hit)), "term").join(F.broadcast(totals))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scores = weighted.select("term", "id", part.alias("part")).join(asked, "term").groupBy("query_id", "id").agg(F.round(F.sum("part"), 6).alias("score"))
+    scores = weighted.select("term", "id", part.alias("part")).join(sized(asked), "term").groupBy("query_id", "id").agg(F.round(F.sum("part"), 6).alias("score"))
     return top(scores, k)
 
 

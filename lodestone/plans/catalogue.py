@@ -291,14 +291,6 @@ def dense_topk_filtered(spark, d):
     return retrieval.dense_topk(_asked(spark, d), v, 10, filters.build(v, {"label": [1, 3, 5]}))
 
 
-@query("SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 AND b.vec_id % 100 = 0 AND a.vec_id <= b.vec_id")
-def cosine_matrix(spark, d):
-    """A sample of the matrix: the stated query set on both sides. ``cosine_matrix_rows`` has all columns."""
-    q = _asked(spark, d)
-    scores = retrieval.dense_scores(q, q.select(F.col("query_id").alias("id"), "vec")).filter("id <= query_id")
-    return scores.select(F.col("id").alias("a"), F.col("query_id").alias("b"), F.col("score").alias("similarity"))
-
-
 @query("SELECT q.vec_id AS query_id, c.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS similarity FROM embeddings q, embeddings c WHERE q.vec_id % 100 = 0")
 def cosine_matrix_rows(spark, d):
     """The stated query set's rows of the matrix, each against all rows of ``embeddings``."""
