@@ -11,65 +11,114 @@ from pyspark.sql import functions as F
 from lodestone.config import Settings
 from lodestone.errors import EngineError, RetrievalError
 from lodestone.functions import text as T
-from lodestone.operators import answers, evaluation, filters, sync
+from lodestone.operators import answers, conversion, evaluation, filters, sync
+from lodestone.operators.embedding import Expansion
 from lodestone.operators.store import Collection
-from lodestone.sources import convert, files
+from lodestone.sources import files
+from lodestone.sources.convert import html_to_markdown
+
+
+#: Formats that are read as text; others than these and html go to the converter.
+PLAIN = ("txt", "text", "md", "markdown", "rst", "log", "csv", "tsv", "json", "jsonl", "yaml", "yml", "xml")
+#: Results of queries that are kept.
+RESULTS = 64
+SCANS = ("pdf", "png", "jpg", "jpeg", "tif", "tiff", "bmp", "webp")
 
 
 class Engine:
-    """Tools over one collection. ``ask(query, context)`` answers; without it there are no answers."""
+    """Tools over one collection, and their providers: Columns to Columns, each may be missing.
+
+    ``ask(query, context)`` answers; ``convert(content, file name)`` gives markdown of files that are no
+    text, ``ocr(content)`` that of scans; ``expansion`` rewrites and extends queries.
+    """
 
-    def __init__(self, spark: SparkSession, folder: str, settings: Settings | None = None, ask: Callable[[Column, Column], Column] | None = None):
-        self.spark, self.settings, self.ask = spark, settings or Settings(), ask
+    def __init__(self, spark: SparkSession, folder: str, settings: Settings | None = None, ask: Callable[[Column, Column], Column] | None = None, convert: Callable[[Column, Column], Column] | None = None, ocr: Callable[[Column], Column] | None = None, expansion: Expansion | None = None):
+        self.spark, self.settings, self.ask, self.convert, self.ocr, self.expansion = spark, settings or Settings(), ask, convert, ocr, expansion
         self.collection = Collection(spark, folder, self.settings)
         self._results: dict[str, DataFrame] = {}
 
     def _texts(self, listing: DataFrame) -> DataFrame:
-        """(doc_id, source, text): html is converted, other formats are read as text."""
-        rows = files.routed(listing.select("path", F.decode("content", "UTF-8").alias("text")))
-        pages = rows.filter(F.col("format").isin("html", "htm")).select(F.xxhash64("path").alias("page_id"), "path", F.col("text").alias("html"))
-        made = convert.html_to_markdown(pages).join(pages.select("page_id", "path"), "page_id").select("path", F.col("markdown").alias("text"))
-        rest = rows.filter(~F.col("format").isin("html", "htm")).select("path", "text")
-        return rest.unionByName(made).select(F.xxhash64("path").alias("doc_id"), F.col("path").alias("source"), "text")
+        """(doc_id, source, text, problem): one row a file; a file that can't be read has a problem and no text.
+
+        html is converted, plain formats are UTF-8 or else Latin-1; files of unknown formats are text if they
+        are UTF-8 without NUL. The rest goes to the converter, and what that gives too little of to OCR.
+        """
+        raw = F.col("content").cast("string")
+        text = F.when(F.is_valid_utf8(raw), raw).otherwise(F.decode("content", "ISO-8859-1"))
+        known = F.col("format").isin(*PLAIN, "html", "htm")
+        unknown = (F.col("format") == "unknown") & F.is_valid_utf8(raw) & (F.instr(raw, "\0") == 0)
+        rows = files.routed(listing.select("path", "content")).withColumn("plain", known | unknown)
+        read = rows.filter("plain").select("path", "format", text.alias("text"))
+        is_page = F.col("format").isin("html", "htm")
+        pages = read.filter(is_page).select(F.xxhash64("path").alias("page_id"), "path", F.col("text").alias("html"))
+        none = F.lit(None).cast("string").alias("problem")
+        made = html_to_markdown(pages).join(pages.select("page_id", "path"), "page_id").select("path", F.col("markdown").alias("text"), none)
+        rest = rows.filter("not plain")
+        converted = F.lit("") if self.convert is None else F.coalesce(self.convert(F.col("content"), F.col("file_name")), F.lit(""))
+        if self.convert is None:
+            foreign = rest.filter(~F.col("format").isin(*SCANS)).select("path", F.lit(None).cast("string").alias("text"), F.lit("no converter").alias("problem"))
+            made, rest = made.unionByName(foreign), rest.filter(F.col("format").isin(*SCANS))
+        scans = conversion.with_ocr(rest.select("path", converted.alias("markdown"), "content"), self.ocr)
+        problem = F.when(F.col("needs_ocr"), "needs_ocr").otherwise(F.col("error_type"))
+        scans = scans.select("path", F.when(problem.isNull(), F.col("markdown")).alias("text"), problem.alias("problem"))
+        every = read.filter(~is_page).select("path", "text", none).unionByName(made).unionByName(scans)
+        return every.select(F.xxhash64("path").alias("doc_id"), T.canonical_path(F.col("path")).alias("source"), "text", "problem")
 
     def ingest_files(self, path: str, extensions: list[str] | None = None) -> int:
-        """Ingests all files under a path; returns the number of chunks that the collection has."""
-        self.collection.ingest(self._texts(files.listing(self.spark, "local", path=path, extensions=extensions)))
-        self._results.clear()
-        return self.collection.chunks().count()
+        """Ingests all files under a path that can be read; returns the number of chunks that the collection has."""
+        texts = self.collection.staged(self._texts(files.listing(self.spark, "local", path=path, extensions=extensions)))
+        return self.ingest_texts(texts.filter("problem is null").drop("problem"))
+
+    def unread(self, path: str, extensions: list[str] | None = None) -> DataFrame:
+        """(source, problem): files under a path that need a converter or OCR, or that gave no text."""
+        return self._texts(files.listing(self.spark, "local", path=path, extensions=extensions)).filter("problem is not null").select("source", "problem")
 
     def ingest_texts(self, docs: DataFrame) -> int:
         self.collection.ingest(docs)
-        self._results.clear()
+        self._forget()
         return self.collection.chunks().count()
 
     def sync(self, path: str, extensions: list[str] | None = None, dry_run: bool = False) -> DataFrame:
-        """(source, action); unless ``dry_run``, new and changed files are ingested, then missing ones deleted."""
-        listing = files.listing(self.spark, "local", path=path, extensions=extensions)
-        texts = self._texts(listing)
+        """(source, action); unless ``dry_run``, new and changed files are ingested, then missing ones deleted.
+
+        Sources are compared by their canonical paths. A file that can't be read is ``unread``: what is
+        stored of it stays.
+        """
+        texts = self.collection.staged(self._texts(files.listing(self.spark, "local", path=path, extensions=extensions)))
         current = texts.select("source", T.content_hash(F.col("text")).alias("hash"))
-        chunks = self.collection.chunks().select("source", "content_hash", "chunk_index", F.lit("").alias("file_content_hash"))
-        actions = sync.reconcile(current, sync.stored_hashes(chunks))
-        plan = [tuple(r) for r in actions.collect()]  # one row per file of the listing or the store
-        done = self.spark.createDataFrame(plan, "source string, action string")
+        chunks = self.collection.chunks().select(T.canonical_path(F.col("source")).alias("source"), "content_hash", "chunk_index", F.lit("").alias("file_content_hash"))
+        bad = texts.filter("problem is not null").select("source", F.lit(True).alias("bad"))
+        actions = sync.reconcile(current, sync.stored_hashes(chunks)).join(bad, "source", "left")
+        done = self.collection.staged(actions.select("source", F.when(F.col("bad"), "unread").otherwise(F.col("action")).alias("action")))
         if not dry_run:
-            self.collection.ingest(texts.join(done.filter(F.col("action").isin("ingest", "update")), "source", "left_semi"))
-            if gone := [s for s, a in plan if a == "delete"]:
-                self.collection.delete(self.spark.createDataFrame([(s,) for s in gone], "source string"))
-            self._results.clear()
+            said = lambda *names: done.filter(F.col("action").isin(*names)).select(F.col("source").alias("at"))
+            stored = self.collection.chunks().select("source").distinct().withColumn("at", T.canonical_path(F.col("source")))
+            old = stored.join(said("delete"), "at", "left_semi").unionByName(stored.filter("source <> at").join(said("update"), "at", "left_semi"))
+            old = self.collection.staged(old.select("source"))
+            self.collection.ingest(texts.join(said("ingest", "update").withColumnRenamed("at", "source"), "source", "left_semi").drop("problem"))
+            self.collection.delete(old)
+            self._forget()
         return done
 
+    def _forget(self) -> None:
+        for hits in self._results.values():
+            hits.unpersist()
+        self._results.clear()
+
     def query(self, queries: Sequence[str], mode: str = "hybrid", top_k: int = 10, offset: int = 0, limit: int | None = None, where: dict | str | None = None, source: str | None = None, rerank: bool = True) -> DataFrame:
-        """Hits of each query, a page of them. Results are kept by all parameters until something is ingested."""
+        """Hits of each query, a page of them. The last ``RESULTS`` results are kept, by all parameters, until something is ingested."""
         if mode not in ("hybrid", "similarity", "mmr"):
             raise RetrievalError(f"unknown mode: {mode}")
         if not 1 <= top_k <= 50 or offset < 0 or any(not 2 <= len(q) <= 500 for q in queries):
             raise RetrievalError("top_k is 1 to 50, offset at least 0, a query 2 to 500 characters")
         key = json.dumps([list(queries), mode, top_k, filters.parse_arguments(where), source, rerank], sort_keys=True)
-        if key not in self._results:
+        hits = self._results.pop(key, None)
+        if hits is None:
             asked = self.spark.createDataFrame(list(enumerate(queries)), "query_id int, text string")
-            self._results[key] = self.collection.search(asked, mode, top_k, filters.parse_arguments(where), source, rerank).cache()
-        hits = self._results[key]
+            hits = self.collection.search(asked, mode, top_k, filters.parse_arguments(where), source, rerank, self.expansion).cache()
+            if len(self._results) >= RESULTS:
+                self._results.pop(next(iter(self._results))).unpersist()
+        self._results[key] = hits  # the last used one is last
         return hits.filter((F.col("rank") > offset) & (F.col("rank") <= offset + (limit or top_k)))
 
     def answer(self, queries: Sequence[str], **options) -> DataFrame:
@@ -79,7 +128,7 @@ class Engine:
         return answers.answer(self.query(queries, **options).join(F.broadcast(asked), "query_id"), self.ask, budget=self.settings.context_chars)
 
     def delete(self, source: str) -> int:
-        self._results.clear()
+        self._forget()
         return self.collection.delete(self.spark.createDataFrame([(source,)], "source string"))
 
     def documents(self, limit: int = 20, offset: int = 0) -> DataFrame:

@@ -46,6 +46,7 @@ class Settings:
     context_batch: int = 10
     context_max_batches: int = 8
     multi_query: int = 3
+    store_buckets: int = 32
     max_entities: int = 10
     max_topics: int = 5
     max_keywords: int = 10

@@ -59,6 +59,13 @@ def basename(path: Column) -> Column:
     return F.lower(F.substring_index(F.replace(path, F.lit("\\"), F.lit("/")), "/", -1))
 
 
+def canonical_path(path: Column) -> Column:
+    """One form of a path's spellings: slashes forward, a file scheme left out, no empty or ``.`` segment; URLs stay."""
+    slashed = F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), "^file:/*", "/")
+    plain = F.regexp_replace(F.regexp_replace(slashed, r"(?<!:)/{2,}", "/"), r"/(\./)+", "/")
+    return F.when(is_url(path), path).otherwise(plain)
+
+
 def is_url(path: Column) -> Column:
     return path.rlike("^https?://")
 

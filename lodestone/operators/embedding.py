@@ -7,6 +7,7 @@ a served model. Distinct texts are embedded once and joined back.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -63,3 +64,39 @@ def expand(queries: DataFrame, rewrite: Callable[[Column], Column] | None = None
     base = F.col("text") if rewrite is None else F.coalesce(F.nullif(F.trim(rewrite(F.col("text"))), F.lit("")), F.col("text"))
     lines = F.array().cast("array<string>") if paraphrase is None else F.slice(F.filter(F.transform(F.split(F.coalesce(paraphrase(base), F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != ""), 1, most)
     return queries.select("query_id", F.posexplode(F.concat(F.array(base), lines)).alias("variant", "text"))
+
+
+Chat = Callable[[Column], Column]
+#: Prompts of the three expansions; the query follows.
+REWRITE = "State this search query more clearly and specifically, in fewer than 50 words. Answer with the query alone.\n\nQuery: "
+HYDE = "Answer this question in one short paragraph, as a document that knows the answer would.\n\nQuestion: "
+PARAPHRASE = "Say this search query in {n} other ways, one a line, without numbers.\n\nQuery: "
+
+
+@dataclass(frozen=True)
+class Expansion:
+    """Chat providers of query expansion; None leaves a step out, and so does a blank or null answer."""
+
+    rewrite: Chat | None = None
+    hyde: Chat | None = None
+    paraphrase: Chat | None = None
+    most: int = 3
+
+    def rewriting(self) -> Expansion:
+        return replace(self, hyde=None, paraphrase=None)
+
+
+def variants(queries: DataFrame, expansion: Expansion | None = None) -> DataFrame:
+    """(query_id, list, text): list 0 the query (rewritten), 2 its hypothetical answer, 3 and on its paraphrases.
+
+    1 is left to the sparse list, so that lists are numbered in the order of their fusion.
+    """
+    e = expansion or Expansion()
+    prompted = lambda chat, prompt: None if chat is None else lambda q: chat(F.concat(F.lit(prompt), q))
+    made = expand(queries, prompted(e.rewrite, REWRITE), prompted(e.paraphrase, PARAPHRASE.format(n=e.most)), e.most)
+    rows = made.select("query_id", F.when(F.col("variant") == 0, 0).otherwise(F.col("variant") + 2).alias("list"), "text")
+    if e.hyde is None:
+        return rows
+    answer = F.trim(prompted(e.hyde, HYDE)(F.col("text")))
+    base = rows.filter("list = 0").select("query_id", F.lit(2).alias("list"), answer.alias("text"))
+    return rows.unionByName(base.filter(F.coalesce("text", F.lit("")) != ""))

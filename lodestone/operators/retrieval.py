@@ -82,18 +82,23 @@ def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 30, k1: float = 1.2,
     return top(scores, k)
 
 
-def fuse(lists: Sequence[DataFrame], k: int = 60, mode: str = "standard", candidate_k: int = 30) -> DataFrame:
+def fuse(lists: Sequence[DataFrame], k: int = 60, mode: str = "standard") -> DataFrame:
     """Reciprocal rank fusion of ranked lists (query_id, id, rank from 1).
 
     standard: 1 / (k + rank). offset: each list's ranks begin after those of the lists before
     it (their lengths for that query). Ties go to the list, then the rank, that had the id first.
     """
-    if mode not in ("standard", "offset"):
-        raise RetrievalError(f"unknown fusion mode: {mode}")
     rows = None
     for i, ranked in enumerate(lists):
         part = ranked.select("query_id", "id", "rank", F.lit(i).alias("list"))
         rows = part if rows is None else rows.unionByName(part)
+    return fuse_rows(rows, k, mode)
+
+
+def fuse_rows(rows: DataFrame, k: int = 60, mode: str = "standard") -> DataFrame:
+    """The same of rows (query_id, list, id, rank), lists numbered in their order."""
+    if mode not in ("standard", "offset"):
+        raise RetrievalError(f"unknown fusion mode: {mode}")
     if mode == "offset":
         sizes = rows.groupBy("query_id", "list").agg(F.count("*").alias("size"))
         before = Window.partitionBy("query_id").orderBy("list").rowsBetween(Window.unboundedPreceding, -1)

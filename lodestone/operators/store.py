@@ -1,15 +1,21 @@
-"""The chunk table: ingest, replace by source, delete, list, search; Parquet, partition per run.
+"""The chunk table: ingest, replace by source, delete, list, search; Parquet in buckets by source.
 
-Each write is a new version folder, named in a small pointer table that is written last, so
-readers see whole versions only and a failed write changes nothing.
+A source's chunks lie in one of ``store_buckets`` folders. A write rewrites only the buckets of the sources it
+touches, into a new folder, and then creates the next manifest (bucket to folder), which no other writer can
+have created: readers see whole versions only, a failed write changes nothing, and a writer that comes second
+takes the other's buckets over, or stops where both touched the same one. Manifests go through Hadoop's file
+system by the driver's JVM (classic Spark).
 """
 
 from __future__ import annotations
 
+import json
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from py4j.protocol import Py4JJavaError
 
 from lodestone.config import Settings
 from lodestone.errors import StorageError
@@ -28,27 +34,99 @@ class Collection:
     def __init__(self, spark: SparkSession, folder: str, settings: Settings | None = None):
         self.spark, self.folder, self.settings = spark, folder.rstrip("/"), settings or Settings()
 
-    def _versions(self) -> DataFrame | None:
+    def _fs(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+
+    def _names(self, path: str) -> list:
+        fs, p = self._fs(path)
+        return list(fs.listStatus(p)) if fs.exists(p) else []
+
+    def _manifest(self, version: int) -> dict | None:
+        """A manifest's content; None while its writer has not closed it."""
+        fs, p = self._fs(f"{self.folder}/versions/{version:012d}.json")
+        stream = fs.open(p)
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        except ValueError:
+            return None
+        finally:
+            stream.close()
+
+    def _latest(self) -> tuple[int, dict]:
+        """The newest whole version: its number and content."""
         try:
-            return self.spark.read.schema("version bigint, path string").json(f"{self.folder}/versions")
-        except Exception as e:
-            if "PATH_NOT_FOUND" in str(e):
-                return None
+            versions = sorted((int(n[:-5]) for f in self._names(f"{self.folder}/versions") if (n := f.getPath().getName()).endswith(".json")), reverse=True)
+            for v in versions:
+                if (found := self._manifest(v)) is not None:
+                    return v, found
+        except Py4JJavaError as e:
             raise StorageError(f"{self.folder} can't be read") from e
+        return 0, {"buckets": self.settings.store_buckets, "at": {}}
+
+    def _create(self, version: int, content: dict) -> bool:
+        """Whether this writer was the one to create the manifest."""
+        fs, p = self._fs(f"{self.folder}/versions/{version:012d}.json")
+        try:
+            out = fs.create(p, False)
+        except Py4JJavaError as e:
+            if fs.exists(p):
+                return False
+            raise StorageError(f"{self.folder} can't be written") from e
+        out.write(json.dumps(content).encode())
+        out.close()
+        return True
+
+    def _read(self, paths: list[str]) -> DataFrame:
+        return self.spark.read.schema(SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMA)
 
     def chunks(self) -> DataFrame:
-        versions = self._versions()
-        if versions is None:
-            return self.spark.createDataFrame([], SCHEMA)
-        path = versions.orderBy(F.desc("version")).limit(1).collect()[0]["path"]
-        return self.spark.read.schema(SCHEMA).parquet(path)
-
-    def _commit(self, chunks: DataFrame) -> None:
-        versions = self._versions()
-        last = 0 if versions is None else versions.agg(F.max("version")).collect()[0][0]
+        return self._read(sorted(self._latest()[1]["at"].values()))
+
+    @staticmethod
+    def _bucket(buckets: int):
+        return F.pmod(F.xxhash64("source"), F.lit(buckets)).cast("int")
+
+    def _replace(self, sources: DataFrame, new: DataFrame | None = None) -> None:
+        """The next version: without the chunks of ``sources`` (source), with those of ``new``."""
+        version, base = self._latest()
+        bucket = self._bucket(base["buckets"])
+        touched = {str(r[0]) for r in sources.select(bucket).distinct().collect()}  # one row a bucket at most
+        if not touched:
+            return
+        rows = self._read([base["at"][b] for b in sorted(touched) if b in base["at"]]).join(sources, "source", "left_anti")
+        if new is not None:
+            rows = rows.unionByName(new, allowMissingColumns=True)
         path = f"{self.folder}/data/{uuid.uuid4().hex}"
-        chunks.select(*[f.split()[0] for f in SCHEMA.split(", ")]).write.parquet(path)
-        self.spark.createDataFrame([(last + 1, path)], "version bigint, path string").coalesce(1).write.mode("append").json(f"{self.folder}/versions")
+        columns = [f.split()[0] for f in SCHEMA.split(", ")]
+        # AQE splits a large bucket's rows over tasks and joins small ones.
+        rows.select(*columns, bucket.alias("bucket")).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(path)
+        made = {f.getPath().getName().partition("=")[2]: f"{path}/{f.getPath().getName()}" for f in self._names(path) if f.isDirectory()}
+        mine = {b: made.get(b) for b in touched}
+        current = base
+        while not self._create(version + 1, {"buckets": base["buckets"], "at": {b: at for b, at in (current["at"] | mine).items() if at}}):
+            version += 1
+            current = self._manifest(version)
+            if current is None or any(current["at"].get(b) != base["at"].get(b) for b in touched):
+                raise StorageError(f"{self.folder}: another writer changed the same sources' buckets; try again")
+
+    def staged(self, rows: DataFrame) -> DataFrame:
+        """``rows`` written once beside the collection and read back, where several jobs need them; ``vacuum`` removes them."""
+        path = f"{self.folder}/staging/{uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
+    def vacuum(self, keep: int = 2, hours: float = 24.0) -> int:
+        """Removes folders that none of the last ``keep`` versions names and that are older than ``hours``; returns their number."""
+        last = self._latest()[0]
+        held = {at.split("/data/", 1)[1].split("/")[0] for v in range(max(1, last - keep + 1), last + 1) for at in (self._manifest(v) or {"at": {}})["at"].values()}
+        gone = 0
+        for part in ("data", "staging"):
+            for f in self._names(f"{self.folder}/{part}"):
+                if f.getPath().getName() not in held and f.getModificationTime() <= (time.time() - hours * 3600) * 1000:
+                    f.getPath().getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(f.getPath(), True)
+                    gone += 1
+        return gone
 
     def prepare(self, docs: DataFrame) -> DataFrame:
         """Chunks with ids, metadata and vectors of (doc_id, source, text)."""
@@ -72,42 +150,49 @@ class Collection:
         old = self.chunks()
         known = old.select("source", "content_hash").distinct()
         fresh = docs.withColumn("content_hash", T.content_hash(F.col("text"))).join(known, ["source", "content_hash"], "left_anti").drop("content_hash")
-        new = self.prepare(fresh)
-        self._commit(old.join(fresh.select("source").distinct(), "source", "left_anti").unionByName(new, allowMissingColumns=True))
+        self._replace(fresh.select("source").distinct(), self.prepare(fresh))
 
     def delete(self, sources: DataFrame) -> int:
         """Removes all chunks of the listed sources; returns how many there were."""
         old = self.chunks()
         gone = old.join(sources.select("source").distinct(), "source", "left_semi").count()
         if gone:
-            self._commit(old.join(sources.select("source").distinct(), "source", "left_anti"))
+            self._replace(sources.select("source").distinct())
         return gone
 
     def documents(self) -> DataFrame:
         c = self.chunks()
         return c.groupBy("source").agg(F.count("*").alias("chunks"), F.min_by("language", "chunk_index").alias("language"), F.max("ingested_at").alias("ingested_at")).orderBy(F.desc("ingested_at"), "source")
 
-    def search(self, queries: DataFrame, mode: str = "hybrid", top_k: int | None = None, where: dict | None = None, source: str | None = None, rerank: bool = True) -> DataFrame:
+    def search(self, queries: DataFrame, mode: str = "hybrid", top_k: int | None = None, where: dict | None = None, source: str | None = None, rerank: bool = True, expansion: embedding.Expansion | None = None) -> DataFrame:
         """(query_id, rank, id, source, content, score) for (query_id, text), all queries in one job.
 
         similarity: dense alone. hybrid: dense and BM25, fused. mmr: dense, then diverse; its order
-        is kept. Filters come before ranking.
+        is kept. Filters come before ranking. ``expansion`` rewrites queries, and in the hybrid mode adds
+        dense lists of a hypothetical answer and of paraphrases, scored in the same pass over the chunks.
         """
         s, k = self.settings, top_k or self.settings.top_k
         rows = self.chunks()
         rows = rows.filter(filters.build(rows, where, source))
         make = embedding.embedder("hash", dim=s.dense_dim)
+        variants = embedding.variants(queries, expansion if mode == "hybrid" else expansion and expansion.rewriting())
+        asked_for = queries
+        queries = variants.filter("list = 0").select("query_id", "text")
         asked = queries.select("query_id", "text", make(F.col("text")).alias("vec"))
         vectors = rows.select("id", F.col("contextual_dense").alias("vec"))
         if mode == "mmr":
             dense = retrieval.dense_topk(asked, vectors, s.mmr_fetch_k)
             found = retrieval.mmr(dense, vectors, k, s.mmr_lambda).select("query_id", "id", (F.col("place") + 1).alias("rank"), F.lit(None).cast("double").alias("score"))
             return found.join(rows.select("id", "source", "content"), "id").select("query_id", "rank", "id", "source", "content", "score")
-        found = retrieval.dense_topk(asked, vectors, s.candidate_k)
         if mode == "hybrid":
+            each = variants.select(F.struct("query_id", "list").alias("query_id"), make(F.col("text")).alias("vec"))
+            dense = retrieval.dense_topk(each, vectors, s.candidate_k).select("query_id.query_id", "query_id.list", "id", "rank")
             sparse = retrieval.bm25_topk(queries, rows.select("id", F.col("content").alias("text")), s.candidate_k, s.bm25_k1, s.bm25_b)
-            found = retrieval.fuse([found, sparse], s.rrf_k, s.rrf_mode)
-        hits = found.join(rows.select("id", "source", "content"), "id").join(F.broadcast(queries.select("query_id", F.col("text").alias("query"))), "query_id")
+            lists = dense.unionByName(sparse.select("query_id", F.lit(1).alias("list"), "id", "rank"))
+            found = retrieval.fuse_rows(lists, s.rrf_k, s.rrf_mode)
+        else:
+            found = retrieval.dense_topk(asked, vectors, s.candidate_k)
+        hits = found.join(rows.select("id", "source", "content"), "id").join(asked_for.select("query_id", F.col("text").alias("query")), "query_id")
         if rerank:
             ranked = retrieval.rerank(hits, retrieval.lexical_score(F.col("query"), F.col("content")))
             hits = ranked.withColumn("rank", F.col("new_rank")).withColumn("score", F.col("rerank_score"))
