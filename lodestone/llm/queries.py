@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import binary_ids, chat, jaccard, licenses, mixing, packing, quality, secrets, telephony, warc
+from lodestone.llm import binary_ids, bpe, chat, divergence, jaccard, licenses, mixing, packing, prefix_trie, quality, secrets, telephony, warc
 from lodestone.llm.common import shared_folder
 
 
@@ -98,6 +98,25 @@ def op10_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.features(spark.read.parquet(folder))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded by ranks, and decoded again from the ids."""
+    import public_tokenizers
+
+    made = bpe.round_trip(_table(spark, sf_dir, "documents").select("doc_id", "text"), _vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return made.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of each language are apart, by pairs and by terms."""
+    return divergence.divergences(_table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all conversations, forked from the heads of their blocks."""
+    return prefix_trie.trie(_table(spark, sf_dir, "conversations"), forked=True)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
@@ -111,6 +130,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_text": op8_quality_text,
         "op9_ngram_jaccard": op9_ngram_jaccard,
         "op10_telephony": op10_telephony,
+        "op11_byte_bpe": op11_byte_bpe,
+        "op12_divergence": op12_divergence,
+        "op13_prefix_trie": op13_prefix_trie,
     }
 
 
@@ -196,6 +218,41 @@ c AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT e.y, c.root FROM
 SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(c.root) AS component_id FROM documents d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY d.doc_id"""
 
 
+_OP12 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term FROM w GROUP BY ALL HAVING count(DISTINCT r) >= 3),
+c AS (SELECT lang, source, term, count(*) AS n FROM w JOIN k USING (lang, term) GROUP BY ALL),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+g AS (SELECT lang, source, coalesce(sum(n), 0) AS nn FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) GROUP BY ALL),
+p AS (SELECT lang, source, term, coalesce(n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(n, 0) + 1)) // (nn + v) AS p FROM g JOIN v USING (lang) JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+q AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(n) + 1)) // (sum(sum(n)) OVER (PARTITION BY lang) + any_value(v)) AS q FROM c JOIN v USING (lang) GROUP BY lang, term),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+x AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+y AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM x)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM y WHERE part = 'pair' OR rank <= 200"""
+
+#: CRC-32 of a decimal number: the bits of each byte shifted through the fixed polynomial.
+_OP13 = r"""
+WITH RECURSIVE o AS (SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+o2 AS (SELECT c, length(text) AS chars, md5(length(role)::VARCHAR || ':' || role || text) AS t, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, md5(length(role)::VARCHAR || ':' || role || text)) AS i FROM o),
+z AS (SELECT DISTINCT c, c::VARCHAR AS s, 4294967295::BIGINT AS crc, 0 AS step FROM o
+  UNION ALL SELECT c, s, CASE WHEN b & 1 = 1 THEN xor(b >> 1, 3988292384::BIGINT) ELSE b >> 1 END, step + 1
+  FROM (SELECT c, s, step, CASE WHEN step % 8 = 0 THEN xor(crc, ascii(s[step // 8 + 1])::BIGINT) ELSE crc END AS b FROM z WHERE step < 8 * length(s))),
+h AS (SELECT c, c - ((c % 100) + 100) % 100 AS p, xor(crc, 4294967295::BIGINT) % 6 AS h FROM z WHERE step = 8 * length(s)),
+r AS (SELECT h.c, 0 AS own, i, t, chars FROM h JOIN o2 ON o2.c = h.p AND i <= h UNION ALL SELECT h.c, 1, i, t, chars FROM h JOIN o2 ON o2.c = h.c AND i > h),
+s AS (SELECT c, t, chars, row_number() OVER (PARTITION BY c ORDER BY own, i) AS d FROM r),
+m AS (SELECT c, d, chars, string_agg(t, '') OVER (PARTITION BY c ORDER BY d) AS k, string_agg(t, '') OVER (PARTITION BY c ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS up, d = count(*) OVER (PARTITION BY c) AS ends FROM s
+  UNION ALL SELECT c, 0, 0, '', NULL, NOT EXISTS (SELECT 1 FROM s WHERE s.c = h.c) FROM h),
+n AS (SELECT k, d, min(c) AS c, count(*) AS n, any_value(chars) AS chars, any_value(CASE WHEN d > 0 THEN coalesce(up, '') END) AS up, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '')) AS e FROM m GROUP BY k, d),
+kids AS (SELECT up AS k, count(*) AS n FROM n WHERE up IS NOT NULL GROUP BY up),
+a AS (SELECT n.k, n.d, m.k AS above, coalesce(kids.n, 0) = 0 AS leaf, (n.n - 1) * n.chars AS saved FROM n JOIN m ON m.c = n.c AND m.d <= n.d LEFT JOIN kids ON kids.k = n.k),
+t AS (SELECT above AS k, count(*) FILTER (leaf) AS leaves, sum(saved) AS saved FROM a GROUP BY above)
+SELECT n.c AS conv_id, n.d::BIGINT AS depth, u.c AS parent_conv_id, n.n AS n_convs, coalesce(kids.n, 0)::BIGINT AS n_children, t.leaves::BIGINT AS n_leaves, t.saved::BIGINT AS saved_tokens, n.e AS ends_sha256
+FROM n JOIN t USING (k) LEFT JOIN kids ON kids.k = n.k LEFT JOIN n u ON u.k = n.up"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Oracles of those that SQL can express; the others are tested against brute force."""
-    return {"op1_mixing": _OP1, "op2_secrets": _op2(), "op3_chat": _OP3, "op8_quality": _OP8, "op9_ngram_jaccard": _OP9}
+    return {"op1_mixing": _OP1, "op2_secrets": _op2(), "op3_chat": _OP3, "op8_quality": _OP8, "op9_ngram_jaccard": _OP9, "op12_divergence": _OP12, "op13_prefix_trie": _OP13}
