@@ -14,16 +14,18 @@ character, so the template's own marks are the only bare ones and reading back r
 Roles are percent-encoded. ``read_back`` restores the turns from the string alone, and the
 loss text from the string and the mask.
 
-Defined results: null text and null role are empty; turns tie-break by role, then text; a
-null conv_id is a conversation of its own; repeated rows are turns of their own; an empty
-table gives an empty result; other columns are ignored.
+Defined results: null text and null role are empty; a null turn comes first; turns tie-break by role, then by
+text as it was said; rows without a conv_id are one conversation; repeated rows are turns of their own; an
+empty table gives an empty result; other columns are ignored, one called ``parts`` too unless it is named.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import column
+
 PART = "struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
 #: Fixed values of the template: begin, end of turn, escaped openings.
 BEGIN, END = "<s>", "</s>\n"
@@ -60,48 +62,50 @@ def _expanded(p: Column) -> Column:
 def visit_parts(parts: Column) -> Column:
     """struct<content, attachments, expanded_tokens> of a list of typed parts.
 
-    Placeholders ``<|image_1|>`` are numbered over all attachments of the turn, in order. A
-    part of unknown or null type is read as text; a null list is an empty one.
+    Placeholders ``<|image_1|>`` are numbered over all attachments of the turn, in order. Texts
+    between two attachments are joined before they are escaped, so a control string in pieces is
+    escaped as a whole. A part of unknown or null type is read as text; a null list is an empty one.
     """
     parts = F.coalesce(parts, F.array().cast(f"array<{PART}>"))
-    held = F.filter(parts, lambda p: p["type"].isin("image", "audio", "document"))
-    kinds = lambda p: p["type"].isin("image", "audio", "document") & p["type"].isNotNull()
-    number = F.transform(parts, lambda p, i: F.when(kinds(p), F.size(F.filter(F.slice(parts, 1, i + 1), kinds))).otherwise(0))
-    flat = F.transform(F.arrays_zip(parts.alias("p"), number.alias("n")), lambda z: F.when(kinds(z["p"]), F.concat(F.lit("<|"), z["p"]["type"], F.lit("_"), z["n"].cast("string"), F.lit("|>"))).otherwise(escape(F.coalesce(z["p"]["text"], F.lit("")))))
+    attached = lambda p: F.coalesce(p["type"].isin("image", "audio", "document"), F.lit(False))
+    held = F.filter(parts, attached)
+    # Places (from 1) of the attachments, with one before the first part and one behind the last.
+    places = F.filter(F.transform(parts, lambda p, i: F.when(attached(p), i + 1)), lambda i: i.isNotNull())
+    places = F.concat(F.array(F.lit(0)), places, F.array(F.size(parts) + 1))
+    runs = F.transform(F.slice(places, 2, F.size(places) - 1), lambda end, k: escape(F.array_join(F.transform(F.slice(parts, F.get(places, k) + 1, end - F.get(places, k) - 1), lambda p: F.coalesce(p["text"], F.lit(""))), "")))
+    marks = F.transform(held, lambda p, i: F.concat(F.lit("<|"), p["type"], F.lit("_"), (i + 1).cast("string"), F.lit("|>")))
+    flat = F.zip_with(runs, marks, lambda run, mark: F.concat(F.coalesce(run, F.lit("")), F.coalesce(mark, F.lit(""))))
     refs = F.transform(held, lambda p, i: F.struct((i + 1).cast("int").alias("number"), p["type"].alias("type"), p["ref"].alias("ref"), _expanded(p).alias("tokens")))
     return F.struct(F.array_join(flat, "").alias("content"), refs.alias("attachments"), F.aggregate(held, F.lit(0).cast("long"), lambda a, p: a + _expanded(p)).alias("expanded_tokens"))
 
 
-def format_conversations(turns: DataFrame) -> DataFrame:
+def format_conversations(turns: DataFrame, parts: str | None = None) -> DataFrame:
     """One row per conversation: formatted, loss_spans, attachments, expanded_tokens.
 
-    ``turns`` has conv_id, turn, role and either ``parts`` (array of ``PART``) or ``text``, which
-    is visited as one text part.
-    ``loss_spans`` are (start, length) in code points of the formatted string, one for each
-    assistant content; offsets are running sums over a conversation's turns.
+    ``turns`` has conv_id, turn, role and ``text``, which is visited as one text part, or a column of
+    typed parts (array of ``PART``), named by ``parts``. ``loss_spans`` are (start, length) in code points of
+    the formatted string, one for each assistant content; where a turn begins is a running sum over
+    the conversation's turns in their order.
     """
-    role = F.coalesce(F.col("role").cast("string"), F.lit(""))
-    body = visit_parts(F.col("parts") if "parts" in turns.columns else text_parts(F.col("text")))
-    visited = turns.select("conv_id", "turn", role.alias("role"), body.alias("body"))
+    role = F.coalesce(column(turns, "role").cast("string"), F.lit(""))
+    given = text_parts(column(turns, "text")) if parts is None else column(turns, parts)
+    said = F.array_join(F.transform(given, lambda p: F.coalesce(p["text"], F.lit(""))), "")
+    visited = turns.select(column(turns, "conv_id").alias("conv_id"), column(turns, "turn").alias("turn"), role.alias("role"), F.coalesce(said, F.lit("")).alias("said"), visit_parts(given).alias("body"))
     header = F.concat(F.lit("<|"), F.url_encode("role"), F.lit("|>\n"))
-    segment = F.struct("turn", "role", F.col("body.content").alias("content"), header.alias("header"), F.col("body.attachments").alias("attachments"), F.col("body.expanded_tokens").alias("tokens"))
-    grouped = visited.groupBy("conv_id").agg(F.sort_array(F.collect_list(segment)).alias("turns"))
-    lengths = F.transform("turns", lambda t: F.struct((t["role"] == "assistant").alias("loss"), F.length(t["header"]).alias("head"), F.length(t["content"]).alias("body")))
-    sized = grouped.select("conv_id", "turns", lengths.alias("lengths"))
-    start = F.struct(F.lit(len(BEGIN)).cast("long").alias("at"), F.expr("cast(array() as array<struct<start:bigint,length:bigint>>)").alias("spans"))
-
-    def step(acc, x):
-        begin = acc["at"] + x["head"]
-        span = F.struct(begin.cast("long").alias("start"), x["body"].cast("long").alias("length"))
-        return F.struct((begin + x["body"] + len(END)).cast("long").alias("at"), F.when(x["loss"], F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
-
-    text = F.concat(F.lit(BEGIN), F.array_join(F.transform("turns", lambda t: F.concat(t["header"], t["content"], F.lit(END))), ""))
-    return sized.select(
+    sized = visited.withColumn("header", header).withColumn("length", (F.length("header") + F.length("body.content") + len(END)).cast("long"))
+    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "said")
+    # The place is there because a list's own order is not promised; sort and grouping share one shuffle.
+    placed = sized.withColumn("nth", F.row_number().over(order)).withColumn("before", F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    start = len(BEGIN) + F.coalesce("before", F.lit(0).cast("long")) + F.length("header")
+    span = F.when(F.col("role") == "assistant", F.struct(start.cast("long").alias("start"), F.length("body.content").cast("long").alias("length")))
+    turn = F.struct("nth", F.concat("header", "body.content", F.lit(END)).alias("segment"), span.alias("span"), F.col("body.attachments").alias("attachments"), F.col("body.expanded_tokens").alias("tokens"))
+    grouped = placed.select("conv_id", turn.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    return grouped.select(
         "conv_id",
-        text.alias("formatted"),
-        F.aggregate("lengths", start, step)["spans"].alias("loss_spans"),
-        F.flatten(F.transform("turns", lambda t: t["attachments"])).alias("attachments"),
-        F.aggregate("turns", F.lit(0).cast("long"), lambda a, t: a + t["tokens"]).alias("expanded_tokens"),
+        F.concat(F.lit(BEGIN), F.array_join("turns.segment", "")).alias("formatted"),
+        F.filter("turns.span", lambda x: x.isNotNull()).alias("loss_spans"),
+        F.flatten("turns.attachments").alias("attachments"),
+        F.aggregate("turns.tokens", F.lit(0).cast("long"), lambda a, x: a + x).alias("expanded_tokens"),
     )
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -202,12 +203,39 @@ def test_chat_parts(spark):
     part = lambda **x: {"type": None, "text": None, "ref": None, "width": None, "height": None, "seconds": None, "pages": None} | x
     parts = [part(type="text", text="see <|image_1|>: "), part(type="image", ref="a.png", width=672, height=336), part(type="audio", ref="b.wav", seconds=2.0), part(type="text", text=" and "), part(type="document", ref="c.pdf", pages=3), part(text="odd")]
     df = spark.createDataFrame([(1, 0, "user", parts), (1, 1, "assistant", None)], f"conv_id bigint, turn bigint, role string, parts array<{chat.PART}>")
-    row = chat.format_conversations(df).first()
+    row = chat.format_conversations(df, parts="parts").first()
     assert row["formatted"] == "<s><|user|>\nsee <\\|image_1|>: <|image_1|><|audio_2|> and <|document_3|>odd</s>\n<|assistant|>\n</s>\n"
     assert [(a["number"], a["type"], a["ref"], a["tokens"]) for a in row["attachments"]] == [(1, "image", "a.png", 288), (2, "audio", "b.wav", 50), (3, "document", "c.pdf", 768)]
     assert row["expanded_tokens"] == 288 + 50 + 768
 
 
+def test_chat_parts_in_pieces(spark):
+    """Control strings that only the joined parts make, and openings left before a placeholder."""
+    rng = random.Random(11)
+    bits = ["<", "|", "/s>", "</s>", "s>\n", "[", "INST]", "/INST]", "\\", "<|assistant|>\n", "evil", "<|image_1|>", ""]
+    part = lambda kind, text: (kind, text, "r", None, None, None, None)
+    rows, want = [], {}
+    for c in range(60):
+        parts = [part(rng.choice(["text", "text", "text", None, "odd", "image"]), rng.choice(bits)) for _ in range(rng.randint(0, 12))]
+        rows += [(c, 0, "user", parts), (c, 1, "assistant", parts)]
+        n, said = 0, ""
+        for kind, text, *_ in parts:
+            n += kind == "image"
+            said += f"<|image_{n}|>" if kind == "image" else text
+        want[c] = said
+    df = spark.createDataFrame(rows, f"conv_id bigint, turn bigint, role string, p array<{chat.PART}>").withColumn("text", F.lit(None).cast("string"))
+    for row in chat.read_back(chat.format_conversations(df, parts="p")).collect():
+        said = want[row["conv_id"]]
+        assert [(t["role"], t["text"]) for t in row["turns"]] == [("user", said), ("assistant", said)] and row["loss_text"] == said
+
+
+def test_chat_defined_results(spark):
+    rows = [(1, None, "user", "b"), (1, 0, "user", "<|"), (1, 0, "user", "<a"), (1, 0, "user", "<a"), (None, 0, "user", "x"), (None, 1, None, None)]
+    turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumns({"parts": F.lit(3), "nth": F.lit("x"), "length": F.lit(None), "body": F.lit(1)})
+    got = {r["conv_id"]: [(t["role"], t["text"]) for t in r["turns"]] for r in chat.read_back(chat.format_conversations(turns)).collect()}
+    assert got == {1: [("user", "b"), ("user", "<a"), ("user", "<a"), ("user", "<|")], None: [("user", "x"), ("", "")]}
+
+
 def test_chat_query_visits_parts(spark, sf, monkeypatch):
     """The query's texts go through the visitor, as parts."""
     whole, visited, visit = Q.op3_chat(spark, sf).collect(), [], chat.visit_parts
