@@ -286,14 +286,18 @@ def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @tidy
 def _with_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words = Words()
+    """Each set once in a task, however often its row is repeated."""
+    words, seen = Words(), set()
     for batch in batches:
         for at in range(0, batch.num_rows, _BATCH):
             part = batch.slice(at, _BATCH)
             keep, made = [], []
-            for i, (c, d, text) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist(), part.column(3))):
+            for i, (rep, c, d, text) in enumerate(zip(*(part.column(k).to_pylist() for k in range(3)), part.column(3))):
+                if rep in seen:
+                    continue
                 s = shingles(text.as_py(), words)
-                if digest(s) == (c, d):  # another row may have the same id
+                if digest(s) == (c, d):  # another text of this id may have the same hash
+                    seen.add(rep)
                     keep.append(i)
                     made.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(keep, pa.int64())), pa.array(made, pa.binary())], ["rep", "elements"])
@@ -403,7 +407,7 @@ def classes(docs: DataFrame) -> DataFrame:
     del signed
     _free(spark)  # the signatures' shuffle files are done with
     docs_ = made.filter(F.col("kind") == DOC).select(F.col("a").alias("row"), F.col("b").alias("doc_id"), F.col("e").alias("text_key"), F.col("f").alias("n_shingles"), "c", "d")
-    reps = compacted(docs_.filter("n_shingles > 0").groupBy("c", "d").agg(F.min("row").alias("rep"), F.min_by("doc_id", "row").alias("rep_doc"), F.min("n_shingles").alias("n"), F.count("*").alias("copies")))
+    reps = compacted(docs_.filter("n_shingles > 0").groupBy("c", "d").agg(F.min("row").alias("rep"), F.min_by("doc_id", "row").alias("rep_doc"), F.min_by("text_key", "row").alias("rep_key"), F.min("n_shingles").alias("n"), F.count("*").alias("copies")))
     # A class of one row is its own representative; only the others need the join.
     many = compacted(reps.filter("copies > 1").select("c", "d", "rep"))
     rep_of = compacted(docs_.join(many, ["c", "d"], "left").select("row", "doc_id", "text_key", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("rep", "row")).alias("rep")))
@@ -417,10 +421,13 @@ def _free(spark) -> None:
 
 
 def _sets(rows: DataFrame, needed: DataFrame) -> DataFrame:
-    """(rep, elements) of the needed sets, made anew from their texts."""
+    """(rep, elements) of the needed sets, made anew from their texts, which id and text hash find."""
     side = F.broadcast(needed) if small_enough(needed) else needed
-    texts = rows.join(side, F.col("doc_id").eqNullSafe(F.col("id"))).select("rep", "c", "d", "text")
-    return checkpointed(texts.mapInArrow(_with_set, "rep bigint, elements binary"))
+    texts = rows.join(side, (F.col("text_key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("rep", "c", "d", "text")
+    made = checkpointed(texts.mapInArrow(_with_set, "rep bigint, elements binary"))
+    if made.count() > needed.count():  # rows repeated over several tasks
+        made = checkpointed(made.groupBy("rep").agg(F.first("elements").alias("elements")))
+    return made
 
 
 def _rarest(held: DataFrame) -> DataFrame:
@@ -464,7 +471,7 @@ def _roots(rows: DataFrame, made: DataFrame, reps: DataFrame, rep_of: DataFrame,
     tried = compacted(tried.distinct())
     out = "a bigint, b bigint, distance double, linked boolean"
     nodes = pairs.unionByName(tried).select(F.explode(F.array("a", "b")).alias("rep")).unionByName(held.select("rep")).distinct()
-    sets = _sets(rows, compacted(nodes.join(reps, "rep").select("rep", "c", "d", F.col("rep_doc").alias("id"))))
+    sets = _sets(rows, compacted(nodes.join(reps, "rep").select("rep", "c", "d", F.col("rep_doc").alias("id"), F.col("rep_key").alias("key"))))
     root = components(compacted(_with_sets(tried, sets).mapInArrow(_verified, out).filter("linked").select("a", "b")))
     _free(spark)
     # Then the pairs of small runs, but for those within a component.

@@ -87,6 +87,14 @@ def test_large_groups_without_broadcast(spark, monkeypatch):
     assert got(spark.createDataFrame(rows, SCHEMA).repartition(3)) == brute([r[:2] for r in rows])
 
 
+@pytest.mark.parametrize("own_id", [None, 5])
+def test_many_rows_of_one_id(spark, own_id):
+    """Rows of null or equal id meet their own set only, repeated rows once."""
+    rows = near_copies(6, groups=12, most=30)
+    rows = [(own_id, *r[1:]) for r in rows[:-5]] + rows[-5:] + [(own_id, *rows[0][1:])] * 50
+    assert got(spark.createDataFrame(rows, SCHEMA).repartition(6)) == brute([r[:2] for r in rows])
+
+
 def test_table(spark, sf):
     df = spark.read.parquet(f"{sf}/documents.parquet")
     assert got(df) == brute([(r["doc_id"], r["text"]) for r in df.collect()])
