@@ -1,7 +1,14 @@
 """The corpus pipeline: quality rules, near-duplicate removal, secrets, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before kept. All
-but the last return the columns of ``documents``; the last returns packed pieces.
+but the last return the columns of ``docs``; the last returns packed pieces.
+
+Defined results, for each stage: a null text is an empty one, and an empty table gives an empty result; other columns,
+whatever their names, pass through (``n_chars`` too: it stays what it was when a stage shortens a text).
+``quality`` rejects texts without words; of rows repeated it keeps all. ``near_duplicates`` keeps one row of equal rows
+and of each group, that of the smallest id, a row with an id before one without; a row without words has no
+group and stays. ``secrets`` keeps every row, ids null or equal too. ``mix`` gives a row its copies by its
+id's draw, so rows of one id are copied alike; a text without words takes no words. ``pack`` gives each row, repeated ones too, its own pieces.
 """
 
 from __future__ import annotations
@@ -14,8 +21,8 @@ from lodestone.llm.common import shared_folder
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or the line rules reject go (operator 8)."""
-    return quality.filter_documents(docs)
+    """Failing lines go, and documents that the base rules or the line rules reject (operator 8)."""
+    return quality.filter_documents(docs, clean=True)
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
