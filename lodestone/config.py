@@ -47,6 +47,7 @@ class Settings:
     context_max_batches: int = 8
     multi_query: int = 3
     store_buckets: int = 32
+    store_segments: int = 24
     max_entities: int = 10
     max_topics: int = 5
     max_keywords: int = 10

@@ -71,7 +71,7 @@ def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 30, k1: float = 1.2,
     counted number is within ``TERMS``, and joined by shuffle beyond.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(T.terms(F.col("text")))).alias("term"))
-    lengths = docs.select(F.size(T.terms(F.col("text"))).alias("dl"))
+    lengths = docs.select(F.coalesce(F.size(T.terms(F.col("text"))), F.lit(0)).alias("dl"))  # a null text has no words
     totals = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     sized = F.broadcast if asked.count() <= TERMS else lambda df: df
     hit = postings(docs, sized(asked.select("term").distinct()))

@@ -1,10 +1,16 @@
-"""The chunk table: ingest, replace by source, delete, list, search; Parquet in buckets by source.
-
-A source's chunks lie in one of ``store_buckets`` folders. A write rewrites only the buckets of the sources it
-touches, into a new folder, and then creates the next manifest (bucket to folder), which no other writer can
-have created: readers see whole versions only, a failed write changes nothing, and a writer that comes second
-takes the other's buckets over, or stops where both touched the same one. Manifests go through Hadoop's file
-system by the driver's JVM (classic Spark).
+"""The chunk table: ingest, replace by source, delete, list, search; increments merged when they are read.
+
+Every write adds a segment and rewrites none: its own chunks, and a row in ``sources`` for each source that it replaces
+or deletes. A version is a manifest, the list of segments in their order. Of each source the newest
+segment that names it counts: reading takes a segment's chunks without the sources that later ones name, so a batch of
+1,000 sources writes its own rows whatever the table holds. ``compact`` writes what counts as one segment, in folders by hash
+of the source; a write does it when there are more than ``Settings.store_segments``.
+
+A writer creates the next manifest, which no other can have created: by an exclusive create, or where a store has none
+until the file is closed, by its conditional put. A writer that comes second adds its segment behind the other's, so of two
+that name one source the later counts. A manifest that was never finished (its writer died) is passed over once it is older
+than ``GRACE`` seconds. A failed write leaves files that no manifest names; ``vacuum`` removes them. Manifests go
+through Hadoop's file system by the driver's JVM (classic Spark).
 """
 
 from __future__ import annotations
@@ -12,6 +18,7 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +35,10 @@ SCHEMA = (
 )
 
 
+#: Seconds after which a manifest without content counts as left by a writer that died.
+GRACE = 600
+
+
 class Collection:
     """A versioned chunk table under ``folder``."""
 
@@ -53,62 +64,103 @@ class Collection:
         finally:
             stream.close()
 
-    def _latest(self) -> tuple[int, dict]:
-        """The newest whole version: its number and content."""
+    def _versions(self) -> list[int]:
+        return sorted((int(n[:-5]) for f in self._names(f"{self.folder}/versions") if (n := f.getPath().getName()).endswith(".json")), reverse=True)
+
+    def _latest(self) -> tuple[int, list[dict]]:
+        """The newest whole version: its number and segments."""
         try:
-            versions = sorted((int(n[:-5]) for f in self._names(f"{self.folder}/versions") if (n := f.getPath().getName()).endswith(".json")), reverse=True)
-            for v in versions:
+            for v in self._versions():
                 if (found := self._manifest(v)) is not None:
-                    return v, found
+                    return v, found["segments"]
         except Py4JJavaError as e:
             raise StorageError(f"{self.folder} can't be read") from e
-        return 0, {"buckets": self.settings.store_buckets, "at": {}}
+        return 0, []
 
     def _create(self, version: int, content: dict) -> bool:
         """Whether this writer was the one to create the manifest."""
         fs, p = self._fs(f"{self.folder}/versions/{version:012d}.json")
         try:
-            out = fs.create(p, False)
+            # The option is for object stores, which find out at the end; others refuse at the beginning.
+            out = fs.createFile(p).overwrite(False).recursive().opt("fs.option.create.conditional.overwrite", "true").build()
+            out.write(json.dumps(content).encode())
+            out.close()
         except Py4JJavaError as e:
             if fs.exists(p):
                 return False
             raise StorageError(f"{self.folder} can't be written") from e
-        out.write(json.dumps(content).encode())
-        out.close()
         return True
 
-    def _read(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema(SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMA)
-
-    def chunks(self) -> DataFrame:
-        return self._read(sorted(self._latest()[1]["at"].values()))
-
-    @staticmethod
-    def _bucket(buckets: int):
-        return F.pmod(F.xxhash64("source"), F.lit(buckets)).cast("int")
+    def _unfinished(self, version: int) -> bool:
+        """Whether a manifest has no content; waits for a writer that may be at it, but not for one that died."""
+        fs, p = self._fs(f"{self.folder}/versions/{version:012d}.json")
+        until = fs.getFileStatus(p).getModificationTime() / 1000 + GRACE
+        while self._manifest(version) is None:
+            if time.time() >= until:
+                return True
+            time.sleep(0.2)
+        return False
+
+    def _commit(self, change: Callable[[list[dict]], list[dict]]) -> int:
+        """Creates the next version from what the newest one holds; returns its number."""
+        while True:
+            version, segments = self._latest()
+            number = version + 1
+            # Numbers above are of manifests that are being written, or were left.
+            while number in self._versions() and self._unfinished(number):
+                number += 1
+            if number not in self._versions() and self._create(number, {"segments": change(segments)}):
+                return number
+
+    def _read(self, path: str) -> DataFrame:
+        return self.spark.read.schema(SCHEMA + ", bucket int").parquet(path).drop("bucket")
+
+    def chunks(self, segments: list[dict] | None = None) -> DataFrame:
+        """The chunks that count, of the newest version or of given segments."""
+        segments = self._latest()[1] if segments is None else segments
+        found, later = None, None
+        for s in reversed(segments):
+            if s.get("chunks"):
+                rows = self._read(s["chunks"])
+                rows = rows if later is None else rows.join(later, "source", "left_anti")
+                found = rows if found is None else found.unionByName(rows)
+            if s.get("sources"):
+                named = self.spark.read.schema("source string").parquet(s["sources"])
+                later = named if later is None else later.unionByName(named)
+        return self.spark.createDataFrame([], SCHEMA) if found is None else found
 
     def _replace(self, sources: DataFrame, new: DataFrame | None = None) -> None:
-        """The next version: without the chunks of ``sources`` (source), with those of ``new``."""
-        version, base = self._latest()
-        bucket = self._bucket(base["buckets"])
-        touched = {str(r[0]) for r in sources.select(bucket).distinct().collect()}  # one row a bucket at most
-        if not touched:
+        """The next version: ``sources`` (source) have the chunks of ``new``, or none."""
+        path = f"{self.folder}/data/{uuid.uuid4().hex}"
+        sources.select("source").distinct().write.parquet(f"{path}/sources")
+        if not self.spark.read.schema("source string").parquet(f"{path}/sources").head(1):
             return
-        rows = self._read([base["at"][b] for b in sorted(touched) if b in base["at"]]).join(sources, "source", "left_anti")
+        segment = {"sources": f"{path}/sources"}
         if new is not None:
-            rows = rows.unionByName(new, allowMissingColumns=True)
-        path = f"{self.folder}/data/{uuid.uuid4().hex}"
-        columns = [f.split()[0] for f in SCHEMA.split(", ")]
+            columns = [f.split()[0] for f in SCHEMA.split(", ")]
+            new.select(*[F.col(c) if c in new.columns else F.lit(None).alias(c) for c in columns]).write.parquet(f"{path}/chunks")
+            segment["chunks"] = f"{path}/chunks"
+        self._commit(lambda segments: [*segments, segment])
+        if len(self._latest()[1]) > self.settings.store_segments:
+            self.compact()
+
+    def compact(self) -> int:
+        """Writes the chunks that count as one segment; those added meanwhile stay behind it. Returns the number of segments that it took over."""
+        taken = self._latest()[1]
+        if len(taken) < 2:
+            return 0
+        path = f"{self.folder}/data/{uuid.uuid4().hex}/chunks"
+        bucket = F.pmod(F.xxhash64("source"), F.lit(self.settings.store_buckets)).cast("int")
         # AQE splits a large bucket's rows over tasks and joins small ones.
-        rows.select(*columns, bucket.alias("bucket")).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(path)
-        made = {f.getPath().getName().partition("=")[2]: f"{path}/{f.getPath().getName()}" for f in self._names(path) if f.isDirectory()}
-        mine = {b: made.get(b) for b in touched}
-        current = base
-        while not self._create(version + 1, {"buckets": base["buckets"], "at": {b: at for b, at in (current["at"] | mine).items() if at}}):
-            version += 1
-            current = self._manifest(version)
-            if current is None or any(current["at"].get(b) != base["at"].get(b) for b in touched):
-                raise StorageError(f"{self.folder}: another writer changed the same sources' buckets; try again")
+        self.chunks(taken).withColumn("bucket", bucket).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(path)
+
+        def swapped(segments: list[dict]) -> list[dict]:
+            if segments[: len(taken)] != taken:
+                raise StorageError(f"{self.folder} was compacted meanwhile")
+            return [{"chunks": path}, *segments[len(taken) :]]
+
+        self._commit(swapped)
+        return len(taken)
 
     def staged(self, rows: DataFrame) -> DataFrame:
         """``rows`` written once beside the collection and read back, where several jobs need them; ``vacuum`` removes them."""
@@ -119,7 +171,8 @@ class Collection:
     def vacuum(self, keep: int = 2, hours: float = 24.0) -> int:
         """Removes folders that none of the last ``keep`` versions names and that are older than ``hours``; returns their number."""
         last = self._latest()[0]
-        held = {at.split("/data/", 1)[1].split("/")[0] for v in range(max(1, last - keep + 1), last + 1) for at in (self._manifest(v) or {"at": {}})["at"].values()}
+        kept = [v for v in self._versions() if v <= last][:keep]
+        held = {at.split("/data/", 1)[1].split("/")[0] for v in kept for s in (self._manifest(v) or {"segments": []})["segments"] for at in s.values()}
         gone = 0
         for part in ("data", "staging"):
             for f in self._names(f"{self.folder}/{part}"):

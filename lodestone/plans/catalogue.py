@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.operators import answers, chunking, evaluation, filters, metadata, retrieval, sync
+from lodestone.operators.inverted import InvertedIndex
+from lodestone.operators.ivf import VectorIndex
+from lodestone.session import workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -329,6 +332,22 @@ def bm25_topk(spark, d):
     return retrieval.bm25_topk(_items(spark, d), _texts(spark, d), 30)
 
 
+@query(f"WITH {_BM25} SELECT query_id, id, score, rank::INTEGER AS rank FROM btop")
+def bm25_index_topk(spark, d):
+    """The same from a persisted index over all documents."""
+    index = InvertedIndex(spark, workspace(spark, "inverted"))
+    index.add(_texts(spark, d))
+    return index.search(_items(spark, d), 30)
+
+
+@query()
+def ivf_topk(spark, d):
+    """The stated query set against all vectors by an inverted file; its recall is held against ``dense_topk`` in tests."""
+    index = VectorIndex(spark, workspace(spark, "ivf"))
+    index.build(_vectors(spark, d))
+    return index.search(_asked(spark, d), 30)
+
+
 def _fuse_sql(lists: list[str], offset: bool) -> str:
     rows = " UNION ALL ".join(f"SELECT query_id, id, rank, {i} AS list FROM {t}" for i, t in enumerate(lists))
     shift = "coalesce((SELECT sum(z.n) FROM sizes z WHERE z.query_id = u.query_id AND z.list < u.list), 0)" if offset else "0"

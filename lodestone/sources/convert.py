@@ -1,4 +1,9 @@
-"""Pages to markdown, in Arrow batches: headings, paragraphs, lists, links, code, tables."""
+"""Pages to markdown, in Arrow batches: headings, paragraphs, lists, links, code, tables.
+
+Hidden elements are known by name. A head ends with its end tag, or before the first text or element that a head
+can't have (authors may leave the tag out); another hidden element that is never closed ends with the page, and what
+was in it is taken for text then if the page would have none.
+"""
 
 from __future__ import annotations
 
@@ -8,15 +13,19 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import DataFrame
 
-_HIDDEN = {"script", "style", "noscript", "template", "head"}
+_HIDDEN = {"script", "style", "noscript", "template", "title"}
+#: Elements that a head may hold.
+_HEAD = {"base", "link", "meta", *_HIDDEN}
 _BLOCKS = {"p", "div", "article", "section", "header", "footer", "nav", "main", "ul", "ol", "table", "tr", "blockquote", "pre", "li", *[f"h{i}" for i in range(1, 7)]}
 
 
 class Markdown(HTMLParser):
     """Collects blocks; unknown tags are dropped, their text stays."""
 
-    def __init__(self):
+    def __init__(self, show: bool = False):
         super().__init__(convert_charrefs=True)
+        self.show = show
+        self.head = False
         self.blocks: list[str] = []
         self.line: list[str] = []
         self.lead = ""
@@ -30,6 +39,7 @@ class Markdown(HTMLParser):
         self.line, self.lead = [], ""
 
     def handle_starttag(self, tag, attrs):
+        self.head = tag == "head" or (self.head and tag in _HEAD)
         if tag in _HIDDEN:
             self.hidden += 1
         if tag in _BLOCKS or tag == "br":
@@ -45,7 +55,9 @@ class Markdown(HTMLParser):
             self.line.append("[")
 
     def handle_endtag(self, tag):
-        if tag in _HIDDEN:
+        if tag == "head":
+            self.head = False
+        elif tag in _HIDDEN:
             self.hidden = max(0, self.hidden - 1)
         elif tag == "a" and self.links:
             self.line.append(f"]({self.links.pop()})")
@@ -53,16 +65,26 @@ class Markdown(HTMLParser):
             self._flush()
 
     def handle_data(self, data):
-        if not self.hidden:
+        if self.head and not self.hidden and data.strip():
+            self.head = False  # text is no part of a head
+        if self.show or not (self.hidden or self.head):
             self.line.append(data)
 
 
-def markdown(page: str | None) -> str:
-    parser = Markdown()
-    parser.feed(page or "")
+def _parsed(page: str, show: bool) -> tuple[str, int]:
+    parser = Markdown(show)
+    parser.feed(page)
     parser.close()
     parser._flush()
-    return "\n\n".join(parser.blocks)
+    return "\n\n".join(parser.blocks), parser.hidden
+
+
+def markdown(page: str | None) -> str:
+    """Markdown of a page; null is an empty page."""
+    made, left_open = _parsed(page or "", False)
+    if not made and left_open:  # all of it was in an element that nothing closed
+        made = _parsed(page or "", True)[0]
+    return made
 
 
 def html_to_markdown(pages: DataFrame) -> DataFrame:

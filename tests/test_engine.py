@@ -281,6 +281,11 @@ def test_datasets(spark, tmp_path):
             datasets.from_json(spark, bad)
 
 
+def test_html_without_end_tags():
+    for page, want in {"<html><head><title>t</title><body><p>hello world</p></body></html>": "hello world", "<head><meta a=b>plain": "plain", "<template>x<p>y": "x\n\ny", "<p>a<noscript>no": "a", "<head>\n<script>s</script>\n<p>q": "q"}.items():
+        assert convert.markdown(page) == want
+
+
 def test_html():
     got = convert.markdown("<head><title>t</title></head><h2>A &amp; b</h2><p>x <b>y</b><script>no</script></p><ul><li>i<li>j</ul><a href='/u'>l</a>")
     assert got == "## A & b\n\nx y\n\n- i\n\n- j\n\n[l](/u)" and convert.markdown(None) == ""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestone import api, config
 from lodestone.errors import StorageError
 from lodestone.functions import text as T
-from lodestone.operators import chunking, embedding, metadata
+from lodestone.operators import chunking, embedding, metadata, store
 from lodestone.operators.store import Collection
 
 DOCS = "doc_id bigint, source string, text string"
@@ -24,42 +24,74 @@ def docs(spark, *words):
     return spark.createDataFrame([(i, w, said(w)) for i, w in enumerate(words)], DOCS)
 
 
-def folders(c):
-    return set(c._latest()[1]["at"].values())
+def held(c):
+    return {(r["source"], r["content"].split()[0]) for r in c.chunks().collect()}
 
 
-def test_buckets_and_versions(spark, tmp_path):
-    c = Collection(spark, str(tmp_path / "c"), config.Settings(store_buckets=4))
-    assert c.chunks().count() == 0 and c.delete(docs(spark, "a")) == 0
+def size(folder):
+    return sum(os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(folder) for f in files)
+
+
+def test_increments_are_merged_when_read(spark, tmp_path):
+    c = Collection(spark, str(tmp_path / "c"))
+    assert c.chunks().count() == 0 and c.delete(docs(spark, "a")) == 0 and c._latest() == (0, [])
     words = [f"w{i}" for i in range(12)]
     c.ingest(docs(spark, *words))
-    before = dict(c._latest()[1]["at"])
-    c.ingest(docs(spark, "w0").withColumn("text", F.lit(said("changed"))))
-    after = c._latest()[1]["at"]
-    assert sum(before[b] != after[b] for b in before) == 1 and len(before) > 1
-    assert {r["source"] for r in c.chunks().collect()} == set(words)
-    version = c._latest()[0]
+    first = c._latest()[1][0]
+    before = {f: os.path.getmtime(f"{first['chunks']}/{f}") for f in os.listdir(first["chunks"])}
+    c.ingest(docs(spark, "w0", "new").withColumn("text", F.lit(said("changed"))))
+    version, segments = c._latest()
+    assert version == 2 and segments[0] == first and {f: os.path.getmtime(f"{first['chunks']}/{f}") for f in os.listdir(first["chunks"])} == before
+    assert size(segments[1]["chunks"]) < size(first["chunks"]) + 4000 and {r["source"] for r in spark.read.parquet(segments[1]["sources"]).collect()} == {"w0", "new"}
+    assert held(c) == {(w, w) for w in words[1:]} | {("w0", "changed"), ("new", "changed")}
     c.ingest(docs(spark, "w1").filter("false"))
     assert c._latest()[0] == version
-    c.delete(docs(spark, *words))
-    assert c.chunks().count() == 0 and c._latest()[1]["at"] == {}
-    assert c.vacuum(keep=1, hours=0) >= 2 and not os.listdir(tmp_path / "c/data")
+    assert c.delete(docs(spark, "w2", "w0", "nowhere")) > 0
+    c.ingest(docs(spark, "w2"))  # again, after it was deleted
+    want = {(w, w) for w in words[1:]} | {("new", "changed")}
+    assert held(c) == want
+    assert c.compact() == 4 and len(c._latest()[1]) == 1 and held(c) == want and c.compact() == 0
+    c.delete(docs(spark, *words, "new"))
+    assert c.chunks().count() == 0
+    assert c.vacuum(keep=1, hours=0) >= 3 and held(c) == set()
+
+
+def test_many_increments_are_compacted(spark, tmp_path):
+    c = Collection(spark, str(tmp_path / "c"), config.Settings(store_segments=3))
+    for i in range(5):
+        c.ingest(docs(spark, f"w{i}"))
+    assert len(c._latest()[1]) <= 3 and {s for s, _ in held(c)} == {f"w{i}" for i in range(5)}
 
 
 def test_two_writers(spark, tmp_path):
-    """A second writer takes over what the first did to other buckets, and stops where both did the same."""
-    c = Collection(spark, str(tmp_path / "c"), config.Settings(store_buckets=64))
+    """Segments of both count, in the order of their manifests; a compaction leaves what came meanwhile behind it."""
+    c, other = Collection(spark, str(tmp_path / "c")), Collection(spark, str(tmp_path / "c"))
     c.ingest(docs(spark, "a", "b", "e"))
-    of = {r["source"]: r["b"] for r in docs(spark, "a", "b").select("source", c._bucket(64).alias("b")).collect()}
-    assert of["a"] != of["b"]
-    other = Collection(spark, str(tmp_path / "c"))
-    version, base = c._latest()
+    stale = c._latest()
     other.delete(docs(spark, "b"))
-    c._latest = lambda: (version, base)  # read before the other wrote
-    c.delete(docs(spark, "a"))
-    assert {r["source"] for r in other.chunks().collect()} == {"e"}
+    calls = []
+    c._latest = lambda: calls.append(1) or (stale if len(calls) == 1 else other._latest())  # read before the other wrote
+    c._commit(lambda segments: [*segments])
+    assert len(calls) > 1 and {s for s, _ in held(other)} == {"a", "e"}
+    taken = other._latest()[1]
+    first = Collection(spark, str(tmp_path / "c"))
+    first._commit, commit = (lambda change: other.ingest(docs(spark, "late")) or commit(change)), first._commit
+    assert first.compact() == len(taken) and {s for s, _ in held(other)} == {"a", "e", "late"}
+    first._commit = lambda change: (other.compact(), commit(change))[1]
     with pytest.raises(StorageError):
-        c.delete(docs(spark, "b"))
+        first.compact()
+
+
+def test_a_writer_that_died(spark, tmp_path, monkeypatch):
+    """A manifest without content stops nobody once its time is over."""
+    c = Collection(spark, str(tmp_path / "c"))
+    c.ingest(docs(spark, "a"))
+    for name in ("000000000002.json", "000000000003.json"):
+        (tmp_path / "c/versions" / name).write_text("")
+    assert held(c) == {("a", "a")}
+    monkeypatch.setattr(store, "GRACE", 0)
+    c.ingest(docs(spark, "b"))
+    assert c._latest()[0] == 4 and held(c) == {("a", "a"), ("b", "b")}
 
 
 def test_files_of_all_kinds(spark, tmp_path):
