@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lodestone.config import Settings
 from lodestone.errors import EngineError, RetrievalError
 from lodestone.functions import text as T
-from lodestone.operators import answers, conversion, evaluation, filters, sync
+from lodestone.operators import answers, conversion, evaluation, extraction, filters, status, sync
 from lodestone.operators.embedding import Expansion
 from lodestone.operators.store import Collection
 from lodestone.sources import files
@@ -29,12 +29,14 @@ class Engine:
     """Tools over one collection, and their providers: Columns to Columns, each may be missing.
 
     ``ask(query, context)`` answers; ``convert(content, file name)`` gives markdown of files that are no
-    text, ``ocr(content)`` that of scans; ``expansion`` rewrites and extends queries.
+    text, ``ocr(content)`` that of scans; ``expansion`` rewrites and extends queries; ``extract`` gives chunks' metadata.
+    ``status`` has a record of every source that an ingest or a sync took up.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, settings: Settings | None = None, ask: Callable[[Column, Column], Column] | None = None, convert: Callable[[Column, Column], Column] | None = None, ocr: Callable[[Column], Column] | None = None, expansion: Expansion | None = None):
+    def __init__(self, spark: SparkSession, folder: str, settings: Settings | None = None, ask: Callable[[Column, Column], Column] | None = None, convert: Callable[[Column, Column], Column] | None = None, ocr: Callable[[Column], Column] | None = None, expansion: Expansion | None = None, extract: extraction.Ask | None = None):
         self.spark, self.settings, self.ask, self.convert, self.ocr, self.expansion = spark, settings or Settings(), ask, convert, ocr, expansion
-        self.collection = Collection(spark, folder, self.settings)
+        self.collection = Collection(spark, folder, self.settings, extract)
+        self.status = status.StatusStore(spark, f"{folder.rstrip('/')}/status")
         self._results: dict[str, DataFrame] = {}
 
     def _texts(self, listing: DataFrame) -> DataFrame:
@@ -66,40 +68,89 @@ class Engine:
 
     def ingest_files(self, path: str, extensions: list[str] | None = None) -> int:
         """Ingests all files under a path that can be read; returns the number of chunks that the collection has."""
-        texts = self.collection.staged(self._texts(files.listing(self.spark, "local", path=path, extensions=extensions)))
+        listing = files.listing(self.spark, "local", path=path, extensions=extensions)
+        texts = self.collection.staged(self._texts(listing).join(self._sizes(listing), "source"))
         return self.ingest_texts(texts.filter("problem is null").drop("problem"))
 
+    @staticmethod
+    def _sizes(listing: DataFrame) -> DataFrame:
+        """What tells later that a file is as it was: (source, file_size, file_mtime)."""
+        return listing.select(T.canonical_path(F.col("path")).alias("source"), F.col("size").alias("file_size"), (F.unix_micros("modified_at") / 1e6).alias("file_mtime"))
+
     def unread(self, path: str, extensions: list[str] | None = None) -> DataFrame:
         """(source, problem): files under a path that need a converter or OCR, or that gave no text."""
         return self._texts(files.listing(self.spark, "local", path=path, extensions=extensions)).filter("problem is not null").select("source", "problem")
 
     def ingest_texts(self, docs: DataFrame) -> int:
-        self.collection.ingest(docs)
+        self._ingest(docs)
         self._forget()
         return self.collection.chunks().count()
 
-    def sync(self, path: str, extensions: list[str] | None = None, dry_run: bool = False) -> DataFrame:
+    def _ingest(self, docs: DataFrame, **retries: int) -> None:
+        """Ingests (doc_id, source, text), with a record of each source; if the job fails, all of them fail and are due again later."""
+        docs = self.collection.staged(docs)
+        sources = docs.select("source").distinct()
+        if not sources.head(1):
+            return
+        known = self.status.records().select("source")
+        self.status.mark_pending(sources.join(known, "source", "left_anti"))
+        self.status.update_stage(sources, "Chunking")
+        try:
+            self.collection.ingest(docs)
+        except Exception as e:
+            status.schedule(self.status, sources.select("source", F.lit(str(e)[:500]).alias("error"), F.lit(type(e).__name__).alias("error_type")), **retries)
+            raise
+        counts = self.collection.chunks().join(sources, "source", "left_semi").groupBy("source").agg(F.count("*").alias("chunks"))
+        self.status.mark_done(sources.join(counts, "source", "left").select("source", F.coalesce("chunks", F.lit(0)).alias("chunks")))
+
+    def sync(self, path: str, extensions: list[str] | None = None, dry_run: bool = False, retries: int | None = None, backoff_s: int = 300) -> DataFrame:
         """(source, action); unless ``dry_run``, new and changed files are ingested, then missing ones deleted.
 
-        Sources are compared by their canonical paths. A file that can't be read is ``unread``: what is
-        stored of it stays.
+        Sources are compared by their canonical paths. A file of the stored size and time is unchanged and is not
+        read; of the others the contents' hashes decide. A file that can't be read is ``unread``: what is stored of it
+        stays, and its record fails. Files whose retry is due are ingested whatever their hashes say. With
+        ``retries``, a file that fails is tried again by later syncs so many times, ``backoff_s`` after each.
         """
-        texts = self.collection.staged(self._texts(files.listing(self.spark, "local", path=path, extensions=extensions)))
-        current = texts.select("source", T.content_hash(F.col("text")).alias("hash"))
-        chunks = self.collection.chunks().select(T.canonical_path(F.col("source")).alias("source"), "content_hash", "chunk_index", F.lit("").alias("file_content_hash"))
+        again = {} if retries is None else {"auto_most": retries, "auto_backoff_s": backoff_s}
+        listing = files.listing(self.spark, "local", path=path, extensions=extensions).withColumn("source", T.canonical_path(F.col("path")))
+        chunks = self.collection.chunks().withColumn("source", T.canonical_path(F.col("source")))
+        stored = chunks.groupBy("source").agg(F.max("file_size").alias("file_size"), F.max("file_mtime").alias("file_mtime"))
+        due = self.collection.staged(self.status.due().select("source"))
+        same = files.unmodified(listing.select(F.col("source").alias("path"), "size", "modified_at"), stored).select(F.col("path").alias("source")).join(due, "source", "left_anti")
+        same = self.collection.staged(same)
+        texts = self.collection.staged(self._texts(listing.join(same, "source", "left_anti")).join(self._sizes(listing), "source"))
+        hashes = chunks.select("source", "content_hash", "chunk_index", F.lit("").alias("file_content_hash"))
+        kept = sync.stored_hashes(hashes).join(same, "source", "left_semi")
+        current = texts.select("source", T.content_hash(F.col("text")).alias("hash")).unionByName(kept.select("source", F.col("hash")))
         bad = texts.filter("problem is not null").select("source", F.lit(True).alias("bad"))
-        actions = sync.reconcile(current, sync.stored_hashes(chunks)).join(bad, "source", "left")
+        actions = status.fold_in(sync.reconcile(current, sync.stored_hashes(hashes)), due).join(bad, "source", "left")
         done = self.collection.staged(actions.select("source", F.when(F.col("bad"), "unread").otherwise(F.col("action")).alias("action")))
         if not dry_run:
             said = lambda *names: done.filter(F.col("action").isin(*names)).select(F.col("source").alias("at"))
-            stored = self.collection.chunks().select("source").distinct().withColumn("at", T.canonical_path(F.col("source")))
-            old = stored.join(said("delete"), "at", "left_semi").unionByName(stored.filter("source <> at").join(said("update"), "at", "left_semi"))
+            held = self.collection.chunks().select("source").distinct().withColumn("at", T.canonical_path(F.col("source")))
+            old = held.join(said("delete"), "at", "left_semi").unionByName(held.filter("source <> at").join(said("update"), "at", "left_semi"))
             old = self.collection.staged(old.select("source"))
-            self.collection.ingest(texts.join(said("ingest", "update").withColumnRenamed("at", "source"), "source", "left_semi").drop("problem"))
-            self.collection.delete(old)
+            failed = texts.join(said("unread").withColumnRenamed("at", "source"), "source", "left_semi").select("source", F.col("problem").alias("error"), F.col("problem").alias("error_type"))
+            if failed.head(1):
+                known = self.status.records().select("source")
+                self.status.mark_pending(failed.select("source").join(known, "source", "left_anti"))
+                self.status.update_stage(failed.select("source"), "Reading")
+                status.schedule(self.status, failed, **again)
+            self._ingest(texts.join(said("ingest", "update").withColumnRenamed("at", "source"), "source", "left_semi").drop("problem"), **again)
+            if self.collection.delete(old):
+                self.status.mark_deleted(old.distinct())
             self._forget()
         return done
 
+    def retry(self, part: str | None = None) -> int:
+        """Failed sources (that hold ``part``) are due in the next sync at once; returns their number."""
+        failed = self.status.records("failed").select("source")
+        failed = self.collection.staged(failed if part is None else failed.filter(F.contains("source", F.lit(part))))
+        n = failed.count()
+        if n:
+            self.status.schedule_retry(failed, backoff_s=0)
+        return n
+
     def _forget(self) -> None:
         for hits in self._results.values():
             hits.unpersist()

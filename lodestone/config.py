@@ -35,6 +35,7 @@ class Settings:
     chunk_strategy: str = "recursive"
     candidate_k: int = 30
     top_k: int = 10
+    contextual_search: bool = True
     rrf_k: int = 60
     rrf_mode: str = "standard"
     mmr_fetch_k: int = 20

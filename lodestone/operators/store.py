@@ -20,21 +20,25 @@ import time
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from py4j.protocol import Py4JJavaError
 
 from lodestone.config import Settings
 from lodestone.errors import StorageError
 from lodestone.functions import text as T
-from lodestone.operators import chunking, embedding, filters, metadata, retrieval
+from lodestone.operators import chunking, embedding, extraction, filters, retrieval
 
 SCHEMA = (
     "id string, source string, chunk_index int, total_chunks int, content string, section_header string, context_prefix string, "
-    "content_hash string, language string, keywords array<string>, ingested_at timestamp, dense array<float>, contextual_dense array<float>"
+    "content_hash string, language string, keywords array<string>, ingested_at timestamp, dense array<float>, contextual_dense array<float>, "
+    "entities map<string,array<string>>, topics array<string>, doc_type string, file_size bigint, file_mtime double, "
+    "structural struct<heading_level:bigint,is_list:boolean,is_code:boolean,is_table:boolean,char_count:bigint,word_count:bigint,link_count:bigint,email_count:bigint,phone_count:bigint>"
 )
 
 
+#: What a hit has of its chunk.
+RESULT = ("id", "source", "content", "section_header", "context_prefix", "doc_type", "topics", "language", "keywords", "entities", "structural")
 #: Seconds after which a manifest without content counts as left by a writer that died.
 GRACE = 600
 
@@ -42,8 +46,9 @@ GRACE = 600
 class Collection:
     """A versioned chunk table under ``folder``."""
 
-    def __init__(self, spark: SparkSession, folder: str, settings: Settings | None = None):
-        self.spark, self.folder, self.settings = spark, folder.rstrip("/"), settings or Settings()
+    def __init__(self, spark: SparkSession, folder: str, settings: Settings | None = None, ask: extraction.Ask | None = None):
+        """``ask`` is a chat provider of chunks' metadata; without it, what can be computed is."""
+        self.spark, self.folder, self.settings, self.ask = spark, folder.rstrip("/"), settings or Settings(), ask
 
     def _fs(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -137,8 +142,8 @@ class Collection:
             return
         segment = {"sources": f"{path}/sources"}
         if new is not None:
-            columns = [f.split()[0] for f in SCHEMA.split(", ")]
-            new.select(*[F.col(c) if c in new.columns else F.lit(None).alias(c) for c in columns]).write.parquet(f"{path}/chunks")
+            kinds = {f.name: f.dataType for f in self.spark.createDataFrame([], SCHEMA).schema}
+            new.select(*[(F.col(c) if c in new.columns else F.lit(None)).cast(t).alias(c) for c, t in kinds.items()]).write.parquet(f"{path}/chunks")
             segment["chunks"] = f"{path}/chunks"
         self._commit(lambda segments: [*segments, segment])
         if len(self._latest()[1]) > self.settings.store_segments:
@@ -182,29 +187,44 @@ class Collection:
         return gone
 
     def prepare(self, docs: DataFrame) -> DataFrame:
-        """Chunks with ids, metadata and vectors of (doc_id, source, text)."""
+        """Chunks with ids, metadata and vectors of (doc_id, source, text), and of file_size and file_mtime if they are there."""
         s = self.settings
-        made = chunking.create_chunks(docs, s.chunk_strategy, s.chunk_size, s.chunk_overlap, s.min_chunk_chars)
-        from pyspark.sql import Window
+        return self._complete(chunking.create_chunks(docs, s.chunk_strategy, s.chunk_size, s.chunk_overlap, s.min_chunk_chars), docs)
 
+    def _complete(self, made: DataFrame, docs: DataFrame) -> DataFrame:
+        """Chunks (doc_id, chunk_index, content, section_header), each content once, with all that is stored of them."""
+        s = self.settings
         first = made.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", T.content_hash(F.col("content"))).orderBy("chunk_index"))).filter("nth = 1")
         w = Window.partitionBy("doc_id")
         numbered = first.withColumn("chunk_index", (F.row_number().over(w.orderBy("chunk_index")) - 1).cast("int")).withColumn("total_chunks", F.count("*").over(w).cast("int"))
-        rows = numbered.join(docs.select("doc_id", "source", T.content_hash(F.col("text")).alias("content_hash")), "doc_id")
+        of_file = [F.col(c) for c in ("file_size", "file_mtime") if c in docs.columns]
+        rows = numbered.join(docs.select("doc_id", "source", T.content_hash(F.coalesce(F.col("text"), F.lit(""))).alias("content_hash"), *of_file), "doc_id")
+        rows = rows.withColumn("id", T.uuid5(F.concat("source", F.lit("_"), F.col("chunk_index").cast("string"))))
+        # Metadata is of the chunk alone; the context before it comes after.
+        known = extraction.extract(rows.select("id", "doc_id", "chunk_index", "content"), self.ask, s.context_batch).drop("doc_id", "chunk_index", "content")
         prefix = T.context_header(F.col("section_header"))
-        rows = rows.withColumn("context_prefix", prefix).withColumn("content", T.apply_context(prefix, F.col("content"))).withColumn("id", T.uuid5(F.concat("source", F.lit("_"), F.col("chunk_index").cast("string"))))
-        words = metadata.keywords(rows.select(F.col("id").alias("doc_id"), F.col("content").alias("text"))).withColumnRenamed("doc_id", "id")
-        rows = rows.join(words, "id", "left").withColumn("keywords", F.coalesce("keywords", F.array().cast("array<string>")))
-        rows = rows.withColumn("language", metadata.language(T.strip_context(F.col("content")))).withColumn("ingested_at", F.current_timestamp())
+        rows = rows.join(known, "id").withColumn("context_prefix", prefix).withColumn("content", T.apply_context(prefix, F.col("content"))).withColumn("ingested_at", F.current_timestamp())
         return embedding.dual(rows, embedding.embedder("hash", dim=s.dense_dim))
 
     def ingest(self, docs: DataFrame) -> None:
         """Adds or replaces the sources of ``docs``; those stored with the same content are left out."""
-        old = self.chunks()
-        known = old.select("source", "content_hash").distinct()
-        fresh = docs.withColumn("content_hash", T.content_hash(F.col("text"))).join(known, ["source", "content_hash"], "left_anti").drop("content_hash")
+        known = self.chunks().select("source", "content_hash").distinct()
+        fresh = docs.withColumn("content_hash", T.content_hash(F.coalesce(F.col("text"), F.lit("")))).join(known, ["source", "content_hash"], "left_anti").drop("content_hash")
         self._replace(fresh.select("source").distinct(), self.prepare(fresh))
 
+    def ingest_chunks(self, chunks: DataFrame, texts: DataFrame) -> None:
+        """Adds or replaces sources by chunks (source, chunk_index, content, section_header) that were made elsewhere.
+
+        ``texts`` has each source's whole text (source, text). Chunks below the least length go; a source of
+        which none is left raises, and nothing is written.
+        """
+        long = chunks.filter(F.length(F.trim("content")) >= self.settings.min_chunk_chars)
+        if bad := texts.join(long, "source", "left_anti").head():
+            raise StorageError(f"{bad['source']} has no chunk of {self.settings.min_chunk_chars} characters")
+        docs = texts.withColumn("doc_id", F.xxhash64("source"))
+        made = long.join(docs.select("source", "doc_id"), "source").select("doc_id", "chunk_index", "content", F.coalesce("section_header", F.lit("")).alias("section_header"))
+        self._replace(texts.select("source"), self._complete(made, docs))
+
     def delete(self, sources: DataFrame) -> int:
         """Removes all chunks of the listed sources; returns how many there were."""
         old = self.chunks()
@@ -217,12 +237,13 @@ class Collection:
         c = self.chunks()
         return c.groupBy("source").agg(F.count("*").alias("chunks"), F.min_by("language", "chunk_index").alias("language"), F.max("ingested_at").alias("ingested_at")).orderBy(F.desc("ingested_at"), "source")
 
-    def search(self, queries: DataFrame, mode: str = "hybrid", top_k: int | None = None, where: dict | None = None, source: str | None = None, rerank: bool = True, expansion: embedding.Expansion | None = None) -> DataFrame:
-        """(query_id, rank, id, source, content, score) for (query_id, text), all queries in one job.
+    def search(self, queries: DataFrame, mode: str = "hybrid", top_k: int | None = None, where: dict | None = None, source: str | None = None, rerank: bool = True, expansion: embedding.Expansion | None = None, contextual: bool | None = None) -> DataFrame:
+        """(query_id, rank, score, dense_score, sparse_score) and the chunk's ``RESULT`` for (query_id, text), all queries in one job.
 
         similarity: dense alone. hybrid: dense and BM25, fused. mmr: dense, then diverse; its order
         is kept. Filters come before ranking. ``expansion`` rewrites queries, and in the hybrid mode adds
         dense lists of a hypothetical answer and of paraphrases, scored in the same pass over the chunks.
+        ``contextual`` chooses the vectors of chunks with their contexts, else those of the chunks alone.
         """
         s, k = self.settings, top_k or self.settings.top_k
         rows = self.chunks()
@@ -232,21 +253,34 @@ class Collection:
         asked_for = queries
         queries = variants.filter("list = 0").select("query_id", "text")
         asked = queries.select("query_id", "text", make(F.col("text")).alias("vec"))
-        vectors = rows.select("id", F.col("contextual_dense").alias("vec"))
+        with_context = s.contextual_search if contextual is None else contextual
+        vectors = rows.select("id", F.col("contextual_dense" if with_context else "dense").alias("vec"))
         if mode == "mmr":
             dense = retrieval.dense_topk(asked, vectors, s.mmr_fetch_k)
             found = retrieval.mmr(dense, vectors, k, s.mmr_lambda).select("query_id", "id", (F.col("place") + 1).alias("rank"), F.lit(None).cast("double").alias("score"))
-            return found.join(rows.select("id", "source", "content"), "id").select("query_id", "rank", "id", "source", "content", "score")
+            scores = dense.select("query_id", "id", F.col("score").alias("dense_score"))
+            return self._results(found.join(scores, ["query_id", "id"]).withColumn("sparse_score", F.lit(0.0)), rows)
         if mode == "hybrid":
             each = variants.select(F.struct("query_id", "list").alias("query_id"), make(F.col("text")).alias("vec"))
-            dense = retrieval.dense_topk(each, vectors, s.candidate_k).select("query_id.query_id", "query_id.list", "id", "rank")
+            dense = retrieval.dense_topk(each, vectors, s.candidate_k).select("query_id.query_id", "query_id.list", "id", "rank", "score")
             sparse = retrieval.bm25_topk(queries, rows.select("id", F.col("content").alias("text")), s.candidate_k, s.bm25_k1, s.bm25_b)
-            lists = dense.unionByName(sparse.select("query_id", F.lit(1).alias("list"), "id", "rank"))
+            lists = dense.drop("score").unionByName(sparse.select("query_id", F.lit(1).alias("list"), "id", "rank"))
             found = retrieval.fuse_rows(lists, s.rrf_k, s.rrf_mode)
+            own = dense.filter("list = 0").select("query_id", "id", F.col("score").alias("dense_score"))
+            found = found.join(own, ["query_id", "id"], "left").join(sparse.select("query_id", "id", F.col("score").alias("sparse_score")), ["query_id", "id"], "left")
         else:
-            found = retrieval.dense_topk(asked, vectors, s.candidate_k)
-        hits = found.join(rows.select("id", "source", "content"), "id").join(asked_for.select("query_id", F.col("text").alias("query")), "query_id")
+            found = retrieval.dense_topk(asked, vectors, s.candidate_k).withColumn("dense_score", F.col("score")).withColumn("sparse_score", F.lit(0.0))
+        hits = found.join(rows.select("id", "content"), "id").join(asked_for.select("query_id", F.col("text").alias("query")), "query_id")
         if rerank:
             ranked = retrieval.rerank(hits, retrieval.lexical_score(F.col("query"), F.col("content")))
             hits = ranked.withColumn("rank", F.col("new_rank")).withColumn("score", F.col("rerank_score"))
-        return hits.filter(F.col("rank") <= k).select("query_id", "rank", "id", "source", "content", "score")
+        return self._results(hits.filter(F.col("rank") <= k), rows)
+
+    @staticmethod
+    def _results(hits: DataFrame, rows: DataFrame) -> DataFrame:
+        """Hits with their chunk's fields; an empty value where a chunk has none."""
+        scores = [F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in ("dense_score", "sparse_score")]
+        none = {"doc_type": F.lit(""), "topics": F.array().cast("array<string>"), "entities": F.expr("cast(map() as map<string,array<string>>)")}
+        fields = [F.coalesce(c, none[c]).alias(c) if c in none else F.col(c) for c in RESULT]
+        found = hits.select("query_id", "rank", "id", "score", *scores).join(rows.select(*RESULT), "id").select("query_id", "rank", "score", "dense_score", "sparse_score", *fields)
+        return found.withColumn("dates", F.coalesce(F.try_element_at("entities", F.lit("dates")), F.array().cast("array<string>")))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone import api, cli
-from lodestone.errors import EngineError, RetrievalError
+from lodestone.errors import EngineError, RetrievalError, StorageError
 from lodestone.operators import conversion
 from lodestone.sources import datasets
 
@@ -45,6 +45,68 @@ def test_tools(spark, folder):
         api.Engine(spark, str(folder / "c")).answer(["boats"])
 
 
+def test_sync_reads_what_changed_and_keeps_records(spark, folder, monkeypatch):
+    e = api.Engine(spark, str(folder / "c"))
+    name = lambda rows: {r["source"].rsplit("/", 1)[1]: r for r in rows}
+    e.ingest_files(str(folder / "in"))
+    records = name(e.status.records().collect())
+    assert {n: (r["status"], r["chunks"] > 0) for n, r in records.items()} == {"boats.md": ("done", True), "trees.html": ("done", True)}
+    read, texts = [], e._texts
+    monkeypatch.setattr(e, "_texts", lambda listing: read.append(sorted(r["name"] for r in listing.select("name").collect())) or texts(listing))
+    (folder / "in/boats.md").write_text("# Boats\n\nBoats float on the lake and carry goods.")
+    (folder / "in/scan.pdf").write_bytes(b"%PDF-1.4 \xff\x00")
+    actions = {n: r["action"] for n, r in name(e.sync(str(folder / "in"), retries=2, backoff_s=0).collect()).items()}
+    assert read == [["boats.md", "scan.pdf"]] and actions == {"boats.md": "update", "scan.pdf": "unread", "trees.html": "unchanged"}
+    records = name(e.status.records().collect())
+    assert records["boats.md"]["status"] == "done" and (records["scan.pdf"]["status"], records["scan.pdf"]["attempts"], records["scan.pdf"]["error"]) == ("retry", 1, "needs_ocr")
+    # The retry is due at once, and the file has become readable by then.
+    e.ocr = lambda content: F.lit("Scanned pages speak of mills and of water wheels. " * 3)
+    actions = {n: r["action"] for n, r in name(e.sync(str(folder / "in")).collect()).items()}
+    assert actions["scan.pdf"] == "ingest" and name(e.status.records().collect())["scan.pdf"]["status"] == "done"
+    (folder / "in/trees.html").unlink()
+    e.sync(str(folder / "in"))
+    gone = name(e.status.records().collect())["trees.html"]
+    assert (gone["status"], gone["stage"]) == ("skipped", "Deleting") and "trees.html" not in name(e.documents().collect())
+
+
+def test_a_failed_ingest_is_recorded(spark, folder, monkeypatch):
+    e = api.Engine(spark, str(folder / "c"))
+    docs = spark.createDataFrame([(1, "a", "Mills turn by the water of the river, day and night.")], "doc_id bigint, source string, text string")
+    ingest = e.collection.ingest
+    monkeypatch.setattr(e.collection, "ingest", lambda docs: (_ for _ in ()).throw(RuntimeError("disk full")))
+    with pytest.raises(RuntimeError):
+        e.ingest_texts(docs)
+    assert e.status.records().first()["status"] in ("failed", "retry") and "disk full" in e.status.records().first()["error"]
+    monkeypatch.setattr(e.collection, "ingest", ingest)
+    assert e.ingest_texts(docs) == 1 and e.status.records().first()["status"] == "done"
+
+
+def test_results_have_the_chunks_metadata(spark, folder):
+    told = lambda p: F.when(p.contains("For each chunk"), F.lit('[{"entities": {"people": ["Ann"], "dates": ["2024"]}, "topics": ["rivers"], "doc_type": "report"}]'))
+    e = api.Engine(spark, str(folder / "c"), extract=told)
+    e.ingest_files(str(folder / "in"), ["md"])
+    for mode in ("hybrid", "similarity", "mmr"):
+        hit = e.query(["boats on the water"], mode, 3).first()
+        assert hit["topics"] == ["rivers"] and hit["doc_type"] == "report" and hit["entities"]["people"] == ["Ann"] and hit["dates"] == ["2024"] and hit["structural"]["word_count"] > 5
+        assert hit["dense_score"] > 0 and (hit["sparse_score"] > 0) == (mode == "hybrid") and "boats" in hit["keywords"]
+    c = e.collection
+    asked = spark.createDataFrame([(1, "boats on the water")], "query_id int, text string")
+    scores = [c.search(asked, "similarity", 1, contextual=x).first()["score"] for x in (True, False, None)]
+    assert scores[2] == scores[0]
+    assert api.Engine(spark, str(folder / "c")).query(["boats"], where={"topics": "rivers"}).count() == 1
+
+
+def test_chunks_made_elsewhere(spark, folder):
+    e = api.Engine(spark, str(folder / "c"))
+    chunks = spark.createDataFrame([("s", 1, "second chunk with words enough in it", None), ("s", 0, "first chunk with words enough in it", "Head"), ("s", 2, "short", "")], "source string, chunk_index int, content string, section_header string")
+    texts = spark.createDataFrame([("s", "first second")], "source string, text string")
+    e.collection.ingest_chunks(chunks, texts)
+    got = e.collection.chunks().orderBy("chunk_index").collect()
+    assert [(r["chunk_index"], r["total_chunks"], r["section_header"]) for r in got] == [(0, 2, "Head"), (1, 2, "")] and got[0]["content"] == "[Context: Head] first chunk with words enough in it"
+    with pytest.raises(StorageError):
+        e.collection.ingest_chunks(chunks, spark.createDataFrame([("s", "x"), ("none", "x")], "source string, text string"))
+
+
 def test_command_line(spark, folder, capsys):
     run = lambda *a: cli.main(["--collection", str(folder / "c"), *a], spark)
     assert run("ingest", str(folder / "in"), "--extension", "md") == 0 and run("query", "boats on water", "--top-k", "1") == 0 and run("list") == 0 and run("stats") == 0
