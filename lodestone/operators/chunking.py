@@ -175,3 +175,41 @@ def create_chunks(docs: DataFrame, strategy: str = "recursive", size: int = 1024
     if "window" in made.columns:
         made = made.withColumnRenamed("window", "chunk_index").withColumn("section_header", F.lit(""))
     return made.filter(F.length(F.trim("content")) >= least).select("doc_id", "chunk_index", "content", "section_header")
+
+
+def kind(block: str) -> str:
+    """``block_kind`` of one text."""
+    lines = block.split("\n")
+    if block.startswith("|") or (len(lines) > 1 and all("|" in x for x in lines[:3])):
+        return "table"
+    marks = (("```", "code"), ("#", "heading"))
+    found = next((k for mark, k in marks if block.startswith(mark)), None)
+    return found or ("list" if re.match(r"([-*] |[1-5]\. )", block) else "paragraph")
+
+
+def _fixed(text: str, size: int, overlap: int) -> list[tuple[str, str]]:
+    words = [w for w in re.split(r"\s+", text, flags=re.A) if w]
+    return [(" ".join(words[i : i + size]), "") for i in range(0, len(words), max(1, size - overlap))]
+
+
+def _markdown(text: str, size: int, overlap: int) -> list[tuple[str, str]]:
+    parts = [b for b in (x.strip(" \t\n\r\f\v") for x in text.split("\n\n")) if b]
+    out, start, chars, head = [], 0, 0, ""
+    chunk = lambda i, j: "\n\n".join([*([parts[i - 1][-overlap:] if overlap else ""] if i else []), *parts[i:j]])
+    for i, b in enumerate(parts):
+        if i > start and chars + len(b) > size:
+            out.append((chunk(start, i), head))
+            start, chars = i, min(len(parts[i - 1]), overlap)
+        chars, head = chars + len(b), b.lstrip("#").strip(" ") if kind(b) == "heading" else head
+    return [*out, (chunk(start, len(parts)), head)] if parts else []
+
+
+def split(text: str | None, strategy: str = "recursive", size: int = 1024, overlap: int = 128, least: int = 30) -> list[tuple[int, str, str]]:
+    """(chunk_index, content, section_header) of one text: what ``create_chunks`` gives for it."""
+    text = text or ""
+    if strategy in ("fixed", "markdown"):
+        made = list(enumerate((_fixed if strategy == "fixed" else _markdown)(text, size, overlap)))
+        made = [(i, c) for i, c in made if strategy == "markdown" or len(c[0]) >= least]
+    else:
+        made = list(enumerate(c for c in Recursive(size, overlap).split(text) if len(c[0].strip()) >= least))
+    return [(i, content, header) for i, (content, header) in made if len(content.strip(" ")) >= least]
