@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,7 +13,8 @@ from lodestone.config import Settings
 from lodestone.errors import EngineError, RetrievalError
 from lodestone.functions import text as T
 from lodestone.operators import answers, conversion, evaluation, extraction, filters, status, sync
-from lodestone.operators.embedding import Expansion
+from lodestone.operators.embedding import Embedder, Expansion
+from lodestone.operators.reports import ReportStore, report
 from lodestone.operators.store import Collection
 from lodestone.sources import files
 from lodestone.sources.convert import html_to_markdown
@@ -33,10 +35,11 @@ class Engine:
     ``status`` has a record of every source that an ingest or a sync took up.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, settings: Settings | None = None, ask: Callable[[Column, Column], Column] | None = None, convert: Callable[[Column, Column], Column] | None = None, ocr: Callable[[Column], Column] | None = None, expansion: Expansion | None = None, extract: extraction.Ask | None = None):
+    def __init__(self, spark: SparkSession, folder: str, settings: Settings | None = None, ask: Callable[[Column, Column], Column] | None = None, convert: Callable[[Column, Column], Column] | None = None, ocr: Callable[[Column], Column] | None = None, expansion: Expansion | None = None, extract: extraction.Ask | None = None, embed: Embedder | None = None):
         self.spark, self.settings, self.ask, self.convert, self.ocr, self.expansion = spark, settings or Settings(), ask, convert, ocr, expansion
-        self.collection = Collection(spark, folder, self.settings, extract)
+        self.collection = Collection(spark, folder, self.settings, extract, embed)
         self.status = status.StatusStore(spark, f"{folder.rstrip('/')}/status")
+        self.reports = ReportStore(spark, f"{folder.rstrip('/')}/reports")
         self._results: dict[str, DataFrame] = {}
 
     def _texts(self, listing: DataFrame) -> DataFrame:
@@ -193,15 +196,36 @@ class Engine:
         c = self.collection.chunks()
         return filters.discover(c.drop("dense", "contextual_dense", "id"), self.settings.discovery_values)
 
-    def evaluate(self, golden: DataFrame, top_k: int = 5, mode: str = "hybrid", match: str = "basename", rerank: bool = True) -> DataFrame:
-        """Metrics per query of a golden set (query, expected)."""
+    def evaluate(self, golden: DataFrame, top_k: int = 5, mode: str = "hybrid", match: str = "basename", rerank: bool = True, ks: tuple[int, ...] | None = None) -> DataFrame:
+        """Metrics per query of a golden set (query, expected), at ``top_k`` or at several k."""
         numbered = golden.withColumn("query_id", F.xxhash64("query")).dropDuplicates(["query_id"])
         hits = self.collection.search(numbered.select("query_id", F.col("query").alias("text")), mode, top_k, rerank=rerank)
         name = (lambda c: T.basename(c)) if match == "basename" else (lambda c: c)
         found = hits.groupBy("query_id").agg(F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("rank", "source"))), lambda x: name(x["source"]))).alias("retrieved"))
         none = F.array().cast("array<string>")
         both = numbered.join(found, "query_id", "left").select("query_id", F.coalesce("retrieved", none).alias("retrieved"), F.transform("expected", name).alias("expected"))
-        return evaluation.all_metrics(both, (top_k,))
+        return evaluation.all_metrics(both, ks or (top_k,))
+
+    def run(self, golden: DataFrame, name: str, ks: Sequence[int] = (1, 5, 10), **options) -> str:
+        """Evaluates a golden set (query, expected, category if there is one) at several k from one search, saves the report as
+        run ``name`` and returns its summary."""
+        metrics = self.evaluate(golden, max(ks), ks=tuple(ks), **options)
+        numbered = golden.withColumn("query_id", F.xxhash64("query")).dropDuplicates(["query_id"])
+        category = F.col("category") if "category" in golden.columns else F.lit(None)
+        made = metrics.join(numbered.select("query_id", category.cast("string").alias("category")), "query_id").withColumn("run", F.lit(name))
+        self.reports.save(report(made))
+        return self.reports.summary(name)
+
+    def run_single(self, query: str, expected: Sequence[str] = (), k: int = 5, **options) -> dict:
+        """One query's metrics, hits and milliseconds."""
+        begun = time.monotonic()
+        hits = self.query([query], top_k=k, **options).select("rank", "source", "score").orderBy("rank").collect()
+        took = 1000 * (time.monotonic() - begun)
+        held = self.spark.createDataFrame([(1, [r["source"] for r in hits], list(expected))], "query_id int, retrieved array<string>, expected array<string>")
+        name = lambda c: F.transform(c, T.basename)
+        metrics = evaluation.all_metrics(held.withColumns({"retrieved": F.array_distinct(name("retrieved")), "expected": name("expected")}), (k,)).first().asDict() if expected else {}
+        metrics.pop("query_id", None)
+        return {"query": query, "latency_ms": took, "results_count": len(hits), "results": [r.asDict() for r in hits], **metrics}
 
     def sweep(self, golden: DataFrame, variants: Sequence[dict]) -> DataFrame:
         """Mean metrics of each variant (name, and options of ``evaluate``), with differences to the first."""

@@ -44,6 +44,8 @@ class Settings:
     bm25_b: float = 0.75
     dense_dim: int = 64
     embed_batch: int = 64
+    embed_model: str = "default"
+    embed_tries: int = 3
     context_batch: int = 10
     context_max_batches: int = 8
     multi_query: int = 3

@@ -68,12 +68,13 @@ def read_chunks(answers: DataFrame) -> DataFrame:
     return rows.select("path", "chunk_index", F.col("c.text").alias("content"), F.coalesce(F.get("c.headings", F.lit(0)), F.lit("")).alias("section_header"))
 
 
-def enrich(chunks: DataFrame, strategy: str = "header", ask: Callable[[Column], Column] | None = None, batch: int = 10, most: int = 8) -> DataFrame:
+def enrich(chunks: DataFrame, strategy: str = "header", ask: Callable[[Column], Column] | None = None, batch: int = 10, most: int = 8, summaries: DataFrame | None = None) -> DataFrame:
     """Chunks (doc_id, chunk_index, content, section_header) with ``context_prefix`` before their content.
 
     header: the section's header. surrounding, summary: a model is asked once per batch of
     ``batch`` chunks, for at most ``most`` batches a document, with a numbered list; chunks
-    beyond, and those it says nothing of, take the header.
+    beyond, and those it says nothing of, take the header. ``summaries`` (doc_id, summary) of whole
+    documents go before the list.
     """
     by_header = T.context_header(F.col("section_header"))
     if strategy == "header" or ask is None:
@@ -84,6 +85,9 @@ def enrich(chunks: DataFrame, strategy: str = "header", ask: Callable[[Column],
     rows = chunks.withColumn("nth", F.row_number().over(w) - 1).withColumn("about", about).withColumn("batch", F.floor(F.col("nth") / batch))
     asked = rows.filter(F.col("batch") < most).groupBy("doc_id", "batch").agg(F.sort_array(F.collect_list(F.struct("nth", "about"))).alias("l"))
     prompt = F.array_join(F.transform("l", lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), F.regexp_replace(x["about"], "\n", " "))), "\n")
+    if summaries is not None:
+        asked = asked.join(summaries.select("doc_id", "summary"), "doc_id", "left")
+        prompt = F.concat(F.lit("The document: "), F.coalesce("summary", F.lit("")), F.lit("\n\n"), prompt)
     said = asked.select("doc_id", "batch", F.posexplode(T.numbered_lines(F.coalesce(ask(prompt), F.lit("")), F.size("l"))).alias("i", "said"))
     told = said.select("doc_id", (F.col("batch") * batch + F.col("i")).alias("nth"), "said")
     full = rows.join(told, ["doc_id", "nth"], "left").withColumn("context_prefix", F.when(F.trim(F.coalesce("said", F.lit(""))) == "", by_header).otherwise(T.context_header(F.col("said"))))

@@ -53,7 +53,7 @@ def embed(rows: DataFrame, text: str, into: str, make: Embedder, dim: int | None
     return rows.join(vectors, F.col(text) == F.col("_text"), "left").drop("_text")
 
 
-def dual(chunks: DataFrame, make: Embedder) -> DataFrame:
+def dual(chunks: DataFrame, make: Embedder, embed: Callable[[DataFrame, str, str, Embedder], DataFrame] = embed) -> DataFrame:
     """``dense`` of the text without its context prefix, ``contextual_dense`` of the whole."""
     bare = chunks.withColumn("_bare", T.strip_context(F.col("content")))
     return embed(embed(bare, "_bare", "dense", make), "content", "contextual_dense", make).drop("_bare")

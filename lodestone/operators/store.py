@@ -27,7 +27,7 @@ from py4j.protocol import Py4JJavaError
 from lodestone.config import Settings
 from lodestone.errors import StorageError
 from lodestone.functions import text as T
-from lodestone.operators import chunking, embedding, extraction, filters, retrieval
+from lodestone.operators import chunking, embedding, extraction, filters, memo, retrieval
 
 SCHEMA = (
     "id string, source string, chunk_index int, total_chunks int, content string, section_header string, context_prefix string, "
@@ -46,9 +46,10 @@ GRACE = 600
 class Collection:
     """A versioned chunk table under ``folder``."""
 
-    def __init__(self, spark: SparkSession, folder: str, settings: Settings | None = None, ask: extraction.Ask | None = None):
-        """``ask`` is a chat provider of chunks' metadata; without it, what can be computed is."""
-        self.spark, self.folder, self.settings, self.ask = spark, folder.rstrip("/"), settings or Settings(), ask
+    def __init__(self, spark: SparkSession, folder: str, settings: Settings | None = None, ask: extraction.Ask | None = None, embed: embedding.Embedder | None = None):
+        """``ask`` is a chat provider of chunks' metadata; without it, what can be computed is. ``embed`` is a served
+        model of ``Settings.dense_dim`` numbers, asked once for each text; without it, hashed features are taken."""
+        self.spark, self.folder, self.settings, self.ask, self.embed = spark, folder.rstrip("/"), settings or Settings(), ask, embed
 
     def _fs(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -204,7 +205,11 @@ class Collection:
         known = extraction.extract(rows.select("id", "doc_id", "chunk_index", "content"), self.ask, s.context_batch).drop("doc_id", "chunk_index", "content")
         prefix = T.context_header(F.col("section_header"))
         rows = rows.join(known, "id").withColumn("context_prefix", prefix).withColumn("content", T.apply_context(prefix, F.col("content"))).withColumn("ingested_at", F.current_timestamp())
-        return embedding.dual(rows, embedding.embedder("hash", dim=s.dense_dim))
+        make = self.embed or embedding.embedder("hash", dim=s.dense_dim)
+        if self.embed is None:  # built-in expressions cost less than a look at a table
+            return embedding.dual(rows, make)
+        held = memo.Memo(self.spark, f"{self.folder}/embeddings")
+        return embedding.dual(self.staged(rows), make, lambda df, text, into, how: held.embed(df, text, into, how, s.embed_model, s.dense_dim, s.embed_tries))
 
     def ingest(self, docs: DataFrame) -> None:
         """Adds or replaces the sources of ``docs``; those stored with the same content are left out."""
@@ -248,7 +253,7 @@ class Collection:
         s, k = self.settings, top_k or self.settings.top_k
         rows = self.chunks()
         rows = rows.filter(filters.build(rows, where, source))
-        make = embedding.embedder("hash", dim=s.dense_dim)
+        make = self.embed or embedding.embedder("hash", dim=s.dense_dim)
         variants = embedding.variants(queries, expansion if mode == "hybrid" else expansion and expansion.rewriting())
         asked_for = queries
         queries = variants.filter("list = 0").select("query_id", "text")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import answers, chunking, evaluation, filters, metadata, retrieval, sync
+from lodestone.operators import answers, chunking, evaluation, filters, metadata, reports, retrieval, sync
 from lodestone.operators.inverted import InvertedIndex
 from lodestone.operators.ivf import VectorIndex
 from lodestone.session import workspace
@@ -480,20 +480,25 @@ def source_match_modes(spark, d):
 
 # --- evaluation ---------------------------------------------------------------------------------
 
-_EVAL = f"""{_dense_sql(10)},
+def _eval_sql(half: bool = False) -> str:
+    return f"""{_dense_sql(10, half=half)},
 ret AS (SELECT query_id, list(id ORDER BY rank) AS r FROM top GROUP BY query_id),
 exp AS (SELECT q.vec_id AS query_id, any_value(q.label) AS label, list(c.vec_id) AS e FROM embeddings q JOIN embeddings c ON c.label = q.label AND c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0 GROUP BY q.vec_id),
 g AS (SELECT query_id, label, r, e, list_transform(r, lambda x: list_contains(e, x)) AS h FROM ret JOIN exp USING (query_id)),
 met AS (SELECT query_id, label, round(coalesce(1.0 / nullif(list_position(h, true), 0), 0), 6)::DOUBLE AS mrr, {", ".join(
     f"len(list_filter(h[1:{k}], lambda x: x)) AS c{k}, (SELECT sum(1 / log2(i + 1)) FROM range(1, least(len(e), {k}) + 1) t(i)) AS i{k}, list_sum(list_transform(h[1:{k}], lambda x, i: CASE WHEN x THEN 1 / log2(i + 1) ELSE 0 END)) AS d{k}" for k in (1, 5, 10))}, len(e) AS n_e FROM g),
 mm AS (SELECT query_id, label, mrr, {", ".join(f"CASE WHEN c{k} > 0 THEN 1.0::DOUBLE ELSE 0.0 END AS hit_{k}, round(c{k} / n_e, 6) AS recall_{k}, round(c{k} / {k}, 6) AS precision_{k}, round(d{k} / i{k}, 6) AS ndcg_{k}" for k in (1, 5, 10))} FROM met)"""
+
+
+_EVAL = _eval_sql()
 _NAMES = ["mrr", *[f"{m}_{k}" for k in (1, 5, 10) for m in ("hit", "recall", "precision", "ndcg")]]
 _AVG = ", ".join(f"round(avg({n}), 6) AS avg_{n}" for n in _NAMES)
 
 
-def _evaluated(spark, d, k: int = 10):
+def _evaluated(spark, d, k: int = 10, half: bool = False):
     v, q = _vectors(spark, d), _asked(spark, d)
-    top = retrieval.dense_topk(q, v, k).groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("retrieved"))
+    cut = (lambda df: df.withColumn("vec", F.slice("vec", 1, 32))) if half else (lambda df: df)
+    top = retrieval.dense_topk(cut(q), cut(v), k).groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("retrieved"))
     same = q.select("query_id", F.col("query_label").alias("label")).join(v.select("id", "label"), "label").filter("id <> query_id").groupBy("query_id").agg(F.collect_list("id").alias("expected"))
     return top.join(same, "query_id")
 
@@ -514,6 +519,35 @@ def eval_by_category(spark, d):
     return evaluation.aggregate(metrics_all(spark, d).join(labels, "query_id"), ["label"])
 
 
+def _runs_sql() -> str:
+    one = lambda run, half: f"SELECT * FROM (WITH {_eval_sql(half)} SELECT '{run}' AS run, label::VARCHAR AS category, {', '.join(_NAMES)} FROM mm)"
+    cells = " UNION ALL ".join(f"SELECT run, category, '{n.rpartition('_')[0] or n}' AS metric, {n.rpartition('_')[2] if '_' in n else 0} AS k, {n}::DOUBLE AS value FROM m" for n in _NAMES)
+    return f"""m AS ({one("half", True)} UNION ALL {one("whole", False)}), l AS ({cells}),
+g AS (SELECT run, category, metric, k, CASE WHEN grouping(category) + grouping(k) = 0 THEN 'run_category_k' WHEN grouping(k) = 0 THEN 'run_k' WHEN grouping(category) = 0 THEN 'run_category' ELSE 'run' END AS level,
+  count(*) AS n, round(avg(value), 6) AS mean, round(min(value), 6) AS low, round(max(value), 6) AS high FROM l GROUP BY GROUPING SETS ((run, category, metric, k), (run, metric, k), (run, category, metric), (run, metric)))"""
+
+
+def _runs(spark, d) -> DataFrame:
+    labels = _asked(spark, d).select("query_id", F.col("query_label").cast("string").alias("category"))
+    one = lambda run, half: evaluation.all_metrics(_evaluated(spark, d, half=half)).withColumn("run", F.lit(run))
+    return one("half", True).unionByName(one("whole", False)).join(labels, "query_id")
+
+
+@query(f"WITH {_runs_sql()} SELECT * FROM g")
+def run_reports(spark, d):
+    """Two runs, over half and whole vectors, at four levels in one pass, saved and read back."""
+    store = reports.ReportStore(spark, workspace(spark, "reports"))
+    store.save(reports.report(_runs(spark, d)))
+    return store.reports().drop("at")
+
+
+@query(f"""WITH {_runs_sql()} SELECT o.run, o.level, o.category, o.metric, o.k, b.mean AS base, o.mean, round(o.mean - b.mean, 6) AS delta, round(CASE WHEN b.mean = 0 THEN 0 ELSE 100 * (o.mean - b.mean) / b.mean END, 4) AS delta_pct
+FROM g o JOIN g b ON o.run = 'whole' AND b.run = 'half' AND o.level = b.level AND o.category IS NOT DISTINCT FROM b.category AND o.metric = b.metric AND o.k IS NOT DISTINCT FROM b.k""")
+def run_deltas(spark, d):
+    made = reports.report(_runs(spark, d))
+    return reports.deltas(made.filter("run = 'whole'"), made.filter("run = 'half'"))
+
+
 @query(f"""WITH {_EVAL}, a AS (SELECT round(avg(hit_5), 6) AS h, round(avg(recall_5), 6) AS r, round(avg(precision_5), 6) AS p, round(avg(ndcg_5), 6) AS n, round(avg(hit_10), 6) AS h2, round(avg(recall_10), 6) AS r2, round(avg(precision_10), 6) AS p2, round(avg(ndcg_10), 6) AS n2 FROM mm),
 l AS (SELECT unnest(['avg_hit', 'avg_recall', 'avg_precision', 'avg_ndcg']) AS metric, unnest([h, r, p, n]) AS base, unnest([h2, r2, p2, n2]) AS other FROM a)
 SELECT metric, base, other, round(other - base, 6) AS delta, round(CASE WHEN base = 0 THEN 0 ELSE 100 * (other - base) / base END, 4) AS delta_pct FROM l""")
