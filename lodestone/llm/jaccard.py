@@ -64,6 +64,8 @@ TURNS = 2
 #: Tasks that sort signatures, for each shuffle partition: they hold all of theirs in memory.
 SPREAD = 4
 _BATCH = 500
+#: Elements of sets that are signed at a time.
+_ELEMENTS = 50_000
 _KEEP_WORDS = 60_000
 
 _U = np.uint64
@@ -139,7 +141,7 @@ def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     The instance's number is a signature's low byte. Those without elements are left out, unless
     a set has more of them than its slack.
     """
-    sizes = np.array([len(s) for s in sets])
+    sizes = np.array([len(s) for s in sets], np.int64)
     h = np.concatenate(sets) if sets else np.empty(0, _U)
     owner = np.repeat(np.arange(len(sets)), sizes)
     halves = [(h & _U(0xFFFFFFFF)).astype(float), (h >> _U(32)).astype(float)]
@@ -187,6 +189,22 @@ def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return np.concatenate(sig), np.concatenate(of), without
 
 
+def _signed_in_parts(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``signatures`` of some sets at a time, so that its many counts are of few sets (memory, not results)."""
+    cuts = [0]
+    for i, n in enumerate(np.cumsum([len(s) for s in sets])):
+        if n > len(cuts) * _ELEMENTS:
+            cuts.append(i + 1)
+    cuts.append(len(sets))
+    parts = []
+    for i, j in zip(cuts, cuts[1:]):
+        if j > i or not sets:
+            sig, of, without = signatures(sets[i:j])
+            without[0] += i
+            parts.append((sig, (of + i).astype(np.int32), without))
+    return tuple(np.concatenate(x, -1) for x in zip(*parts))
+
+
 _ROW = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("c", pa.int64()), ("d", pa.int64()), ("e", pa.int64()), ("f", pa.int64()), ("x", pa.binary()), ("y", pa.binary())])
 _ROW_SQL = "kind int, bucket bigint, a bigint, b bigint, c bigint, d bigint, e bigint, f bigint, x binary, y binary"
 #: Kinds: a document (a: row, b: doc_id, c and d: digest, e: text hash, f: size), a chunk (a: first
@@ -227,7 +245,7 @@ def _signed(buckets: int):
                     if f not in seen:
                         seen.add(f)
                         first.append(i)
-                sig, of, without = signatures([sets[i] for i in first])
+                sig, of, without = _signed_in_parts([sets[i] for i in first])
                 if without.shape[1]:
                     yield _rows(EMPTY, without.shape[1], bucket=-1 - without[0], a=row + np.array(first, np.int64)[without[0]], b=without[1], c=without[2])
                 # A run of this batch's signatures for each bucket.

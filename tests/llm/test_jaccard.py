@@ -95,6 +95,24 @@ def test_many_rows_of_one_id(spark, own_id):
     assert got(spark.createDataFrame(rows, SCHEMA).repartition(6)) == brute([r[:2] for r in rows])
 
 
+def test_batches_of_copies_alone(spark, monkeypatch):
+    """A batch may hold no set that its task has not seen."""
+    monkeypatch.setattr(jaccard, "_BATCH", 10)
+    rows = [(i, "one two three four five six seven eight", "en", "s", 1) for i in range(200)] + [(900, "other words stand here in this row", "en", "s", 1)]
+    assert got(spark.createDataFrame(rows, SCHEMA).coalesce(1)) == brute([r[:2] for r in rows])
+    assert [len(x) for x in jaccard._signed_in_parts([])[:2]] == [0, 0]
+
+
+def test_signing_in_parts_changes_nothing(monkeypatch):
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 1 << 62, rng.integers(1, 400)).astype(np.uint64)) for _ in range(60)]
+    whole = jaccard.signatures(sets)
+    monkeypatch.setattr(jaccard, "_ELEMENTS", 1000)
+    parts = jaccard._signed_in_parts(sets)
+    pairs = lambda x: sorted(zip(x[0].tolist(), x[1].tolist()))
+    assert pairs(whole) == pairs(parts) and sorted(whole[2].T.tolist()) == sorted(parts[2].T.tolist())
+
+
 def test_table(spark, sf):
     df = spark.read.parquet(f"{sf}/documents.parquet")
     assert got(df) == brute([(r["doc_id"], r["text"]) for r in df.collect()])
