@@ -66,13 +66,14 @@ class VectorIndex:
             placed = model.transform(whole).drop("features").unionByName(unit.filter("unit is null").withColumn("list", F.lit(-1)))
             centroids = [[float(x) for x in c] for c in model.clusterCenters()]
         out = placed.select("id", F.col("vec").cast("array<float>").alias("vec"), "list", F.pmod(F.col("list"), F.lit(FOLDERS)).alias("part"))
+        out.limit(0).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/kind")  # the columns, also of no rows
         out.hint("rebalance", "part").sortWithinPartitions("part", "list").write.mode("overwrite").partitionBy("part").parquet(f"{self.folder}/lists")
         found = self.spark.createDataFrame(list(enumerate(centroids)), "id int, vec array<double>")
         found.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/centroids")
         return max(1, len(centroids))
 
     def rows(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/lists")
+        return self.spark.read.schema(self.spark.read.parquet(f"{self.folder}/kind").schema).parquet(f"{self.folder}/lists")
 
     def search(self, queries: DataFrame, k: int = 30, probes: int | None = None) -> DataFrame:
         """(query_id, id, score, rank) of (query_id, vec): the k best rows of each query's nearest lists."""

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.errors import RetrievalError
-from lodestone.operators import retrieval
+from lodestone.operators import inverted, retrieval
 from lodestone.operators.inverted import InvertedIndex
 from lodestone.operators.ivf import VectorIndex
 from lodestone.plans import catalogue as C
@@ -39,6 +39,16 @@ def test_index_finds_what_scoring_all_finds(spark, tmp_path, k):
     assert 0 < read[1] < read[0]
 
 
+def test_shards(spark, tmp_path, monkeypatch):
+    """Terms of every text lie in several shards; results are the same."""
+    monkeypatch.setattr(inverted, "SHARD", 300)
+    docs, asked = corpus(spark, 12, 1500)
+    index = InvertedIndex(spark, str(tmp_path / "i"), buckets=4)
+    index.add(docs)
+    assert spark.read.parquet(f"{index.segments()[1]}/postings").filter("term = 'w0'").select("shard").distinct().count() == 6
+    assert rows(index.search(asked, 10)) == rows(retrieval.bm25_topk(asked, docs, 10))
+
+
 def test_segments_removal_and_compaction(spark, tmp_path):
     docs, asked = corpus(spark, 5, 900)
     more = corpus(spark, 6, 300, 90)[0].withColumn("id", F.col("id") + 10_000)  # longer texts: the mean grows
