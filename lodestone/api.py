@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import time
 from collections.abc import Callable, Sequence
@@ -9,8 +10,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.config import Settings
-from lodestone.errors import EngineError, RetrievalError
+from lodestone.config import STATUSES, Settings
+from lodestone.errors import EngineError, RetrievalError, SourceError
 from lodestone.functions import text as T
 from lodestone.operators import answers, conversion, evaluation, extraction, filters, status, sync
 from lodestone.operators.embedding import Embedder, Expansion
@@ -22,8 +23,8 @@ from lodestone.sources.convert import html_to_markdown
 
 #: Formats that are read as text; others than these and html go to the converter.
 PLAIN = ("txt", "text", "md", "markdown", "rst", "log", "csv", "tsv", "json", "jsonl", "yaml", "yml", "xml")
-#: Results of queries that are kept.
-RESULTS = 64
+#: Results of queries that are kept, and for how many seconds.
+RESULTS, TTL_S = 64, 300
 SCANS = ("pdf", "png", "jpg", "jpeg", "tif", "tiff", "bmp", "webp")
 
 
@@ -31,16 +32,18 @@ class Engine:
     """Tools over one collection, and their providers: Columns to Columns, each may be missing.
 
     ``ask(query, context)`` answers; ``convert(content, file name)`` gives markdown of files that are no
-    text, ``ocr(content)`` that of scans; ``expansion`` rewrites and extends queries; ``extract`` gives chunks' metadata.
-    ``status`` has a record of every source that an ingest or a sync took up.
+    text, ``ocr(content)`` that of scans; ``expansion`` rewrites and extends queries; ``extract`` gives chunks' metadata;
+    ``embed`` is a served model of vectors, ``chunker`` a served one of chunks (strategy ``hybrid``), ``fetch`` gives the bytes of URLs, ``chat`` says a
+    question's filters. ``status`` has a record of every source that an ingest or a sync took up.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, settings: Settings | None = None, ask: Callable[[Column, Column], Column] | None = None, convert: Callable[[Column, Column], Column] | None = None, ocr: Callable[[Column], Column] | None = None, expansion: Expansion | None = None, extract: extraction.Ask | None = None, embed: Embedder | None = None):
+    def __init__(self, spark: SparkSession, folder: str, settings: Settings | None = None, ask: Callable[[Column, Column], Column] | None = None, convert: Callable[[Column, Column], Column] | None = None, ocr: Callable[[Column], Column] | None = None, expansion: Expansion | None = None, extract: extraction.Ask | None = None, embed: Embedder | None = None, fetch: Callable[[Column], Column] | None = None, chat: Callable[[Column], Column] | None = None, chunker: Callable[[Column], Column] | None = None):
         self.spark, self.settings, self.ask, self.convert, self.ocr, self.expansion = spark, settings or Settings(), ask, convert, ocr, expansion
-        self.collection = Collection(spark, folder, self.settings, extract, embed)
+        self.collection = Collection(spark, folder, self.settings, extract, embed, chunker)
+        self.fetch, self.chat = fetch, chat
         self.status = status.StatusStore(spark, f"{folder.rstrip('/')}/status")
         self.reports = ReportStore(spark, f"{folder.rstrip('/')}/reports")
-        self._results: dict[str, DataFrame] = {}
+        self._results: dict[str, tuple[float, DataFrame]] = {}
 
     def _texts(self, listing: DataFrame) -> DataFrame:
         """(doc_id, source, text, problem): one row a file; a file that can't be read has a problem and no text.
@@ -154,25 +157,119 @@ class Engine:
             self.status.schedule_retry(failed, backoff_s=0)
         return n
 
+    def ingest_urls(self, urls: Sequence[str]) -> DataFrame:
+        """Fetches and ingests URLs; returns (source, problem), null where all went well."""
+        if self.fetch is None:
+            raise EngineError("no provider that fetches URLs")
+        rows = self.spark.createDataFrame([(u,) for u in dict.fromkeys(urls)], "path string")
+        got = self.collection.staged(rows.withColumn("content", self.fetch(F.col("path")).cast("binary")))
+        lost = got.filter("content is null").select(T.canonical_path(F.col("path")).alias("source"), F.lit("unreachable").alias("problem"))
+        texts = self.collection.staged(self._texts(got.filter("content is not null")))
+        empty = F.when(F.trim(F.coalesce("text", F.lit(""))) == "", F.coalesce("problem", F.lit("empty"))).otherwise(F.col("problem"))
+        judged = texts.withColumn("problem", empty)
+        self.ingest_texts(judged.filter("problem is null").drop("problem"))
+        return judged.select("source", "problem").unionByName(lost)
+
+    def ingest_batch(self, items: Sequence[str]) -> DataFrame:
+        """(item, status, error) of paths and URLs, one by one in the result and together in the work.
+
+        What happened to each is kept by the batch's own id, so the same batch begun again goes on with those
+        that are not done; one item's failure stops no other.
+        """
+        items = list(dict.fromkeys(items))
+        batch = hashlib.sha256(json.dumps(sorted(items)).encode()).hexdigest()[:12]
+        folder = f"{self.collection.folder}/batches"
+        kinds = "batch string, item string, status string, error string, at bigint"
+        self.spark.createDataFrame([], kinds).write.mode("ignore").parquet(folder)
+
+        def state() -> DataFrame:
+            # The time tells scans of before and after a write apart.
+            rows = self.spark.read.schema(kinds).parquet(folder).filter((F.col("batch") == batch) & (F.col("at") <= time.time_ns()))
+            return rows.groupBy("item").agg(F.max_by("status", "at").alias("status"), F.max_by("error", "at").alias("error"))
+
+        def note(rows: DataFrame) -> None:
+            rows.select(F.lit(batch).alias("batch"), "item", "status", "error", F.lit(time.time_ns()).alias("at")).write.mode("append").parquet(folder)
+
+        named = self.spark.createDataFrame([(i,) for i in items], "item string")
+        left = [r[0] for r in conversion.pending_items(named, state().filter("status = 'completed'")).collect()]
+        urls, found, lost = [i for i in left if i.startswith(("http://", "https://"))], None, []
+        for path in (i for i in left if i not in urls):
+            try:
+                rows = files.listing(self.spark, "local", path=path).select("path", "content", "size", "modified_at", F.lit(path).alias("item"))
+                found = rows if found is None else found.unionByName(rows)
+            except SourceError as e:
+                lost.append((path, "failed", str(e)))
+        if found is not None:
+            texts = self.collection.staged(self._texts(found).join(self._sizes(found).dropDuplicates(["source"]), "source"))
+            self._ingest(texts.filter("problem is null").drop("problem"))
+            of = found.select(T.canonical_path(F.col("path")).alias("source"), "item").join(texts.select("source", "problem"), "source").groupBy("item").agg(F.max("problem").alias("error"))
+            note(of.select("item", F.when(F.col("error").isNull(), "completed").otherwise("failed").alias("status"), "error"))
+        if urls and self.fetch is not None:
+            told = self.ingest_urls(urls)
+            note(told.select(F.col("source").alias("item"), F.when(F.col("problem").isNull(), "completed").otherwise("failed").alias("status"), F.col("problem").alias("error")))
+        elif urls:
+            lost += [(u, "failed", "no provider that fetches URLs") for u in urls]
+        if lost:
+            note(self.spark.createDataFrame(lost, "item string, status string, error string"))
+        self._forget()
+        return named.join(state(), "item", "left").select("item", F.coalesce("status", F.lit("failed")).alias("status"), F.when(F.col("status").isNull(), "nothing to read").otherwise(F.col("error")).alias("error"))
+
+    def processing_status(self, status: str | None = None, limit: int = 100) -> tuple[dict[str, int], DataFrame]:
+        """(number of records by status, with their total; the records that changed last)."""
+        counts = {r["status"]: r["n"] for r in self.status.records().groupBy("status").agg(F.count("*").alias("n")).collect()}
+        return {"total": sum(counts.values())} | {s: counts.get(s, 0) for s in STATUSES}, self.status.listed(status, limit)
+
+    def service_status(self) -> dict[str, dict]:
+        """Of the collection and each provider: whether it answers, and in how many milliseconds; or that there is none."""
+        text, binary = F.lit("ping"), F.lit("ping").cast("binary")
+        probes = {
+            "convert": self.convert and (lambda: self.convert(binary, F.lit("ping.txt"))), "ocr": self.ocr and (lambda: self.ocr(binary)), "ask": self.ask and (lambda: self.ask(text, text)), "chat": self.chat and (lambda: self.chat(text)),
+            "extract": self.collection.ask and (lambda: self.collection.ask(text)), "embed": self.collection.embed and (lambda: self.collection.embed(text)), "chunker": self.collection.chunker and (lambda: self.collection.chunker(text)),
+        }
+        runs = {"collection": lambda: self.collection.chunks().limit(1).count()} | {n: (p and (lambda p=p: self.spark.range(1).select(p().alias("x")).collect())) for n, p in probes.items()}
+        out = {}
+        for name, run in runs.items():
+            begun = time.monotonic()
+            try:
+                out[name] = {"healthy": False, "error": "none given"} if run is None else (run(), {"healthy": True})[1]
+            except Exception as e:
+                out[name] = {"healthy": False, "error": str(e).splitlines()[0][:200]}
+            out[name]["latency_ms"] = round(1000 * (time.monotonic() - begun), 2)
+        return out
+
+    def extract_filters(self, question: str) -> dict:
+        """Filters that a question asks for, of the fields that there are: filters, confidence, explanation."""
+        if self.chat is None:
+            raise EngineError("no chat provider")
+        fields = [(r["field"], r["sample"]) for r in self.filter_context().collect()]  # a row for each field
+        listed = "\n".join(f"- {name}: {sample[:200]}" for name, sample in fields)
+        prompt = f"Fields of a document collection and some of their values:\n{listed}\n\nSay which filters this question asks for, as one JSON object from field to value (or list of values), then explain it in a sentence.\n\nQuestion: {question}"
+        said = self.spark.range(1).select(self.chat(F.lit(prompt)).alias("said")).first()["said"] or ""
+        found, confidence, explanation = filters.read_answer(said, {name for name, _ in fields})
+        return {"filters": found, "confidence": confidence, "explanation": explanation}
+
     def _forget(self) -> None:
-        for hits in self._results.values():
+        for _, hits in self._results.values():
             hits.unpersist()
         self._results.clear()
 
     def query(self, queries: Sequence[str], mode: str = "hybrid", top_k: int = 10, offset: int = 0, limit: int | None = None, where: dict | str | None = None, source: str | None = None, rerank: bool = True) -> DataFrame:
-        """Hits of each query, a page of them. The last ``RESULTS`` results are kept, by all parameters, until something is ingested."""
+        """Hits of each query, a page of them. The last ``RESULTS`` results are kept, by all parameters, for ``TTL_S`` seconds or until something is ingested."""
         if mode not in ("hybrid", "similarity", "mmr"):
             raise RetrievalError(f"unknown mode: {mode}")
         if not 1 <= top_k <= 50 or offset < 0 or any(not 2 <= len(q) <= 500 for q in queries):
             raise RetrievalError("top_k is 1 to 50, offset at least 0, a query 2 to 500 characters")
         key = json.dumps([list(queries), mode, top_k, filters.parse_arguments(where), source, rerank], sort_keys=True)
-        hits = self._results.pop(key, None)
+        at, hits = self._results.pop(key, (0.0, None))
+        if hits is not None and time.monotonic() - at > TTL_S:
+            hits, _ = None, hits.unpersist()
         if hits is None:
+            at = time.monotonic()
             asked = self.spark.createDataFrame(list(enumerate(queries)), "query_id int, text string")
             hits = self.collection.search(asked, mode, top_k, filters.parse_arguments(where), source, rerank, self.expansion).cache()
             if len(self._results) >= RESULTS:
-                self._results.pop(next(iter(self._results))).unpersist()
-        self._results[key] = hits  # the last used one is last
+                self._results.pop(next(iter(self._results)))[1].unpersist()
+        self._results[key] = at, hits  # the last used one is last
         return hits.filter((F.col("rank") > offset) & (F.col("rank") <= offset + (limit or top_k)))
 
     def answer(self, queries: Sequence[str], **options) -> DataFrame:

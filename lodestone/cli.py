@@ -1,4 +1,4 @@
-"""Commands: ingest, sync, query, list, stats, delete, evaluate."""
+"""Commands: ingest, sync, batch, query, list, stats, status, retry, delete, evaluate, run, compact."""
 
 from __future__ import annotations
 
@@ -29,6 +29,13 @@ def parser() -> argparse.ArgumentParser:
     sub.add_parser("list")
     sub.add_parser("stats")
     sub.add_parser("delete").add_argument("source")
+    sub.add_parser("batch").add_argument("item", nargs="+")
+    sub.add_parser("status").add_argument("--status")
+    sub.add_parser("retry").add_argument("--part")
+    sub.add_parser("compact")
+    c = sub.add_parser("run")
+    c.add_argument("golden")
+    c.add_argument("name")
     c = sub.add_parser("evaluate")
     c.add_argument("golden")
     c.add_argument("--top-k", type=int, default=5)
@@ -53,11 +60,21 @@ def main(argv: list[str] | None = None, spark=None) -> int:
             show(engine.stats())
         elif a.command == "delete":
             print(engine.delete(a.source), "chunks deleted")
+        elif a.command == "batch":
+            show(engine.ingest_batch(a.item))
+        elif a.command == "status":
+            counts, records = engine.processing_status(a.status)
+            print(", ".join(f"{k} {n}" for k, n in counts.items()))
+            show(records.select("source", "status", "stage", "chunks", "error"))
+        elif a.command == "retry":
+            print(engine.retry(a.part), "sources are due")
+        elif a.command == "compact":
+            print(engine.collection.compact(), "segments became one")
         else:
             with open(a.golden, encoding="utf-8") as f:
                 text = f.read()
             golden = datasets.from_json(spark, text) if a.golden.endswith(".json") else datasets.from_yaml(spark, text)
-            show(engine.evaluate(golden, a.top_k))
+            print(engine.run(golden, a.name)) if a.command == "run" else show(engine.evaluate(golden, a.top_k))
     except EngineError as e:
         print(f"{type(e).__name__}: {e}", file=sys.stderr)
         return 1

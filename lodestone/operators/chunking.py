@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -169,8 +169,16 @@ def recursive_chunks(docs: DataFrame, size: int = 1024, overlap: int = 128, leas
 STRATEGIES = {"fixed": fixed_chunks, "markdown": markdown_chunks, "recursive": recursive_chunks}
 
 
-def create_chunks(docs: DataFrame, strategy: str = "recursive", size: int = 1024, overlap: int = 128, least: int = 30) -> DataFrame:
-    """Chunks by the named strategy; an unknown one is taken as recursive. Short chunks go last."""
+def create_chunks(docs: DataFrame, strategy: str = "recursive", size: int = 1024, overlap: int = 128, least: int = 30, chunker: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Chunks by the named strategy; an unknown one is taken as recursive. Short chunks go last.
+
+    ``layout`` packs within sections; ``hybrid`` asks the ``chunker`` first.
+    """
+    if strategy in ("layout", "hybrid"):
+        from lodestone.operators import layout
+
+        made = layout.hybrid(docs, chunker if strategy == "hybrid" else None, size, overlap, least)
+        return made.filter(F.length(F.trim("content")) >= least)
     made = STRATEGIES.get(strategy, recursive_chunks)(docs, size, overlap)
     if "window" in made.columns:
         made = made.withColumnRenamed("window", "chunk_index").withColumn("section_header", F.lit(""))

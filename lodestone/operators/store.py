@@ -20,7 +20,7 @@ import time
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from py4j.protocol import Py4JJavaError
 
@@ -46,10 +46,10 @@ GRACE = 600
 class Collection:
     """A versioned chunk table under ``folder``."""
 
-    def __init__(self, spark: SparkSession, folder: str, settings: Settings | None = None, ask: extraction.Ask | None = None, embed: embedding.Embedder | None = None):
+    def __init__(self, spark: SparkSession, folder: str, settings: Settings | None = None, ask: extraction.Ask | None = None, embed: embedding.Embedder | None = None, chunker: Callable[[Column], Column] | None = None):
         """``ask`` is a chat provider of chunks' metadata; without it, what can be computed is. ``embed`` is a served
-        model of ``Settings.dense_dim`` numbers, asked once for each text; without it, hashed features are taken."""
-        self.spark, self.folder, self.settings, self.ask, self.embed = spark, folder.rstrip("/"), settings or Settings(), ask, embed
+        model of ``Settings.dense_dim`` numbers, asked once for each text; without it, hashed features are taken. ``chunker`` is asked by the strategy ``hybrid``."""
+        self.spark, self.folder, self.settings, self.ask, self.embed, self.chunker = spark, folder.rstrip("/"), settings or Settings(), ask, embed, chunker
 
     def _fs(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -190,7 +190,7 @@ class Collection:
     def prepare(self, docs: DataFrame) -> DataFrame:
         """Chunks with ids, metadata and vectors of (doc_id, source, text), and of file_size and file_mtime if they are there."""
         s = self.settings
-        return self._complete(chunking.create_chunks(docs, s.chunk_strategy, s.chunk_size, s.chunk_overlap, s.min_chunk_chars), docs)
+        return self._complete(chunking.create_chunks(docs, s.chunk_strategy, s.chunk_size, s.chunk_overlap, s.min_chunk_chars, self.chunker), docs)
 
     def _complete(self, made: DataFrame, docs: DataFrame) -> DataFrame:
         """Chunks (doc_id, chunk_index, content, section_header), each content once, with all that is stored of them."""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import answers, chunking, evaluation, filters, metadata, reports, retrieval, sync
+from lodestone.operators import answers, chunking, evaluation, filters, layout, metadata, reports, retrieval, sync
 from lodestone.operators.inverted import InvertedIndex
 from lodestone.operators.ivf import VectorIndex
 from lodestone.session import workspace
@@ -171,6 +171,31 @@ def markdown_chunks(spark, d):
     return made.select("doc_id", "chunk_index", F.length("content").cast("long").alias("n_chars"), T.content_hash(F.col("content")).alias("content_hash"))
 
 
+def _layout_sql(size: int = 512) -> str:
+    levels = range(1, 7)
+    last = ", ".join(f"max(CASE WHEN level = {n} THEN i END) OVER w AS at{n}" for n in levels)
+    part = ", ".join(f"CASE WHEN at{n} > greatest(-1, {', '.join(f'coalesce(at{m}, -1)' for m in range(1, n)) or '-1'}) THEN at{n} END" for n in levels)
+    return f"""{_BLOCKS}, o AS (SELECT doc_id, list_transform(b, lambda x: CASE WHEN length(x) % 4 = 0 THEN repeat('#', 1 + (length(x) // 4) % 4) || ' ' || x ELSE x END) AS b FROM b),
+e AS (SELECT doc_id, unnest(b) AS x, generate_subscripts(b, 1) - 1 AS i FROM o),
+k AS (SELECT *, {_KIND} AS kind, trim(regexp_replace(x, '^#+', '')) AS title FROM e),
+l AS (SELECT *, CASE WHEN kind <> 'heading' THEN 0 WHEN regexp_matches(x, '^#{{1,6}}\s') THEN length(regexp_extract(x, '^(#{{1,6}})\s', 1)) ELSE 6 END AS level FROM k),
+a AS (SELECT *, {last}, lead(level) OVER (PARTITION BY doc_id ORDER BY i) AS after, sum((level > 0)::INT) OVER w AS section FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+p AS (SELECT doc_id, i, x, kind, level, title, section, list_filter([{part}], lambda n: n IS NOT NULL) AS steps FROM a WHERE level = 0 OR after IS NULL OR (after > 0 AND after <= level)),
+s AS (SELECT p.doc_id, p.i, string_agg(h.title, ' > ' ORDER BY h.i) AS path FROM (SELECT doc_id, i, unnest(steps) AS h FROM p) p JOIN l h ON h.doc_id = p.doc_id AND h.i = p.h WHERE h.title <> '' GROUP BY ALL),
+q AS (SELECT p.*, coalesce(path, '') AS path, coalesce(sum(length(x)) OVER (PARTITION BY p.doc_id, section ORDER BY p.i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT // {size} AS win FROM p LEFT JOIN s ON s.doc_id = p.doc_id AND s.i = p.i),
+c AS (SELECT doc_id, min(i) AS i, any_value(path) AS section_header, string_agg(CASE WHEN level > 0 THEN title ELSE x END, chr(10) || chr(10) ORDER BY i) AS content, list(kind ORDER BY i) AS kinds FROM q GROUP BY doc_id, section, win)"""
+
+
+@query(_layout_sql() + "SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INTEGER AS chunk_index, section_header, length(content) AS n_chars, sha256(content) AS content_hash FROM c")
+def layout_chunks(spark, d):
+    """Sections of documents (a block for each line), with their paths of headers; the documents have no headings, so lines of some lengths become headings."""
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+    rank = lambda x: F.repeat(F.lit("#"), (1 + F.floor(F.length(x) / 4) % 4).cast("int"))
+    outlined = F.transform(lines, lambda x: F.when(F.length(x) % 4 == 0, F.concat(rank(x), F.lit(" "), x)).otherwise(x))
+    made = layout.layout_chunks(table(spark, d, "documents").select("doc_id", F.array_join(outlined, "\n\n").alias("text")), 512)
+    return made.select("doc_id", "chunk_index", "section_header", F.length("content").cast("long").alias("n_chars"), T.content_hash(F.col("content")).alias("content_hash"))
+
+
 @query()
 def recursive_chunks(spark, d):
     return chunking.recursive_chunks(table(spark, d, "documents"), 256, 32)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone import api, cli
 from lodestone.errors import EngineError, RetrievalError, StorageError
-from lodestone.operators import conversion
+from lodestone.operators import chunking, conversion, layout
 from lodestone.sources import datasets
 
 
@@ -107,9 +107,61 @@ def test_chunks_made_elsewhere(spark, folder):
         e.collection.ingest_chunks(chunks, spark.createDataFrame([("s", "x"), ("none", "x")], "source string, text string"))
 
 
+def test_urls_batches_and_services(spark, folder):
+    pages = {"https://x.y/mills.html": "<h1>Mills</h1><p>Mills turn by the water of the river, day and night.</p>", "https://x.y/bare.html": "<p> </p>"}
+    fetch = lambda u: F.coalesce(*[F.when(u == k, F.lit(v)) for k, v in pages.items()])
+    e = api.Engine(spark, str(folder / "c"), fetch=fetch, chat=lambda p: F.when(p.contains("- language: en"), F.lit('{"language": "en", "nothing": 1} as asked')))
+    assert {r["source"]: r["problem"] for r in e.ingest_urls([*pages, "https://x.y/gone"]).collect()} == {"https://x.y/mills.html": None, "https://x.y/bare.html": "empty", "https://x.y/gone": "unreachable"}
+    items = [str(folder / "in/boats.md"), str(folder / "none"), "https://x.y/mills.html", "https://x.y/gone"]
+    got = {r["item"]: (r["status"], r["error"]) for r in e.ingest_batch(items).collect()}
+    assert [got[i][0] for i in items] == ["completed", "failed", "completed", "failed"] and got[items[3]][1] == "unreachable" and "none" in got[items[1]][1]
+    (folder / "none").mkdir()
+    (folder / "none/late.md").write_text("Late pages speak of the harvest and of the barns.")
+    again = {r["item"]: r["status"] for r in e.ingest_batch(items).collect()}
+    assert [again[i] for i in items] == ["completed", "completed", "completed", "failed"]
+    assert {r["source"].rsplit("/", 1)[1] for r in e.documents().collect()} == {"mills.html", "boats.md", "late.md"}
+    counts, records = e.processing_status("done")
+    assert counts["total"] == counts["done"] == records.count() == 3
+    services = e.service_status()
+    assert services["collection"]["healthy"] and services["chat"]["healthy"] and services["ocr"] == {"healthy": False, "error": "none given", "latency_ms": services["ocr"]["latency_ms"]}
+    assert e.extract_filters("English texts")["filters"] == {"language": "en"}
+    for bad in (lambda: api.Engine(spark, str(folder / "c")).ingest_urls(["https://x.y"]), lambda: api.Engine(spark, str(folder / "c")).extract_filters("x")):
+        with pytest.raises(EngineError):
+            bad()
+
+
+def test_results_are_kept_for_a_time(spark, folder, monkeypatch):
+    e = api.Engine(spark, str(folder / "c"))
+    e.ingest_files(str(folder / "in"))
+    calls, search = [], e.collection.search
+    monkeypatch.setattr(e.collection, "search", lambda *a, **k: calls.append(1) or search(*a, **k))
+    for _ in range(2):
+        e.query(["boats on the water"]).count()
+    assert len(calls) == 1
+    monkeypatch.setattr(api, "TTL_S", -1)
+    e.query(["boats on the water"]).count()
+    assert len(calls) == 2
+
+
+def test_hybrid_chunks_and_their_fallback(spark, folder):
+    text = "# A\n\nIntro words that stand under the first header.\n\n## B\n\n" + "| a | b |\n| c | d |\n| e | f | g h i j k l m n o p" + "\n\n# C\n\n## D\n\nWords under the last one of them, and a few more."
+    chunker = lambda t: F.when(t.startswith("served"), F.lit(json.dumps({"chunks": [{"text": "a chunk that was served with words", "headings": ["H"]}]})))
+    docs = spark.createDataFrame([(1, "one", text), (2, "two", "served"), (3, "three", None)], "doc_id bigint, source string, text string")
+    got = {(r["doc_id"], r["chunk_index"]): (r["content"].split()[0], r["section_header"]) for r in chunking.create_chunks(docs, "hybrid", chunker=chunker).collect()}
+    assert got == {(1, 0): ("Intro", "A"), (1, 1): ("|", "A > B"), (1, 2): ("Words", "C > D"), (2, 0): ("a", "H")}
+    assert chunking.create_chunks(docs, "layout").filter("doc_id = 2").count() == 0
+    from lodestone.config import Settings
+
+    e = api.Engine(spark, str(folder / "c"), Settings(chunk_strategy="hybrid"), chunker=chunker)
+    assert e.ingest_texts(docs.filter("doc_id < 3")) == 4
+    last = layout.packed(layout.elements(spark.createDataFrame([(1, "# A\n\n## B\n\n# C"), (2, "pre\n\n" + "x" * 30 + "\n\n" + "y" * 30)], "doc_id bigint, text string")), 20).orderBy("doc_id", "chunk_index").collect()
+    assert [(r["content"][:3], r["section_header"]) for r in last] == [("B", "A > B"), ("C", "C"), ("pre", ""), ("yyy", "")]
+
+
 def test_command_line(spark, folder, capsys):
     run = lambda *a: cli.main(["--collection", str(folder / "c"), *a], spark)
     assert run("ingest", str(folder / "in"), "--extension", "md") == 0 and run("query", "boats on water", "--top-k", "1") == 0 and run("list") == 0 and run("stats") == 0
+    assert run("status") == 0 and run("retry") == 0 and run("batch", str(folder / "in/trees.html")) == 0 and run("compact") == 0
     assert "boats.md" in capsys.readouterr().out
     assert run("query", "boats", "--mode", "nope") == 1 and run("ingest", str(folder / "none")) == 1
 
