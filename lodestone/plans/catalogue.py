@@ -175,7 +175,7 @@ def _layout_sql(size: int = 512) -> str:
     levels = range(1, 7)
     last = ", ".join(f"max(CASE WHEN level = {n} THEN i END) OVER w AS at{n}" for n in levels)
     part = ", ".join(f"CASE WHEN at{n} > greatest(-1, {', '.join(f'coalesce(at{m}, -1)' for m in range(1, n)) or '-1'}) THEN at{n} END" for n in levels)
-    return f"""{_BLOCKS}, o AS (SELECT doc_id, list_transform(b, lambda x: CASE WHEN length(x) % 4 = 0 THEN repeat('#', 1 + (length(x) // 4) % 4) || ' ' || x ELSE x END) AS b FROM b),
+    return rf"""{_BLOCKS}, o AS (SELECT doc_id, list_transform(b, lambda x: CASE WHEN length(x) % 4 = 0 THEN repeat('#', 1 + (length(x) // 4) % 4) || ' ' || x ELSE x END) AS b FROM b),
 e AS (SELECT doc_id, unnest(b) AS x, generate_subscripts(b, 1) - 1 AS i FROM o),
 k AS (SELECT *, {_KIND} AS kind, trim(regexp_replace(x, '^#+', '')) AS title FROM e),
 l AS (SELECT *, CASE WHEN kind <> 'heading' THEN 0 WHEN regexp_matches(x, '^#{{1,6}}\s') THEN length(regexp_extract(x, '^(#{{1,6}})\s', 1)) ELSE 6 END AS level FROM k),

@@ -107,8 +107,11 @@ def test_files_of_all_kinds(spark, tmp_path):
     full = api.Engine(spark, str(tmp_path / "d"), convert=lambda c, n: F.when(n.endswith("docx"), F.lit(said("word"))), ocr=lambda c: F.lit(said("scan")))
     full.ingest_files(str(tmp_path / "in"))
     assert names(full.collection.chunks().collect()) == {"u.txt", "l.txt", "none", "p.pdf", "w.docx"}
-    # Without the converter the files are unread, and what is stored of them stays.
+    # A file that is as it was is not read. Without the converter a changed one is unread, and what is stored of it stays.
     bare = api.Engine(spark, str(tmp_path / "d"))
+    assert {r["action"] for r in bare.sync(str(tmp_path / "in"), dry_run=True).collect() if not r["source"].endswith("e.txt")} == {"unchanged"}
+    for name in ("p.pdf", "w.docx"):
+        os.utime(tmp_path / "in" / name, (1_800_000_000, 1_800_000_000))
     actions = {r["source"].rsplit("/", 1)[1]: r["action"] for r in bare.sync(str(tmp_path / "in")).collect()}
     assert actions["p.pdf"] == actions["w.docx"] == "unread" and actions["u.txt"] == "unchanged"
     assert "p.pdf" in names(bare.collection.chunks().collect())
