@@ -4,12 +4,13 @@
 templates' mandatory key phrases (every word of them, in a row), and lists where words of the
 license templates stand (function words left out). Document frequencies of
 those words, over all documents, give their IDF. ``labelled`` then works on these lists alone:
-for each file, all its license words are looked up in the templates' postings; template and
+for each file, its words of highest IDF are looked up in the templates' rare postings: those of
+a template's rarest words without all of which it can't reach the least score. The templates so
+found are tried first, and others only while they can beat the best score; template and
 file positions that agree on one offset are intersected; the best offset's share of the
 template's IDF is the score; a label also needs the template's mandatory key phrases, whole and
-near that offset. A template
-is passed over only if all its words in the file, wherever they stand, can neither reach the
-least score nor beat the best one.
+near that offset. Where a longer key phrase stands, a shorter one within it does not count: a
+"creative commons attribution sharealike" is no "creative commons attribution".
 
 Defined results: null text is empty; no license words give score 0 and no labels; ties of a
 score go to the first template by label; repeated rows are judged alike and each counts as a
@@ -39,16 +40,29 @@ TEMPLATES = (
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ("source and binary forms", "following conditions are met")),
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", ("creative commons attribution",)),
     ("cc-by-nc", "licensed under cc by nc 4 0", ("cc by nc",)),
+    ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license", ("creative commons attribution noncommercial",)),
+    ("cc-by-nc-nd", "this work is licensed under a creative commons attribution noncommercial noderivatives 4 0 international license", ("creative commons attribution noncommercial noderivatives",)),
+    ("cc-by-nc-nd", "licensed under cc by nc nd 4 0", ("cc by nc nd",)),
+    ("cc-by-nc-sa", "this work is licensed under a creative commons attribution noncommercial sharealike 4 0 international license", ("creative commons attribution noncommercial sharealike",)),
+    ("cc-by-nc-sa", "licensed under cc by nc sa 4 0", ("cc by nc sa",)),
+    ("cc-by-nd", "this work is licensed under a creative commons attribution noderivatives 4 0 international license", ("creative commons attribution noderivatives",)),
+    ("cc-by-nd", "licensed under cc by nd 4 0", ("cc by nd",)),
     ("cc-by-sa", "licensed under cc by sa 4 0", ("cc by sa",)),
+    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license", ("creative commons attribution sharealike",)),
+    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", ("waived all copyright and related or neighboring rights",)),
+    ("boost", "distributed under the boost software license version 1 0", ("boost software license",)),
     ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at", ("eclipse public license",)),
     ("gpl", "this work is licensed under the gnu general public license version 3", ("gnu general public license",)),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("permission to use copy modify",)),
     ("lgpl", "licensed under the gnu lesser general public license version 2 1", ("gnu lesser general public license",)),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", ("gnu lesser general public license",)),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu library general public license as published by the free software foundation", ("gnu library general public license",)),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ("permission is hereby granted free of charge",)),
     ("mit", "released under the mit license", ("mit license",)),
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
     ("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software released into the public domain",)),
-    *((label, f"spdx license identifier {name}", (f"spdx license identifier {name}",)) for label, name in (("agpl", "agpl 3 0"), ("apache", "apache 2 0"), ("bsd", "bsd 2 clause"), ("bsd", "bsd 3 clause"), ("cc-by", "cc by 4 0"), ("epl", "epl 2 0"), ("gpl", "gpl 2 0"), ("gpl", "gpl 3 0"), ("isc", "isc"), ("lgpl", "lgpl 2 1"), ("mit", "mit"), ("mpl", "mpl 2 0"), ("unlicense", "unlicense"))),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", ("without any express or implied warranty", "held liable for any damages arising from the use")),
+    *((label, f"spdx license identifier {name}", (f"spdx license identifier {name}",)) for label, name in (("agpl", "agpl 3 0"), ("apache", "apache 2 0"), ("bsd", "bsd 2 clause"), ("bsd", "bsd 3 clause"), ("boost", "bsl 1 0"), ("cc-by", "cc by 4 0"), ("cc-by-nc", "cc by nc 4 0"), ("cc-by-nc-nd", "cc by nc nd 4 0"), ("cc-by-nc-sa", "cc by nc sa 4 0"), ("cc-by-nd", "cc by nd 4 0"), ("cc-by-sa", "cc by sa 4 0"), ("cc0", "cc0 1 0"), ("epl", "epl 2 0"), ("gpl", "gpl 2 0"), ("gpl", "gpl 3 0"), ("isc", "isc"), ("lgpl", "lgpl 2 1"), ("lgpl", "lgpl 3 0"), ("mit", "mit"), ("mpl", "mpl 2 0"), ("unlicense", "unlicense"), ("zlib", "zlib"))),
 )
 #: Function words: they are no rare tokens; key phrases need them like any other word.
 COMMON = frozenset("a all an and any are as at be by can for form from in is it may not of on or out that the this to use with without you".split())
@@ -61,6 +75,8 @@ _TABLE = bytes(b + 32 if b in _UPPER else b if b > 127 or chr(b).isalnum() else
 
 VOCABULARY = sorted({w for _, text, _ in TEMPLATES for w in text.split() if w not in COMMON})
 KEYS = sorted({key for _, _, keys in TEMPLATES for key in keys})
+#: For each key phrase, the longer ones that hold it, and how many words further on it stands in them.
+WITHIN = {k: [(longer, j) for longer in KEYS if longer != k for j in range(len(longer.split())) if longer.split()[j : j + len(k.split())] == k.split()] for k in KEYS}
 _NUMBER = {w.encode(): i for i, w in enumerate(VOCABULARY)}
 _KEY_NUMBER = {key: i for i, key in enumerate(KEYS)}
 _BASE_LABEL = dict(BASE)
@@ -86,6 +102,15 @@ def places(words: list[bytes], phrases: Iterable[str]) -> dict[str, list[int]]:
     return found
 
 
+def standing(found: dict[str, list[int]]) -> dict[str, list[int]]:
+    """The places of key phrases that are not within a longer one."""
+    out = {}
+    for key, own in found.items():
+        inner = {p + j for longer, j in WITHIN[key] for p in found.get(longer, ())}
+        out[key] = [p for p in own if p not in inner]
+    return out
+
+
 @tidy
 def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     vocabulary = frozenset(_NUMBER)
@@ -98,7 +123,7 @@ def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             base: dict[str, list[int]] = {}
             if not vocabulary.isdisjoint(words):  # every base and key phrase holds a word of the vocabulary
                 hits = [x for i, w in enumerate(words) if w in vocabulary for x in (_NUMBER[w], i)]
-                keys = [x for key, own in places(words, KEYS).items() for p in own for x in (_KEY_NUMBER[key], p)]
+                keys = [x for key, own in standing(places(words, KEYS)).items() for p in own for x in (_KEY_NUMBER[key], p)]
                 base = places(words, _BASE_LABEL)
             all_base = [p for own in base.values() for p in own]
             rows.append((doc_id, len(words), len(all_base), min(all_base, default=None), max(all_base, default=None), sorted({_BASE_LABEL[b] for b in base}), hits, keys))
@@ -134,6 +159,15 @@ class Index:
             self.words.append([(number[w], q) for q, w in enumerate(text.split()) if w in number])
             self.total.append(sum(self.idf[w] for w, _ in self.words[-1]))
             self.keys.append([_KEY_NUMBER[key] for key in keys])
+        #: Rare word to the templates that have it among the rarest, without all of which they stay below the least score.
+        self.rare: dict[int, list[int]] = defaultdict(list)
+        for t, words in enumerate(self.words):
+            left = self.total[t]
+            for w in sorted({w for w, _ in words}, key=lambda w: -self.idf[w]):
+                if left < LEAST_SCORE * self.total[t] - 1e-9:
+                    break
+                self.rare[w].append(t)
+                left -= self.idf[w] * sum(1 for x, _ in words if x == w)
 
     def judge(self, hits: list[int], keys: list[int]) -> tuple[list[str], float]:
         """(labels, best score) of a file's template words and key phrases."""
@@ -144,10 +178,11 @@ class Index:
         for w, p in zip(hits[::2], hits[1::2]):
             at[w].add(p)
         best, labels = 0.0, set()
+        first = dict.fromkeys(t for w in sorted(at, key=lambda w: -self.idf[w]) for t in self.rare.get(w, ()))
         most = [min(1.0, sum(self.idf[w] for w, _ in words if w in at) / total) for words, total in zip(self.words, self.total)]
-        for t in sorted(range(len(most)), key=lambda t: -most[t]):
+        for t in [*first, *sorted((t for t in range(len(most)) if t not in first), key=lambda t: -most[t])]:
             if most[t] < LEAST_SCORE and most[t] <= best:
-                break
+                continue
             got = self._shares(t, at)
             best = max(best, max(got.values(), default=0.0))
             enough = [o for o, share in got.items() if share >= LEAST_SCORE]

@@ -192,7 +192,8 @@ def license_brute(words, idf):
     for label, text, keys in licenses.TEMPLATES:
         rare = [(q, w) for q, w in enumerate(text.split()) if w not in licenses.COMMON]
         near = lambda p, w: w in words[max(p - licenses.SLACK, 0) : max(p + licenses.SLACK + 1, 0)]
-        stands = lambda p, key: p >= 0 and words[p : p + len(key.split())] == key.split()
+        there = lambda p, key: p >= 0 and words[p : p + len(key.split())] == key.split()
+        stands = lambda p, key: there(p, key) and not any(there(p - j, k) for k in licenses.KEYS if len(k) > len(key) and f" {key} " in f" {k} " for j in range(len(k.split())) if k.split()[j : j + len(key.split())] == key.split())
         for o in {p - q for q, w in rare for p in range(len(words)) if words[p] == w}:
             share = min(1.0, sum(idf[w] for q, w in rare if near(o + q, w)) / sum(idf[w] for _, w in rare))
             best = max(best, share)
@@ -213,7 +214,7 @@ def test_license_judge_against_brute_force():
             words += [rng.choice(["lorem", rng.choice(licenses.VOCABULARY)]) for _ in range(rng.randrange(8))]
             words += [w for w in notice if rng.random() > 0.1] if rng.random() < 0.6 else notice
         hits = [x for i, w in enumerate(words) if w in idf for x in (licenses.VOCABULARY.index(w), i)]
-        found = licenses.places([w.encode() for w in words], licenses.KEYS)
+        found = licenses.standing(licenses.places([w.encode() for w in words], licenses.KEYS))
         labels, score = index.judge(hits, [x for key, own in found.items() for p in own for x in (licenses.KEYS.index(key), p)])
         want, best = license_brute(words, idf)
         assert labels == want and score == pytest.approx(best, abs=1e-6)
@@ -242,6 +243,22 @@ def test_license_key_phrases_are_whole(spark):
     assert got == {0: "", 1: "apache", 2: "unlicense", 3: ""}
 
 
+def test_license_notices_that_contain_others(spark):
+    """A longer key phrase takes the place of a shorter one within it."""
+    notices = {
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License": "lgpl",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": "cc-by-sa",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.": "cc-by-nc-nd",
+        "This work is licensed under a Creative Commons Attribution 4.0 International License.": "cc-by",
+        "SPDX-License-Identifier: LGPL-3.0-or-later": "lgpl",
+        "SPDX-License-Identifier: Zlib": "zlib",
+        "Distributed under the Boost Software License, Version 1.0.": "boost",
+        "SPDX-License-Identifier: CC0-1.0": "cc0",
+    }
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(list(enumerate(notices)), "doc_id bigint, text string")).collect()}
+    assert {i: got[i]["labels"] for i in got} == dict(enumerate(notices.values())) and min(r["score"] for r in got.values()) >= licenses.LEAST_SCORE
+
+
 def test_license_many_notices(spark):
     """A file keeps the licenses of all its notices, however many template words it holds."""
     every = (" lorem ipsum" * 3000 + " ").join(text for _, text, _ in licenses.TEMPLATES)
