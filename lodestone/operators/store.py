@@ -28,6 +28,7 @@ from lodestone.config import Settings
 from lodestone.errors import StorageError
 from lodestone.functions import text as T
 from lodestone.operators import chunking, embedding, extraction, filters, memo, retrieval
+from lodestone.operators.inverted import InvertedIndex
 
 SCHEMA = (
     "id string, source string, chunk_index int, total_chunks int, content string, section_header string, context_prefix string, "
@@ -230,6 +231,40 @@ class Collection:
         made = long.join(docs.select("source", "doc_id"), "source").select("doc_id", "chunk_index", "content", F.coalesce("section_header", F.lit("")).alias("section_header"))
         self._replace(texts.select("source"), self._complete(made, docs))
 
+    def _indexed(self) -> int:
+        """The version that the word index is of; 0 without one."""
+        path = f"{self.folder}/index/versions"
+        return self.spark.read.parquet(path).agg(F.max("version")).first()[0] if self._names(path) else 0
+
+    def index(self) -> int:
+        """Brings the index of the chunks' words up to the newest version, which it returns.
+
+        Sources that segments since its own version name are taken out and put in as they are now; after a
+        compaction the index is written anew. A search without filters takes its word list from an index of its version,
+        and scans the chunks otherwise. One job at a time may do this.
+        """
+        version, segments = self._latest()
+        words, before = InvertedIndex(self.spark, f"{self.folder}/index/words", self.settings.store_buckets, self.settings.bm25_k1, self.settings.bm25_b), self._indexed()
+        said = lambda rows: rows.select("id", F.col("content").alias("text"))
+        if version and version != before:
+            held = (self._manifest(before) or {"segments": []})["segments"] if before else []
+            new = segments[len(held) :]
+            if held and segments[: len(held)] == held and all("sources" in s for s in new):
+                named = self.spark.read.schema("source string").parquet(*[s["sources"] for s in new]).distinct()
+                words.remove(self.staged(self.chunks(held).join(named, "source", "left_semi").select("id")))
+                words.add(said(self.chunks(segments).join(named, "source", "left_semi")))
+            else:
+                words.compact(said(self.chunks(segments)))
+            self.spark.createDataFrame([(version,)], "version long").coalesce(1).write.mode("append").parquet(f"{self.folder}/index/versions")
+        return version
+
+    def _word_list(self, queries: DataFrame, rows: DataFrame, filtered: bool) -> DataFrame:
+        """(query_id, id, score, rank) by BM25, from the index if there is one of this version."""
+        s = self.settings
+        if not filtered and (v := self._indexed()) and v == self._latest()[0]:
+            return InvertedIndex(self.spark, f"{self.folder}/index/words", s.store_buckets, s.bm25_k1, s.bm25_b).search(queries, s.candidate_k)
+        return retrieval.bm25_topk(queries, rows.select("id", F.col("content").alias("text")), s.candidate_k, s.bm25_k1, s.bm25_b)
+
     def delete(self, sources: DataFrame) -> int:
         """Removes all chunks of the listed sources; returns how many there were."""
         old = self.chunks()
@@ -268,7 +303,7 @@ class Collection:
         if mode == "hybrid":
             each = variants.select(F.struct("query_id", "list").alias("query_id"), make(F.col("text")).alias("vec"))
             dense = retrieval.dense_topk(each, vectors, s.candidate_k).select("query_id.query_id", "query_id.list", "id", "rank", "score")
-            sparse = retrieval.bm25_topk(queries, rows.select("id", F.col("content").alias("text")), s.candidate_k, s.bm25_k1, s.bm25_b)
+            sparse = self._word_list(queries, rows, bool(where) or source is not None)
             lists = dense.drop("score").unionByName(sparse.select("query_id", F.lit(1).alias("list"), "id", "rank"))
             found = retrieval.fuse_rows(lists, s.rrf_k, s.rrf_mode)
             own = dense.filter("list = 0").select("query_id", "id", F.col("score").alias("dense_score"))

@@ -56,6 +56,28 @@ def test_increments_are_merged_when_read(spark, tmp_path):
     assert c.vacuum(keep=1, hours=0) >= 3 and held(c) == set()
 
 
+def test_word_index_of_the_collection(spark, tmp_path, monkeypatch):
+    """A search by the index finds what one by the chunks finds, after increments, deletions and a compaction."""
+    c = Collection(spark, str(tmp_path / "c"), config.Settings(store_buckets=4))
+    asked = spark.createDataFrame([(1, "tea sentence"), (2, "about coffee number 3"), (3, "gone")], "query_id int, text string")
+    rows = lambda df: sorted(map(tuple, df.select("query_id", "id", "rank").collect()))
+    scanned = lambda: rows(store.retrieval.bm25_topk(asked, c.chunks().select("id", F.col("content").alias("text")), 30))
+    assert c.index() == 0
+    c.ingest(docs(spark, "tea", "coffee", "milk", "gone"))
+    assert c.index() == 1 and rows(c._word_list(asked, c.chunks(), False)) == scanned()
+    c.delete(docs(spark, "gone"))
+    c.ingest(docs(spark, "milk").withColumn("text", F.lit(said("tea and coffee"))))
+    monkeypatch.setattr(store.InvertedIndex, "search", lambda *a: pytest.fail("an index of another version"))
+    assert rows(c._word_list(asked, c.chunks(), False)) == scanned()
+    monkeypatch.undo()
+    assert c.index() == 3 == c._indexed() and c.index() == 3
+    got = c._word_list(asked, c.chunks(), False)
+    assert {i for _, i, _ in rows(got)} == {i for _, i, _ in scanned()} and got.filter("query_id = 3").count() == 0
+    c.compact()
+    assert c.index() == 4 and rows(c._word_list(asked, c.chunks(), False)) == scanned()
+    assert {r["source"] for r in c.search(asked.filter("query_id = 2"), "hybrid", 1, rerank=False).collect()} <= {"coffee", "milk"}
+
+
 def test_many_increments_are_compacted(spark, tmp_path):
     c = Collection(spark, str(tmp_path / "c"), config.Settings(store_segments=3))
     for i in range(5):
