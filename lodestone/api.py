@@ -276,7 +276,7 @@ class Engine:
         if self.ask is None:
             raise EngineError("no answering provider")
         asked = self.spark.createDataFrame(list(enumerate(queries)), "query_id int, query string")
-        return answers.answer(self.query(queries, **options).join(F.broadcast(asked), "query_id"), self.ask, budget=self.settings.context_chars)
+        return answers.answer(self.query(queries, **options).join(asked, "query_id"), self.ask, budget=self.settings.context_chars)
 
     def delete(self, source: str) -> int:
         self._forget()
