@@ -9,40 +9,47 @@ from pyspark.sql import functions as F
 
 from lodestone.errors import RetrievalError
 from lodestone.functions import text as T
+from lodestone.operators import dense
 
-#: Queries of one broadcast block: (queries x vector size) doubles, a few MB.
-BLOCK = 2_000
+#: Queries of a block, and blocks of one broadcast: (queries x vector size) doubles, a few MB.
+BLOCK, BLOCKS = 2_000, 8
 #: (query, term) pairs that are broadcast, some 60 MB at most; more are joined by shuffle.
 TERMS = 1_000_000
 
 
+def _met(queries: DataFrame, chunks: DataFrame, keep: Column | None, k: int | None) -> DataFrame:
+    rows = dense.packs((chunks if keep is None else chunks.filter(keep)).select("id", "vec"))
+    asked = queries.select("query_id", "vec")
+    found = None
+    for part in blocks(asked):
+        scored = dense.scored(rows, dense.packs(part, "q_"), k)
+        found = scored if found is None else found.unionByName(scored)
+    return found
+
+
+def blocks(queries: DataFrame) -> list[DataFrame]:
+    """``queries`` (query_id) in parts of counted size, each of which can be broadcast, a partition for each block."""
+    n = queries.count()
+    parts = max(1, -(-n // (BLOCK * BLOCKS)))
+    each = [queries] if parts == 1 else [queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i) for i in range(parts)]
+    return [part.repartition(max(1, -(-n // (BLOCK * parts)))) for part in each]
+
+
 def dense_scores(queries: DataFrame, chunks: DataFrame, keep: Column | None = None) -> DataFrame:
     """(query_id, id, score): the cosine of each query with every row of ``chunks`` (id, vec).
 
-    Queries go in blocks of counted size, each broadcast, so chunks are never shuffled.
+    Queries go in blocks of counted size, broadcast, so chunks are never shuffled (``dense``).
     ``keep`` filters chunks before.
     """
-    rows = chunks if keep is None else chunks.filter(keep)
-    normed = lambda df, v: df.withColumn("norm", F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))))
-    rows = normed(rows.select("id", F.col("vec").cast("array<double>").alias("vec")), "vec").withColumnRenamed("norm", "n")
-    queries = normed(queries.select("query_id", F.col("vec").cast("array<double>").alias("qvec")), "qvec").withColumnRenamed("norm", "qn")
-    n = queries.count()
-    parts = [queries] if n <= BLOCK else [queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(-(-n // BLOCK))) == i) for i in range(-(-n // BLOCK))]
-    dot = F.aggregate(F.zip_with("qvec", "vec", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    score = F.when((F.col("n") == 0) | (F.col("qn") == 0), 0.0).otherwise(dot / (F.col("n") * F.col("qn")))
-    found = None
-    for part in parts:
-        scored = rows.join(F.broadcast(part)).select("query_id", "id", F.round(score, 6).alias("score"))
-        found = scored if found is None else found.unionByName(scored)
-    return found
+    return _met(queries, chunks, keep, None)
 
 
 def dense_topk(queries: DataFrame, chunks: DataFrame, k: int = 30, keep: Column | None = None) -> DataFrame:
     """(query_id, id, score, rank): the k most similar rows of ``chunks`` (id, vec) for each query.
 
-    Exact; only a task's k best per query are shuffled.
+    Exact; only rows that can be among a task's k best per query leave the product, and only those k are shuffled.
     """
-    return top(dense_scores(queries, chunks, keep), k)
+    return top(_met(queries, chunks, keep, k), k)
 
 
 def top(scored: DataFrame, k: int) -> DataFrame:

@@ -6,12 +6,13 @@ import os
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone import config, errors
 from lodestone.functions import text as T
-from lodestone.operators import answers, chunking, embedding, evaluation, filters, metadata, retrieval, sync
+from lodestone.operators import answers, chunking, dense, embedding, evaluation, filters, metadata, retrieval, sync
 from lodestone.operators.store import Collection
 from lodestone.plans import catalogue
 from lodestone.sources import convert, datasets, files
@@ -127,6 +128,35 @@ def test_dense_blocks(spark, monkeypatch):
     assert sorted(map(tuple, retrieval.dense_topk(q, v, 5).collect())) == whole
 
 
+def test_dense_odd_vectors(spark, monkeypatch):
+    """Packs of any size give what each pair's own sum gives, in Spark's order, and leave out what can't be a hit."""
+    rng = random.Random(5)
+    rows = [(i, [rng.choice([-2.0, 0.5, 1.0, 3.0]) for _ in range(3)]) for i in range(70)]  # many ties
+    rows += [(70, None), (71, [1.0, None, 2.0]), (72, [0.0] * 3), (73, []), (74, [1.0, 2.0]), (75, [float("nan"), 1.0, 1.0]), (None, [1.0, 1.0, 1.0])]
+    v = spark.createDataFrame(rows, "id bigint, vec array<double>").repartition(3)
+    q = v.filter("id % 9 = 0 or id >= 70").withColumnRenamed("id", "query_id")
+    pair = F.aggregate(F.zip_with("qvec", "vec", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
+    n, qn = norm(F.col("vec")), norm(F.col("qvec"))
+    plain = v.crossJoin(q.withColumnRenamed("vec", "qvec")).select("query_id", "id", F.round(F.when((n == 0) | (qn == 0), 0.0).otherwise(pair / (n * qn)), 6).alias("score"))
+    told = lambda df: sorted(map(str, df.collect()))
+    for pack in (100, dense.PACK):
+        monkeypatch.setattr(dense, "PACK", pack)
+        assert told(retrieval.dense_scores(q, v)) == told(plain)
+        for k in (1, 4, 75, 100):
+            assert told(retrieval.dense_topk(q, v, k)) == told(retrieval.top(plain, k))
+    met = dense.scored(dense.packs(v.filter("id < 70").coalesce(1)), dense.packs(q.filter("query_id < 70").coalesce(1), "q_"), 4)
+    assert met.count() == 8 * 4
+    named = v.select(F.struct(F.lit("x").alias("a"), F.col("id").alias("b")).alias("id"), "vec")
+    assert retrieval.dense_topk(q, named, 4).count() == retrieval.dense_topk(q, v, 4).count()
+
+
+def test_scores_on_a_roundings_edge():
+    raw = np.array([0.1234565, -0.1234565, 0.1234564, 2.5e-7, -2e-7, np.nan])
+    assert dense._rounded(raw, lambda e: raw[e]).tolist()[:5] == [0.123457, -0.123457, 0.123456, 0.0, 0.0]
+    assert dense._rounded(np.array([0.1234565 + 1e-13]), lambda e: np.array([0.1234565 - 1e-13]))[0] == 0.123456
+
+
 def test_cosine_matrix_rows(spark, sf, monkeypatch):
     """Each vector of the stated query set meets every row of the table, in blocks too."""
     vec = {r["vec_id"]: [float(x) for x in r["embedding"]] for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
