@@ -1,4 +1,7 @@
-"""Retrieval metrics over arrays ``retrieved`` and ``expected``, reports and comparisons."""
+"""Retrieval metrics over arrays ``retrieved`` and ``expected``, reports and comparisons.
+
+Where much is expected, ``expected`` needs to hold only what was retrieved of it, beside the number of all (``of``).
+"""
 
 from __future__ import annotations
 
@@ -6,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def recall_at(r: Column, e: Column, k: int) -> Column:
-    return F.when(F.size(e) == 0, 0.0).otherwise(F.size(F.array_intersect(F.slice(r, 1, k), e)) / F.size(F.array_distinct(e)))
+def recall_at(r: Column, e: Column, k: int, of: Column | None = None) -> Column:
+    n = F.size(F.array_distinct(e)) if of is None else of
+    return F.when(n == 0, 0.0).otherwise(F.size(F.array_intersect(F.slice(r, 1, k), e)) / n)
 
 
 def precision_at(r: Column, e: Column, k: int, of_window: bool = True) -> Column:
@@ -26,11 +30,11 @@ def reciprocal_rank(r: Column, e: Column, k: int | None = None) -> Column:
     return F.when(place > 0, 1.0 / place).otherwise(0.0)
 
 
-def ndcg_at(r: Column, e: Column, k: int, observed_ideal: bool = False) -> Column:
+def ndcg_at(r: Column, e: Column, k: int, observed_ideal: bool = False, of: Column | None = None) -> Column:
     """Binary gain; the ideal has all expected first, or (``observed_ideal``) the hits found first."""
     window = F.transform(F.slice(r, 1, k), lambda x: F.array_contains(e, x))
     gain = F.aggregate(F.transform(window, lambda g, i: F.when(g, 1.0 / F.log2(i + 2.0)).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x)
-    n = F.size(F.filter(window, lambda g: g)) if observed_ideal else F.least(F.size(F.array_distinct(e)), F.lit(k))
+    n = F.size(F.filter(window, lambda g: g)) if observed_ideal else F.least(F.size(F.array_distinct(e)) if of is None else of, F.lit(k))
     ideal = F.aggregate(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), F.lit(0.0), lambda a, i: a + 1.0 / F.log2(i + 1.0))
     return F.when(ideal == 0, 0.0).otherwise(gain / ideal)
 
@@ -41,11 +45,15 @@ def keyword_coverage(content: Column, keywords: Column) -> Column:
 
 
 def all_metrics(results: DataFrame, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
-    """query_id and hit, recall, precision, nDCG at each k, and MRR; rounded to 6 digits."""
+    """query_id and hit, recall, precision, nDCG at each k, and MRR; rounded to 6 digits.
+
+    With a column ``n_expected`` (int), ``expected`` holds what was retrieved of so many.
+    """
     r, e = F.col("retrieved"), F.col("expected")
+    of = F.col("n_expected") if "n_expected" in results.columns else None
     columns = [F.round(reciprocal_rank(r, e), 6).alias("mrr")]
     for k in ks:
-        columns += [F.round(f(r, e, k), 6).alias(f"{name}_{k}") for name, f in (("hit", hit_at), ("recall", recall_at), ("precision", precision_at), ("ndcg", ndcg_at))]
+        columns += [F.round(value, 6).alias(f"{name}_{k}") for name, value in (("hit", hit_at(r, e, k)), ("recall", recall_at(r, e, k, of)), ("precision", precision_at(r, e, k)), ("ndcg", ndcg_at(r, e, k, of=of)))]
     return results.select("query_id", *columns)
 
 

@@ -523,9 +523,13 @@ _AVG = ", ".join(f"round(avg({n}), 6) AS avg_{n}" for n in _NAMES)
 def _evaluated(spark, d, k: int = 10, half: bool = False):
     v, q = _vectors(spark, d), _asked(spark, d)
     cut = (lambda df: df.withColumn("vec", F.slice("vec", 1, 32))) if half else (lambda df: df)
-    top = retrieval.dense_topk(cut(q), cut(v), k).groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("retrieved"))
-    same = q.select("query_id", F.col("query_label").alias("label")).join(v.select("id", "label"), "label").filter("id <> query_id").groupBy("query_id").agg(F.collect_list("id").alias("expected"))
-    return top.join(same, "query_id")
+    own = q.select("query_id", F.col("query_label").alias("label"))
+    members = v.filter("label is not null").select("id", "label").distinct()
+    # A query expects all others of its label: their number, and those of them that were retrieved.
+    hits = retrieval.dense_topk(cut(q), cut(v), k).join(own, "query_id").join(members.withColumn("same", F.lit(True)), ["id", "label"], "left")
+    top = hits.groupBy("query_id", "label").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("retrieved"), F.collect_set(F.when(F.col("same") & (F.col("id") != F.col("query_id")), F.col("id"))).alias("expected"))
+    sizes = members.groupBy("label").agg((F.count("*") - 1).cast("int").alias("n_expected"))
+    return top.join(sizes, "label").filter("n_expected > 0").drop("label")
 
 
 @query(f"WITH {_EVAL} SELECT query_id, {', '.join(_NAMES)} FROM mm")

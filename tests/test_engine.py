@@ -167,6 +167,17 @@ def test_cosine_matrix_rows(spark, sf, monkeypatch):
     assert all(s == pytest.approx(sum(map(float.__mul__, vec[q], vec[i])) / (norm[q] * norm[i]), abs=2e-6) for (q, i), s in got.items())
 
 
+def test_metrics_of_many_expected(spark, sf):
+    """What a query expects is counted, and listed only where it was retrieved; metrics are those of whole lists."""
+    cases = [([1, 2, 3], [2, 9, 3, 8]), ([1, 2], [7]), ([4, 4, 5], [4, 4, 6]), ([], [1])]
+    r, e = F.col("retrieved"), F.col("expected")
+    whole = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "query_id int, retrieved array<int>, expected array<int>")
+    short = whole.withColumn("n_expected", F.size(F.array_distinct(e))).withColumn("expected", F.array_intersect(e, r))
+    assert sorted(evaluation.all_metrics(short).collect()) == sorted(evaluation.all_metrics(whole).collect())
+    made = catalogue._evaluated(spark, sf).agg(F.max(F.size("expected")), F.min("n_expected")).first()
+    assert made[0] <= 10 < made[1]
+
+
 def test_keyword_coverage_retrieved(spark, sf):
     """Every item's terms are sought in the contents of its hits."""
     text = {r["doc_id"]: r["text"].lower() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
