@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from lodestone.errors import RetrievalError
 from lodestone.functions import text as T
-from lodestone.operators import dense
+from lodestone.operators import dense, lexical
 
 #: Queries of a block, and blocks of one broadcast: (queries x vector size) doubles, a few MB.
 BLOCK, BLOCKS = 2_000, 8
@@ -74,19 +77,60 @@ def document_frequency(posted: DataFrame) -> DataFrame:
 def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 30, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query_id, id, score, rank) by BM25 over distinct query terms.
 
-    Words that no query asks for leave in the scan's own stage: query terms are broadcast while their
-    counted number is within ``TERMS``, and joined by shuffle beyond.
+    While the counted (query, term) pairs are within ``TERMS`` they go to every task, where a text is scored as it is
+    read (``lexical``): no postings are shuffled, only hits. Rows that share an id are one document; they and more pairs than that
+    are joined and summed by shuffle.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct(T.terms(F.col("text")))).alias("term"))
+    asked = queries.select("query_id", F.explode(F.array_distinct(T.terms(F.col("text")))).alias("term")).distinct()
     lengths = docs.select(F.coalesce(F.size(T.terms(F.col("text"))), F.lit(0)).alias("dl"))  # a null text has no words
-    totals = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    sized = F.broadcast if asked.count() <= TERMS else lambda df: df
-    hit = postings(docs, sized(asked.select("term").distinct()))
-    weighted = hit.join(sized(document_frequency(hit)), "term").join(F.broadcast(totals))
+    if asked.count() > TERMS:
+        return top(_bm25_joined(asked, postings(docs, asked.select("term").distinct()), None, lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")), k1, b), k)
+    return top(_bm25_by_text(asked, docs, lengths, k, k1, b), k)
+
+
+def _bm25_joined(asked: DataFrame, hit: DataFrame, df: DataFrame | None, totals: DataFrame, k1: float, b: float) -> DataFrame:
+    """(query_id, id, score) of postings; ``df`` has their terms' frequencies where they are not those of ``hit``."""
+    weighted = hit.join(document_frequency(hit) if df is None else df, "term").join(F.broadcast(totals))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scores = weighted.select("term", "id", part.alias("part")).join(sized(asked), "term").groupBy("query_id", "id").agg(F.round(F.sum("part"), 6).alias("score"))
-    return top(scores, k)
+    return weighted.select("term", "id", part.alias("part")).join(asked, "term").groupBy("query_id", "id").agg(F.round(F.sum("part"), 6).alias("score"))
+
+
+def _bm25_by_text(asked: DataFrame, docs: DataFrame, lengths: DataFrame, k: int, k1: float, b: float) -> DataFrame:
+    """The same of texts, at least each query's k best."""
+    spark = docs.sparkSession
+    pairs = asked.orderBy("query_id", "term").toArrow()  # TERMS at most
+    named = asked.select("query_id").distinct().orderBy("query_id").toArrow().column(0).combine_chunks()
+    coded = pairs.column("term").combine_chunks().dictionary_encode()
+    terms = coded.dictionary
+    # Pairs are ordered by query, so a query's number rises where its id changes.
+    per_query = asked.groupBy("query_id").agg(F.count("*").alias("n")).orderBy("query_id").toArrow().column("n").to_numpy()
+    number = np.repeat(np.arange(len(named)), per_query)
+    by = np.argsort(coded.indices.to_numpy(), kind="stable")
+    begins = np.concatenate([[0], np.cumsum(np.bincount(coded.indices.to_numpy(), minlength=len(terms)))]).astype(np.int64)
+    words = docs.select("id", T.terms(F.col("text")).alias("words"))
+    again = docs.groupBy("id").count().filter("count > 1").select("id")
+    shared = again.limit(1).count() > 0
+    single = words.join(again.withColumnRenamed("id", "_id"), F.col("id").eqNullSafe(F.col("_id")), "left_anti") if shared else words
+    df = single.select("id", "words").mapInArrow(lexical.counter(terms), "place bigint, df bigint")
+    if shared:
+        hit = postings(docs.join(again.withColumnRenamed("id", "_id"), F.col("id").eqNullSafe(F.col("_id")), "left_semi"), asked.select("term").distinct())
+        places = spark.createDataFrame(pa.table({"term": terms.cast(pa.string()), "place": pa.array(np.arange(len(terms)))}))
+        df = df.unionByName(document_frequency(hit).join(places, "term").select("place", "df"))
+    counted = df.groupBy("place").agg(F.sum("df").alias("df")).toArrow()  # asked terms at most
+    totals = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    held = np.zeros(len(terms) + 2)  # the last two by -1 and -2
+    held[counted.column("place").to_numpy()] = counted.column("df").to_numpy()
+    n, mean = totals.first() if shared else (held[-1], held[-2] / held[-1] if held[-1] else None)
+    held = held[:-2]
+    kind = StructType([StructField("query", LongType()), docs.schema["id"], StructField("raw", DoubleType())])
+    scored = single.mapInArrow(lexical.scorer(terms, np.log(1 + (n - held + 0.5) / (held + 0.5)), begins, number[by], len(named), mean or 1.0, k, k1, b), kind)
+    numbers = spark.createDataFrame(pa.table({"query_id": named, "query": pa.array(np.arange(len(named)))}), StructType([asked.schema["query_id"], StructField("query", LongType())]))
+    found = scored.join(F.broadcast(numbers), "query").select("query_id", "id", F.round("raw", 6).alias("score"))
+    if not shared:
+        return found
+    own = places.join(spark.createDataFrame(pa.table({"place": pa.array(np.arange(len(terms))), "df": pa.array(held.astype(np.int64))})), "place").select("term", "df")
+    return found.unionByName(_bm25_joined(asked, hit, own, totals, k1, b))
 
 
 def fuse(lists: Sequence[DataFrame], k: int = 60, mode: str = "standard") -> DataFrame:

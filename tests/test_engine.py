@@ -167,6 +167,26 @@ def test_cosine_matrix_rows(spark, sf, monkeypatch):
     assert all(s == pytest.approx(sum(map(float.__mul__, vec[q], vec[i])) / (norm[q] * norm[i]), abs=2e-6) for (q, i), s in got.items())
 
 
+@pytest.mark.parametrize("ids", ["apart", "shared", "text"])
+def test_bm25_by_text(spark, monkeypatch, ids):
+    """Texts scored as they are read give what joined postings give, with shared and null ids, without a shuffle of sums."""
+    rng = random.Random(8)
+    said = [" ".join(rng.choices("abcdefghij", [10, 8, 5, 4, 3, 2, 1, 1, 1, 1], k=rng.randint(0, 12))) for _ in range(90)] + [None, "", "A a!"]
+    if ids == "shared":  # texts of one length: which of several counts is open
+        said[1:30:2] = [t[::-1] for t in said[:30:2]]
+    rows = [(None if i in (4, 5) and ids == "shared" or i == 5 else i // 2 if ids == "shared" and i < 30 else i, t) for i, t in enumerate(said)]
+    docs = spark.createDataFrame(rows, "id bigint, text string").repartition(3)
+    docs = docs.withColumn("id", F.col("id").cast("string")) if ids == "text" else docs
+    asked = spark.createDataFrame([(3, "a b"), (1, "j i h a"), (2, ""), (7, "zz"), (8, "c d e f g a a"), (9, None)], "query_id int, text string")
+    told = lambda k: sorted(map(str, retrieval.bm25_topk(asked, docs, k).collect()))
+    if ids == "apart":
+        plan = retrieval.bm25_topk(asked, docs, 3)._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "sum(part" not in plan
+    got = {k: told(k) for k in (1, 4, 100)}
+    monkeypatch.setattr(retrieval, "TERMS", 0)
+    assert got == {k: told(k) for k in (1, 4, 100)}
+
+
 def test_metrics_of_many_expected(spark, sf):
     """What a query expects is counted, and listed only where it was retrieved; metrics are those of whole lists."""
     cases = [([1, 2, 3], [2, 9, 3, 8]), ([1, 2], [7]), ([4, 4, 5], [4, 4, 6]), ([], [1])]
