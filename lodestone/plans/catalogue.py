@@ -420,7 +420,10 @@ lr AS (SELECT query_id, id, rank::INTEGER AS rank, rerank_score, row_number() OV
 
 
 def _reranked(spark, d):
-    hits = bm25_topk(spark, d).join(_texts(spark, d).select("id", F.col("text").alias("content")), "id").join(_items(spark, d).select("query_id", F.col("text").alias("query")), "query_id")
+    hits = bm25_topk(spark, d)
+    # With few items, their hits go to the documents, which are then not shuffled.
+    hits = F.broadcast(hits) if _items(spark, d).count() <= retrieval.BLOCK else hits
+    hits = _texts(spark, d).select("id", F.col("text").alias("content")).join(hits, "id").join(_items(spark, d).select("query_id", F.col("text").alias("query")), "query_id")
     return retrieval.rerank(hits, retrieval.lexical_score(F.col("query"), F.col("content")))
 
 

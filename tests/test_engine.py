@@ -187,6 +187,17 @@ def test_bm25_by_text(spark, monkeypatch, ids):
     assert got == {k: told(k) for k in (1, 4, 100)}
 
 
+def test_reranking_leaves_texts_where_they_are(spark, sf, monkeypatch):
+    """The hits go to the documents, also where they are too many to be broadcast by their size alone."""
+    monkeypatch.setattr(catalogue, "bm25_topk", lambda spark, d: spark.createDataFrame([(1, 2, 0.5, 1)], "query_id int, id bigint, score double, rank int"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = catalogue.rerank_lexical(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert re.search(r"BroadcastHashJoin \[id#\d+L\], \[id#\d+L\]", plan)
+
+
 def test_metrics_of_many_expected(spark, sf):
     """What a query expects is counted, and listed only where it was retrieved; metrics are those of whole lists."""
     cases = [([1, 2, 3], [2, 9, 3, 8]), ([1, 2], [7]), ([4, 4, 5], [4, 4, 6]), ([], [1])]
