@@ -6,9 +6,8 @@ then with the rows of its ``probes`` nearest lists (``SHARE`` of all lists by de
 hits even of vectors without any clusters; clustered ones need a few lists). ``recall`` holds it against the exact
 search over all rows.
 
-Lists are stored sorted in ``FOLDERS`` folders, and a query reads those of its lists. Rows are not shuffled while the
-queries' (list, query) pairs, counted before, are few enough to be broadcast; beyond that they are joined by list,
-where AQE splits a list that holds a third of all rows.
+Lists are stored sorted in ``FOLDERS`` folders, and a query reads those of its lists. Rows are not shuffled: they
+meet blocks of queries, each list those queries that read it, as matrix products (``dense``).
 
 Defined results: a null or all-zero vector is in list -1, which every query reads, so that it is found where the exact
 search finds it; fewer distinct rows than lists give fewer lists; equal vectors are in one list; other columns stay
@@ -26,10 +25,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.errors import RetrievalError
-from lodestone.operators import retrieval
+from lodestone.operators import dense, retrieval
 
-#: Folders that lists are stored in, and (query, list) pairs that are broadcast (some 60 MB of 64 numbers).
-FOLDERS, PAIRS = 64, 100_000
+#: Folders that lists are stored in.
+FOLDERS = 64
 #: Share of the lists that a search reads unless it is told how many.
 SHARE = 0.7
 
@@ -84,15 +83,14 @@ class VectorIndex:
         near = retrieval.dense_topk(queries, centroids, probes).select("query_id", F.col("id").alias("list"))
         own = queries.select("query_id")
         near = near.unionByName(own.withColumn("list", F.lit(-1))) if centroids.head(1) else own.withColumn("list", F.explode(F.array(F.lit(0), F.lit(-1))))
-        asked = near.join(queries.select("query_id", F.col("vec").cast("array<double>").alias("qvec")), "query_id").withColumn("qn", _norm(F.col("qvec")))
-        rows = self.rows()
+        read = near.groupBy("query_id").agg(F.collect_set("list").alias("lists"))  # at most all lists
         parts = [r[0] for r in near.select(F.pmod(F.col("list"), F.lit(FOLDERS))).distinct().collect()]  # FOLDERS at most
-        rows = rows.filter(F.col("part").isin(parts)).select("id", F.col("vec").cast("array<double>").alias("vec"), "list").withColumn("n", _norm(F.col("vec")))
-        if asked.limit(PAIRS + 1).count() <= PAIRS:
-            asked = F.broadcast(asked)
-        dot = F.aggregate(F.zip_with("qvec", "vec", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-        score = F.when((F.col("n") == 0) | (F.col("qn") == 0), 0.0).otherwise(dot / (F.col("n") * F.col("qn")))
-        return retrieval.top(rows.join(asked, "list").select("query_id", "id", F.round(score, 6).alias("score")), k)
+        rows = dense.packs(self.rows().filter(F.col("part").isin(parts)).select("id", "vec", "list"), lists="list")
+        found = None
+        for part in retrieval.blocks(queries.select("query_id", "vec").join(read, "query_id")):
+            scored = dense.scored(rows, dense.packs(part, "q_", "lists"), k, lists=True)
+            found = scored if found is None else found.unionByName(scored)
+        return retrieval.top(found, k)
 
     def recall(self, queries: DataFrame, rows: DataFrame, k: int = 30, probes: int | None = None) -> float:
         """The share of the exact search's hits over all rows that ``search`` finds; equal scores count as equal."""

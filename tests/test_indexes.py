@@ -122,3 +122,16 @@ def test_ivf_defined_results(spark, tmp_path):
         index.search(asked, 10, probes=0)
     index.build(odd.filter("false"))
     assert index.search(asked, 10).count() == 0
+
+
+def test_vector_search_leaves_out_what_cannot_be_a_hit(spark, tmp_path):
+    """A task gives the k best of its lists for each query, not all rows of them."""
+    rng = random.Random(4)
+    v = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(300)], "id bigint, vec array<double>")
+    index = VectorIndex(spark, str(tmp_path / "v"))
+    n = index.build(v, lists=6)
+    asked = v.filter("id < 5").withColumnRenamed("id", "query_id")
+    plan = index.search(asked, 3, n)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "zip_with" not in plan
+    assert sorted(r["query_id"] for r in index.search(asked, 3, n).collect()) == sorted([0, 1, 2, 3, 4] * 3)
+    assert index.recall(asked, v, 3, n) == 1.0
