@@ -110,6 +110,33 @@ def test_fusion_by_hand(spark):
         retrieval.fuse(lists, mode="x")
 
 
+@pytest.mark.parametrize("mode", ["standard", "offset"])
+@pytest.mark.parametrize("taken", [(0, 1, 2), (0, 0)])
+@pytest.mark.parametrize("broadcast", ["-1", "10m"])
+def test_fusion_of_lists_that_are_dealt_by_query(spark, mode, taken, broadcast):
+    """A window's lists are dealt by query already, with ids that may be null, and are used twice: a query's rows still meet."""
+    each = [spark.range(400).select((F.col("id") % 16).alias("query_id"), "id", (F.col("id") * p % 101).cast("double").alias("score")) for p in (7, 31, 53)]
+    lists = [retrieval.top(each[i].mapInArrow(lambda rows: rows, each[i].schema), 6 - i) for i in taken]
+    want = {}
+    for q in range(16):
+        sums, shift = {}, 0
+        for n, i in enumerate(taken):
+            best = sorted(range(q, 400, 16), key=lambda x: (-(x * (7, 31, 53)[i] % 101), x))[: 6 - i]
+            for rank, x in enumerate(best, 1):
+                sums.setdefault(x, []).append((n, rank, 1 / (60 + rank + (shift if mode == "offset" else 0))))
+            shift += len(best)
+        order = sorted(sums, key=lambda x: (-round(sum(s for *_, s in sums[x]), 9), sums[x][0][:2], x))
+        want |= {(q, x): (rank, round(sum(s for *_, s in sums[x]), 9)) for rank, x in enumerate(order, 1)}
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, broadcast)
+    try:
+        got = retrieval.fuse(lists, mode=mode).collect()
+    finally:
+        spark.conf.set(threshold, before)
+    assert len(got) == len(want) and {(r["query_id"], r["id"]): (r["rank"], r["score"]) for r in got} == want
+
+
 def test_mmr_extremes(spark):
     vecs = {1: [1.0, 0.0], 2: [0.99, 0.1], 3: [0.0, 1.0]}
     v = spark.createDataFrame(list(vecs.items()), "id bigint, vec array<double>")
