@@ -32,6 +32,18 @@ def test_oracle(spark, sf, db, name):
     assert got == rows([c[0] for c in cur.description], cur.fetchall())
 
 
+@pytest.mark.parametrize("name", ["rrf_multi_query", "rrf_offset", "rrf_standard"])
+def test_fusion_without_broadcast_joins(spark, sf, db, name):
+    """As over larger tables, where lists are not broadcast."""
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")
+    try:
+        test_oracle(spark, sf, db, name)
+    finally:
+        spark.conf.set(threshold, before)
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
